@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import scan_licenses
 from .mix import mix_sources
+from .sentencepiece_codec import decode_documents, encode_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +19,24 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources}
+def op5_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, counted and hashed, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").withColumn("sha", F.sha2("text", 256))
+    encoded = encode_documents(docs, ("doc_id", "sha"))
+    digest = encoded.withColumns({"n_ids": F.size("ids").cast("long"), "ids_hash": F.xxhash64("ids")})
+    decoded = decode_documents(digest, ("doc_id", "sha", "n_ids", "ids_hash"))
+    return decoded.select("doc_id", "n_ids", "ids_hash", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).eqNullSafe(F.col("sha")).alias("exact"))
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op5_scan_licenses": op5_scan_licenses,
+    "op7_sentencepiece": op7_sentencepiece,
+}
 
 ORACLE_SQL = {
     "op1_mix_sources": r"""
