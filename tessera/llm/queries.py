@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .licenses import scan_licenses
 from .mix import mix_sources
+from .ngram_join import near_duplicates
 from .sentencepiece_codec import decode_documents, encode_documents
 
 
@@ -32,10 +33,15 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", "ids_hash", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).eqNullSafe(F.col("sha")).alias("exact"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op5_scan_licenses": op5_scan_licenses,
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
@@ -64,4 +70,18 @@ r AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (whole + CASE WHEN cum - size / 2 <= goal THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r""",
+    "op10_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS s
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.reached) AS component_id
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
 }
