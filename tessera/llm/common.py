@@ -47,6 +47,13 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that what a task makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_pattern() -> str:
     return r"[^\x20\x09-\x0D]+"
 

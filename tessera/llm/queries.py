@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import scan_licenses
+from .line_dedup import dedup_lines
 from .mix import mix_sources
 from .ngram_join import near_duplicates
+from .quality import fit_quality, held_out, predicted, score_quality
 from .sentencepiece_codec import decode_documents, encode_documents
 
 
@@ -20,6 +22,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted().alias("predicted"))
+
+
 def op5_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -39,6 +52,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_scan_licenses": op5_scan_licenses,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_ngram_join": op10_ngram_join,
@@ -84,4 +99,20 @@ e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b W
 r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.reached) AS component_id
 FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op3_line_dedup": r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS void, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
+k AS (
+  SELECT trim(line) AS line FROM l WHERE trim(line) <> ''
+  GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, '')) >= 10),
+f AS (
+  SELECT l.doc_id, l.line, l.pos,
+         k.line IS NOT NULL AND row_number() OVER (PARTITION BY k.line ORDER BY l.doc_id, l.pos) > 1 AS gone
+  FROM l LEFT JOIN k ON trim(l.line) = k.line),
+r AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+  FROM f GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN r USING (doc_id)""",
 }
