@@ -9,6 +9,7 @@ from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .mix import mix_sources
 from .ngram_join import near_duplicates
+from .pii import find_pii, span_string
 from .quality import fit_quality, held_out, predicted, score_quality
 from .sentencepiece_codec import decode_documents, encode_documents
 
@@ -46,6 +47,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_ids", "ids_hash", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).eqNullSafe(F.col("sha")).alias("exact"))
 
 
+def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(table(spark, sf_dir, "documents"))
+    counts = [f"n_{k}" for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(span_string(F.col("base")), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +63,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_scan_licenses": op5_scan_licenses,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_find_pii": op8_find_pii,
     "op10_ngram_join": op10_ngram_join,
 }
 
