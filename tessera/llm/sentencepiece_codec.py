@@ -9,6 +9,8 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import slices
+
 #: Where the public vocabulary is; always a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks remembered by a worker (twice as many at most, none longer than LONG); only speed depends on it.
@@ -149,7 +151,7 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model
 
     def run(batches):
         encoder = Encoder(vocab.value)
-        for batch in batches:
+        for batch in slices(batches):
             flat, ends = array("i"), array("q", [0])
             texts = batch.column(len(keep))
             for text in texts.to_pylist():
@@ -172,10 +174,10 @@ def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), mo
 
     def run(batches):
         raw = vocab.value["raw"]
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(len(keep))
-            flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), [0, *pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0)).to_pylist()]
-            texts = [b"".join(map(raw.__getitem__, flat[a:b])).decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:])]
+            flat, ends = ids.flatten().to_numpy(zero_copy_only=False), [0, *pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0)).to_pylist()]
+            texts = [b"".join(map(raw.__getitem__, flat[a:b].tolist())).decode("utf-8", "replace")[1:] for a, b in zip(ends, ends[1:])]
             texts = pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False) if ids.null_count else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), texts], [*keep, "text"])
 
