@@ -138,14 +138,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, features: int = 160, ridge:
 def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and score (0 to 1) of every row's whole text; a null text is scored as an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, F.col("text").alias("_text"))
+    chosen = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    at = chosen.columns.index("text")
 
     def run(batches):
         for batch in slices(batches):
-            x = np.array([statistics(t or "") for t in batch.column(len(keep)).to_pylist()])
+            x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(sent.value.score(x))], [*keep, "score"])
 
-    return chosen.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c != "_text") + ", score double")
+    return chosen.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in chosen.select(*keep).dtypes) + ", score double")
 
 
 def predicted(threshold: float = 0.3) -> Column:
