@@ -61,7 +61,7 @@ def embedding_text(subject: Column, obj: Column, kind: Column, operator: Column,
 
 def attribute_text(values: Column) -> Column:
     """An attribute given as a list: its parts trimmed and joined."""
-    return F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(values, lambda x: x.isNotNull()), F.trim), ", "), r"^[, ]+|[, ]+$", ""))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(values, lambda x: x.isNotNull()), lambda x: F.trim(x)), ", "), r"^[, ]+|[, ]+$", ""))
 
 
 def parse_number(raw: Column) -> Column:

@@ -32,14 +32,15 @@ class CollisionIndex:
         self.ids = order.T.ravel()
         self.sorted = (np.take_along_axis(at, order, 0) + self.shift).T.ravel()
         self.start = np.arange(projections) * n
-        self.first = max(1e-9, 0.05 * float(np.sqrt((at.std(0) ** 2).mean())))
+        self.spread = data[:: max(1, n // 256)]
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, distances) of the verified vectors when k of them lie within the radius, or all vectors are verified."""
         n = len(self.data)
         spot = query @ self.axes
         known = skip.copy()
-        rows, dist, radius = np.zeros(0, np.int64), np.zeros(0), self.first
+        near = float(np.sqrt(((self.spread - query) ** 2).sum(1)).min())  # a radius that can't be far too small; a larger one only verifies more
+        rows, dist, radius = np.zeros(0, np.int64), np.zeros(0), max(1e-9, 0.75 * near)
         while True:
             lo = np.searchsorted(self.sorted, np.clip(spot - radius, self.low - 0.5, self.high + 0.5) + self.shift, "left")
             hi = np.searchsorted(self.sorted, np.clip(spot + radius, self.low - 0.5, self.high + 0.5) + self.shift, "right")

@@ -542,3 +542,57 @@ def revision_window(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as revisions of their customer: one current each."""
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("revision"), F.lead("o_orderkey").over(w).isNull().alias("current"))
+
+
+@query("stream_sync", """SELECT json_extract_string(props, '$.k')::BIGINT AS document, max_by(CASE event_type WHEN 'signup' THEN 'processed' WHEN 'error' THEN 'deleted' ELSE 'updated' END, event_id) AS status,
+max(event_id) AS last_event, count(*) AS n_events FROM events GROUP BY 1""")
+def stream_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream: each document's state after its last event."""
+    from .streaming.sync import document_states
+
+    return document_states(spark, sf)
+
+
+@query("extract_rules", f"""{GRAPH_SQL} SELECT id AS node_id, subject, CASE WHEN value_unit = '%' THEN 'минимальная_доля_площади' WHEN value_operator = '>=' THEN 'минимальное_расстояние' ELSE 'предельная_высота' END AS kind,
+value_operator, value_number, value_unit FROM restriction""")
+def extract_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What the rules find in a clause written for each derived restriction."""
+    from .operators.extract import extract, to_restrictions
+
+    r = derived.line_restrictions(spark, sf)
+    bound = F.when(F.col("value_operator") == ">=", "не менее").otherwise("не более")
+    text = F.concat_ws(" ", "subject", F.lit("должен отстоять"), bound, F.col("value_number").cast("long").cast("string"), "value_unit", F.lit("от границы."))
+    clauses = r.select(F.col("id").alias("node_id"), "doc_id", F.lit(0).alias("order"), text.alias("text"))
+    return to_restrictions(extract(clauses)).select("node_id", "subject", "kind", "value_operator", "value_number", "value_unit")
+
+
+@query("resolve_leader_pass")
+def resolve_leader_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """All part types and names resolved in order against a vocabulary of brands: exact, near or new."""
+    from .functions.models import embed_column, hashing_embedder
+    from .operators.vocabulary import resolve_entities
+
+    p = table(spark, sf, "part")
+    embedder = hashing_embedder()
+    nodes = p.select(F.lower("p_brand").alias("normalized")).distinct().withColumn("aliases", F.array().cast("array<string>"))
+    nodes = nodes.withColumn("embedding", embed_column(F.col("normalized"), embedder))
+    labels = p.select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("label")).union(p.select((F.col("p_partkey") + 10_000_000).alias("seq"), F.col("p_name").alias("label")))
+    return resolve_entities(labels, nodes, embedder, 0.7).select("seq", "label", "norm", "key", "how")
+
+
+@query("graph_problems", "SELECT 0::BIGINT AS n")
+def graph_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """How many tables of the derived graph have null or repeated keys."""
+    from .schema import problems
+
+    return problems(derived.order_graph(spark, sf)).agg(F.count("*").alias("n"))
+
+
+@query("plan_contract", f"{GRAPH_SQL} SELECT restriction_id, template, CASE WHEN template = 'unsupported' THEN 'template' END AS problem FROM plan")
+def plan_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """What the contract finds wrong with each planned restriction's plan."""
+    from .plans.contract import plan_problem
+
+    p = plan_columns(derived.line_restrictions(spark, sf))
+    whole = F.concat(F.lit('{"schema_version":"1.0","template":"'), "template", F.lit('","template_version":1,"params":'), "params_json", F.lit(',"declared_requirements":'), "requirements_json", F.lit(',"source":'), "source_json", F.lit(',"planner_status":"'), "planner_status", F.lit('"}'))
+    return p.select("restriction_id", "template", plan_problem(whole).alias("problem"))
