@@ -47,6 +47,19 @@ def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: Bytes of an Arrow batch where the session leaves Spark's default (64 MB): rows and what Python makes of them stay small, long texts or not.
+BATCH_BYTES = "4m"
+_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of a few MB; a bound that the session sets itself is kept."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        conf.set(_BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in slices of few rows, so that what a task makes of them stays small."""
     for batch in batches:

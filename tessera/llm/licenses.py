@@ -7,6 +7,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_batches
+
 # Phrases (their words in a row) and the label each stands for.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 MORE = {
@@ -148,4 +150,4 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_batches(chosen, run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small, stage
+from .common import map_batches, slices, small, stage
 
 #: Raw scores are calibrated in this many bins between LOW and HIGH.
 BINS, LOW, HIGH = 1000, -0.5, 1.5
@@ -90,7 +90,7 @@ def described(labelled: DataFrame) -> DataFrame:
             xs = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), N_STATISTICS).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), xs], ["y", "x"])
 
-    return labelled.select(F.col("y").cast("double"), "text").mapInArrow(run, "y double, x array<double>")
+    return map_batches(labelled.select(F.col("y").cast("double"), "text"), run, "y double, x array<double>")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, features: int = 160, ridge: float = 1.0, seed: int = 5) -> QualityModel:
@@ -118,7 +118,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, features: int = 160, ridge:
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], ["i", "j", "v"])
 
     sums = np.zeros((features + 1, features + 2))
-    for i, j, v in rows.mapInArrow(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect():
+    for i, j, v in map_batches(rows, products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect():
         sums[i, j] = v
     if not sums[-1, -2]:
         return model
@@ -129,7 +129,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, features: int = 160, ridge:
             bins = np.clip(((model.raw(x) - LOW) / (HIGH - LOW) * BINS).astype(np.int64), 0, BINS - 1)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(y)], ["bin", "y"])
 
-    counts = sorted(rows.mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.count("*"), F.sum("y")).collect())
+    counts = sorted(map_batches(rows, binned, "bin long, y double").groupBy("bin").agg(F.count("*"), F.sum("y")).collect())
     at, n, good = (np.array(c, float) for c in zip(*counts))
     model.knots, model.levels = LOW + (at + 0.5) * (HIGH - LOW) / BINS, isotonic(n, good)
     return model
@@ -146,7 +146,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: tuple[str, ...] =
             x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(sent.value.score(x))], [*keep, "score"])
 
-    return chosen.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in chosen.select(*keep).dtypes) + ", score double")
+    return map_batches(chosen, run, ", ".join(f"`{c}` {t}" for c, t in chosen.select(*keep).dtypes) + ", score double")
 
 
 def predicted(threshold: float = 0.3) -> Column:

@@ -9,7 +9,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices
+from .common import map_batches, slices
 
 #: Where the public vocabulary is; always a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -163,7 +163,7 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), ids], [*keep, "ids"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c != "text")
-    return chosen.mapInArrow(run, f"{fields}, ids array<int>")
+    return map_batches(chosen, run, f"{fields}, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
@@ -182,4 +182,4 @@ def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), mo
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), texts], [*keep, "text"])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in chosen.dtypes if c != "ids")
-    return chosen.mapInArrow(run, f"{fields}, text string")
+    return map_batches(chosen, run, f"{fields}, text string")

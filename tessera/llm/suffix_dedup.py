@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small, stage
+from .common import map_batches, slices, small, stage
 from .shingles import text_buffers
 from .suffix_array import suffix_array
 from .windows import Hashed, segments
@@ -43,7 +43,7 @@ def routed(docs: DataFrame, length: int) -> DataFrame:
                 loc = (start << 20) | (anchor << 10) | (end - start - length)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(loc), pa.array(v), pa.array(sh)], ["doc_id", "t1", "t2", "loc", "v", "sh"])
 
-    return chosen.mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, loc long, v long, sh long")
+    return map_batches(chosen, run, f"doc_id {kind}, t1 long, t2 long, loc long, v long, sh long")
 
 
 def cut_segments(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
@@ -80,7 +80,7 @@ def cut_segments(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names)
 
-    return joined.select("t1", "t2", "text", "segs").mapInArrow(run, "k1 long, k2 long, t1 long, t2 long, at long, off long, m long, bytes binary")
+    return map_batches(joined.select("t1", "t2", "text", "segs"), run, "k1 long, k2 long, t1 long, t2 long, at long, off long, m long, bytes binary")
 
 
 def groups(batches) -> Iterator[pa.Table]:
@@ -211,7 +211,7 @@ def shared_spans(docs: DataFrame, length: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["t1", "t2", "start", "end"])
 
-    partial = cut.mapInArrow(run, "t1 long, t2 long, start long, end long")
+    partial = map_batches(cut, run, "t1 long, t2 long, start long, end long")
     many = distinct.where("m >= 2").select("v", "sh", F.lit(True).alias("full"))
     full = hits.where("same").select("t1", "t2", "loc").unionByName(hits.where("not same").join(small(many, distinct.count()), ["v", "sh"]).select("t1", "t2", "loc"))
     start = F.shiftright("loc", 20)
@@ -248,4 +248,4 @@ def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
             places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, places), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return joined.select("doc_id", "text", "ranges").mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return map_batches(joined.select("doc_id", "text", "ranges"), run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
