@@ -122,8 +122,9 @@ def _table(batches) -> dict[str, np.ndarray] | None:
 
 
 def chained(entries: DataFrame, percent: int) -> DataFrame:
-    """Staged. Rows with h null: candidate pairs (a, b) of neighbours by size in each shingle's group. Others: the entries
-    (h, a = node, n, pos) of groups of three and more, whose other pairs may still matter. Shingles of one document end here."""
+    """Staged. Rows with h null: candidate pairs (a, b) of neighbours by size in each shingle's group, n = nodes of that group.
+    Others: the entries (h, a = node, n, pos) of groups of three and more, whose other pairs may still matter. Shingles of one
+    document end here."""
 
     def run(batches):
         t = _table(batches)
@@ -140,8 +141,9 @@ def chained(entries: DataFrame, percent: int) -> DataFrame:
         pairs = np.stack([np.minimum(node[k], node[k + 1]), np.maximum(node[k], node[k + 1])], 1)
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         count = np.diff(np.concatenate([first, [len(h)]]))
-        rest = np.flatnonzero(np.repeat(count >= 3, count))
-        for cols in ((None, pairs[:, 0], pairs[:, 1], None, None), (h[rest], node[rest], None, n[rest], pos[rest])):
+        members = np.repeat(count, count)
+        rest = np.flatnonzero(members >= 3)
+        for cols in ((None, pairs[:, 0], pairs[:, 1], members[k], None), (h[rest], node[rest], None, n[rest], pos[rest])):
             m = len(cols[1])
             for at in range(0, m, 100_000):
                 part = slice(at, min(m, at + 100_000))
@@ -152,12 +154,21 @@ def chained(entries: DataFrame, percent: int) -> DataFrame:
 
 def first_partners(chain: DataFrame) -> DataFrame:
     """Staged: for each node the partner that it meets in most groups and its least one. The first round only has to join what is
-    easily joined; all other pairs are compared in the rounds after it."""
+    easily joined; all other pairs are compared in the rounds after it: those of larger groups by crossing, the others by left_out."""
     pairs = chain.where("h is null").groupBy("a", "b").agg(F.count("*").alias("times"))
     best = pairs.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("minus"))).alias("m"), F.min("a").alias("least"))
     return stage(best.select("b", F.explode(F.array(-F.col("m.minus"), F.col("least"))).alias("a")).select("a", "b").distinct(), "pairs")
 
 
+def left_out(chain: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
+    """Staged: the pairs of groups of two that the first round did not try and whose ends lie in different components so far."""
+    pairs = stage(chain.where("h is null and n = 2").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "untried")
+    n = roots.count()
+    for end in ("a", "b"):
+        pairs = pairs.join(small(roots.select(F.col("node").alias(end), F.col("component_id").alias(f"root_{end}")), n), end, "left")
+    return stage(pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "left_out")
+
+
 def allowed(n: np.ndarray, percent: int) -> np.ndarray:
     """How many hashes sets of n hashes in all may differ by."""
     return n - 2 * -(-percent * n // (100 + percent))
@@ -294,8 +305,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs: documents link when 100 * shared shingles >= percent * all shingles.
 
     Equal sets are one node. Round one compares neighbours by size in each prefix shingle's group, which joins most of a large
-    group of near copies by a pair or two each; round two the nearest pairs between different components, and round three all
-    pairs left between different components, so that components are those of the full join. A row without words has 0 shingles and its own doc_id; a row with a null
+    group of near copies by a pair or two each; round two the pairs of groups of two that round one left out and the nearest
+    pairs between different components, and round three all pairs left between different components, so that components are
+    those of the full join. A row without words has 0 shingles and its own doc_id; a row with a null
     doc_id links with nothing and has a null component; rows with one doc_id but different texts are nodes each.
     """
     described = describe(docs)
@@ -305,11 +317,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sketches, nodes = nodes.select("node", "n", "sketch"), nodes.drop("n", "sketch")
     n_nodes = nodes.count()
     chain = chained(prefixes(docs, small(nodes, n_nodes), frequencies(described), percent), percent)
-    edges = verified(plausible(first_partners(chain), sketches, percent), docs, nodes, percent)
+    first = first_partners(chain)
+    edges = verified(plausible(first, sketches, percent), docs, nodes, percent)
     roots = stage(components(edges), "roots")
     entries = chain.where("h is not null").drop("b")
     for nearest in (True, False):
         rest = crossing(entries, roots, sketches, percent, nearest)
+        if nearest:
+            rest = stage(rest.unionByName(plausible(left_out(chain, first, roots), sketches, percent)).distinct(), "second")
         if rest.isEmpty():
             break
         edges = edges.unionByName(verified(rest, docs, nodes, percent))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # not loaded by pyarrow itself: pa.compute fails in a fresh worker
 
 #: Bytes of text hashed at once; a longer text is a block of its own.
 BLOCK = 1 << 20

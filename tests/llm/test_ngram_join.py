@@ -41,6 +41,18 @@ def test_against_brute_force(spark, prose, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_partners_that_compete_in_groups_of_two(spark):
+    """b shares more rare shingles with a1, which is not similar, than with a3, which is: no pair may be lost to the other.
+    Repeated rows make the text's shingles more frequent than the tail's, so b's prefix starts with its tail."""
+    rows = []
+    for k in range(40):
+        text, tail, other = ([f"{c}{k}x{i}" for i in range(n)] for c, n in (("t", 85), ("e", 19), ("o", 85)))
+        a1, a3, b = " ".join(other + tail), " ".join(text), " ".join(text + tail)
+        rows += [(10 * k, b), (10 * k + 1, a1), *[(10 * k + 2, a3)] * 3, *[(10 * k + 3, " ".join(other))] * 5]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(dict(rows).items())
+
+
 def test_sketches_never_differ_more_than_sets():
     r = np.random.default_rng(1)
     for n in (1, 5, 60, 300, 2000):
