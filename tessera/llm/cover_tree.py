@@ -14,8 +14,11 @@ from .vectors import matrix, usable
 
 #: Vectors of a block; a task holds two.
 BLOCK = 3072
-#: Distances are allowed this much more before a pair of nodes is pruned: rounding never loses a pair.
+#: Distances are allowed this much more before a pair of nodes is pruned.
+#: Radii and gaps are computed in double, with errors under 1e-7, so rounding never loses a pair.
 SLACK = 1e-4
+#: Slices hold so many numbers.
+SLICE = 1 << 20
 
 
 class CoverTree:
@@ -40,7 +43,7 @@ class CoverTree:
                     inside = near[at, left] >= dot
                     covered = left[inside]
                     left = left[~inside]
-                    far = math.sqrt(max(0.0, 2 - 2 * float(near[at, covered].min()))) if len(covered) else 0.0
+                    far = self.furthest(at, covered)
                     own.append(len(level))
                     level.append((at, far, np.concatenate([[at], covered])))
                     if not len(left):
@@ -53,6 +56,12 @@ class CoverTree:
                 return
             radius /= 2
 
+    def furthest(self, at: int, covered: np.ndarray) -> float:
+        """Norms of differences in double: dot products in single precision can't tell distances under 1e-3."""
+        step = max(1, SLICE // self.unit.shape[1])
+        parts = (self.unit[covered[k : k + step]] - self.unit[at] for k in range(0, len(covered), step))
+        return max((math.sqrt(float((d * d).sum(1).max())) for d in parts), default=0.0)
+
     def centres(self, level: int, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         chosen = [self.levels[level][k] for k in nodes]
         return self.unit[[c for c, _, _ in chosen]], np.array([r for _, r, _ in chosen])

@@ -47,6 +47,19 @@ def test_links_and_components(spark, table, monkeypatch, block):
     assert got == want
 
 
+def test_no_pair_at_the_threshold_is_pruned():
+    """x lies 5e-4 from its centre c and just within reach of y, c just beyond: c's covering radius must not round to less."""
+    r, reach = np.random.default_rng(8), np.sqrt(2 - 2 * 0.93)
+    for _ in range(400):
+        c, side = np.linalg.qr(r.normal(size=(64, 2)))[0].T
+        at = lambda angle, c=c, side=side: np.cos(angle) * c + np.sin(angle) * side
+        y = at(2 * np.arcsin((reach + 4.5e-4) / 2))
+        x = at(5e-4)
+        assert x @ y >= 0.93 > c @ y
+        trees = cover_tree.CoverTree(np.stack([c, x]), reach / 2), cover_tree.CoverTree(y[None], reach / 2)
+        assert any(1 in xs for xs, *_ in cover_tree.close_pairs(*trees, reach))
+
+
 def test_neighbours_recall(spark, table):
     df, rows = table
     ok = [r for r in rows if usable(r[1])]
