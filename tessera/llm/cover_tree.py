@@ -14,11 +14,11 @@ from .vectors import matrix, usable
 
 #: Vectors of a block; a task holds two.
 BLOCK = 3072
-#: Distances are allowed this much more before a pair of nodes is pruned.
+#: Distances are allowed this much more before a pair of nodes is pruned, and this much less before all of it counts as linked.
 #: Radii and gaps are computed in double, with errors under 1e-7, so rounding never loses a pair.
 SLACK = 1e-4
-#: Slices hold so many numbers.
-SLICE = 1 << 20
+#: Pairs of nodes that hold no more pairs of vectors than this are compared at once. Slices hold so many pairs, or numbers.
+FEW, SLICE = 4096, 1 << 20
 
 
 class CoverTree:
@@ -68,27 +68,45 @@ class CoverTree:
 
 
 def close_pairs(a: CoverTree, b: CoverTree, reach: float):
-    """(members of a, members of b) of node pairs that may hold vectors within reach. Both trees are walked down together,
-    the one with fewer levels waiting at its leaves; a pair of nodes is pruned when its centres are further apart than reach and
-    both covering radii."""
+    """(members of a, members of b, sure) of node pairs that may hold vectors within reach, or surely hold no others. Both trees are
+    walked down together, the one with fewer levels waiting at its leaves; a pair of nodes is pruned when its centres are further
+    apart than reach and both covering radii, and done when all its members are within reach. Within one tree each pair of
+    vectors comes once, and a node with itself as the same array twice."""
     pairs = [(0, 0)]
-    depth = max(len(a.children), len(b.children))
-    for turn in range(depth):
+    for turn in range(max(len(a.children), len(b.children))):
         la, lb = min(turn, len(a.children) - 1), min(turn, len(b.children) - 1)
         down_a, down_b = turn < len(a.children), turn < len(b.children)
+        level_a, level_b = a.levels[min(turn + 1, len(a.children))], b.levels[min(turn + 1, len(b.children))]
+        last = turn + 1 >= max(len(a.children), len(b.children))
         below = []
         for x, y in pairs:
             xs = a.children[la][x] if down_a else [x]
             ys = b.children[lb][y] if down_b else [y]
             ca, ra = a.centres(min(turn + 1, len(a.children)), xs)
             cb, rb = b.centres(min(turn + 1, len(b.children)), ys)
-            for at in range(0, len(xs), 1024):
-                gap = np.sqrt(np.maximum(0, 2 - 2 * (ca[at : at + 1024] @ cb.T)))
-                i, j = np.nonzero(gap <= reach + SLACK + ra[at : at + 1024, None] + rb[None, :])
-                below += [(xs[p + at], ys[q]) for p, q in zip(i.tolist(), j.tolist())]
+            parts = [level_b[q][2] for q in ys]
+            size_a, size_b = np.array([len(level_a[p][2]) for p in xs]), np.array([len(m) for m in parts])
+            members, of = np.concatenate(parts), np.repeat(np.arange(len(ys)), size_b)
+            for at in range(0, len(xs), 256):
+                part = slice(at, at + 256)
+                gap = np.sqrt(np.maximum(0, 2 - 2 * (ca[part] @ cb.T)))
+                both = ra[part, None] + rb[None, :]
+                near, sure = gap <= reach + SLACK + both, gap + both <= reach - SLACK
+                small_ = last | (size_a[part, None] * size_b[None, :] <= FEW)
+                for k in range(len(gap)):
+                    p = at + k
+                    own = level_a[xs[p]][2]
+                    if a is b and x == y:
+                        near[k, :p] = False
+                        if sure[k, p] or small_[k, p]:
+                            near[k, p] = False
+                            yield own, own, bool(sure[k, p])
+                    whole, rest = near[k] & sure[k], near[k] & ~sure[k]
+                    for chosen, done in ((whole, True), (rest & small_[k], False)):
+                        if chosen.any():
+                            yield own, members[chosen[of]], done
+                    below += [(xs[p], ys[q]) for q in np.flatnonzero(rest & ~small_[k]).tolist()]
         pairs = below
-    for x, y in pairs:
-        yield a.levels[-1][x][2], b.levels[-1][y][2]
 
 
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +125,56 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
+class Links:
+    """Counts of links and links that keep who reaches whom, from pairs of groups of vectors; memory is bounded whatever their size."""
+
+    def __init__(self, v: np.ndarray, m: np.ndarray, cosine: float) -> None:
+        self.v, self.m, self.cosine = v, m, cosine
+        self.norm = np.sqrt((v * v).sum(1))
+        self.unit = v / self.norm[:, None]
+        self.links, self.found, self.n = np.zeros(len(v), np.int64), [], 0
+
+    def keep(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.found.append(np.stack([x, y]))
+        self.n += len(x)
+        if self.n > 2 * SLICE:
+            x, y = forest(*np.concatenate(self.found, 1))
+            self.found, self.n = [np.stack([x, y])], 0
+
+    def all(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        """Every two of the groups, or of one group, are linked: counted as a whole."""
+        m = self.m
+        if xs is ys:
+            self.links[xs] += m[xs].sum() - m[xs]
+        else:
+            self.links[xs] += m[ys].sum()
+            self.links[ys] += m[xs].sum()
+            self.keep(xs, np.full(len(xs), ys[0]))
+        self.keep(np.full(len(ys), xs[0]), ys)
+
+    def check(self, xs: np.ndarray, ys: np.ndarray) -> None:
+        """Linked are those whose cosine is high enough, by products of slices; those near the threshold are computed again."""
+        m, step = self.m, max(1, SLICE // len(ys))
+        for at in range(0, len(xs), step):
+            part = xs[at : at + step]
+            dot = self.unit[part] @ self.unit[ys].T
+            close = dot >= self.cosine
+            i, j = np.nonzero(np.abs(dot - self.cosine) < 1e-9)
+            few = max(1, SLICE // self.v.shape[1])
+            for k in range(0, len(i), few):
+                p, q = i[k : k + few], j[k : k + few]
+                x, y = part[p], ys[q]
+                close[p, q] = (self.v[x] * self.v[y]).sum(1) / (self.norm[x] * self.norm[y]) >= self.cosine
+            if xs is ys:
+                close[np.arange(len(part)), at + np.arange(len(part))] = False
+            self.links[part] += close @ m[ys]
+            if xs is not ys:
+                self.links[ys] += m[part] @ close
+            i, j = np.nonzero(close)
+            if len(i):
+                self.keep(part[i], ys[j])
+
+
 def linked(distinct: DataFrame, cosine: float) -> DataFrame:
     """Staged (node, links) and (a, b) rows: how many vectors each node links to within a pair of blocks, and who reaches whom there."""
     counts = stage(distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb")), "labels")
@@ -119,21 +187,14 @@ def linked(distinct: DataFrame, cosine: float) -> DataFrame:
         group = group.sort_by("node")
         v, node, m, block = matrix(group.column("v")), group.column("node").to_numpy(), group.column("m").to_numpy(), group.column("block").to_numpy()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        norm = np.sqrt((v * v).sum(1))
+        seen = Links(v, m, cosine)
         sides = [np.flatnonzero(block == b) for b in ((i, j) if i != j else (i,))]
-        trees = [CoverTree(v[s] / norm[s, None], reach / 2) for s in sides if len(s)]
-        links, found = np.zeros(len(node), np.int64), []
+        trees = [CoverTree(seen.unit[s], reach / 2) for s in sides if len(s)]
         if len(trees) == len(sides):
-            for xs, ys in close_pairs(trees[0], trees[-1], reach):
-                x, y = np.repeat(sides[0][xs], len(ys)), np.tile(sides[-1][ys], len(xs))
-                once = x < y if i == j else slice(None)
-                x, y = x[once], y[once]
-                exact = (v[x] * v[y]).sum(1) / (norm[x] * norm[y]) >= cosine
-                x, y = x[exact], y[exact]
-                np.add.at(links, x, m[y])
-                np.add.at(links, y, m[x])
-                if len(x):
-                    found.append(np.stack([x, y]))
+            for xs, ys, sure in close_pairs(trees[0], trees[-1], reach):
+                x = sides[0][xs]
+                (seen.all if sure else seen.check)(x, x if xs is ys else sides[-1][ys])
+        links, found = seen.links, seen.found
         at = np.flatnonzero(links)
         a, b = forest(*np.concatenate(found, 1)) if found else (at, at)
         one = lambda values, k: pa.concat_arrays([pa.array(values, pa.int64()), pa.nulls(k, pa.int64())])

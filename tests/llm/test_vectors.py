@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -60,6 +62,32 @@ def test_no_pair_at_the_threshold_is_pruned():
         assert any(1 in xs for xs, *_ in cover_tree.close_pairs(*trees, reach))
 
 
+@pytest.mark.parametrize("noise", [0.012, 0.03, 0.035])
+def test_a_large_noisy_group_stays_in_bounded_memory(noise):
+    """Cosines to the centre about 0.995, 0.97 and 0.95: leaves that link as a whole, and pairs on both sides of the threshold."""
+    r, reach, n = np.random.default_rng(9), np.sqrt(2 - 2 * 0.93), 2500
+    v = r.normal(size=64) / 8 + r.normal(size=(n, 64)) * noise
+    m = r.integers(1, 4, n)
+    tracemalloc.start()
+    seen = cover_tree.Links(v, m, 0.93)
+    for half in (slice(None), slice(0, n // 2)):
+        seen.links[:], seen.found = 0, []
+        trees = [cover_tree.CoverTree(seen.unit[half], reach / 2)]
+        trees.append(trees[0] if half == slice(None) else cover_tree.CoverTree(seen.unit[n // 2 :], reach / 2))
+        for xs, ys, sure in cover_tree.close_pairs(*trees, reach):
+            (seen.all if sure else seen.check)(xs, ys if trees[0] is trees[1] else ys + n // 2)
+        link = seen.unit @ seen.unit.T >= 0.93
+        np.fill_diagonal(link, False)
+        if trees[0] is not trees[1]:
+            link[: n // 2, : n // 2] = link[n // 2 :, n // 2 :] = False
+        assert (seen.links == link @ m).all()
+        x, y = np.nonzero(link)
+        assert [z.tolist() for z in cover_tree.forest(x, y)] == [z.tolist() for z in cover_tree.forest(*np.concatenate(seen.found, 1))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1e9
+
+
 def test_neighbours_recall(spark, table):
     df, rows = table
     ok = [r for r in rows if usable(r[1])]
