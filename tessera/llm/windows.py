@@ -10,8 +10,10 @@ from .shingles import _power, blocks, mixed
 
 #: Bytes of the k-gram that names a group.
 GRAM = 32
+#: Bytes of a long text that are looked at together; ranges overlap by a string less a byte. Positions in a range fit into POSITION bits.
+RANGE, POSITION = 1 << 20, 24
 _VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LOW = np.uint64((1 << 24) - 1)
+_LOW = np.uint64((1 << POSITION) - 1)
 
 
 class Hashed:
@@ -41,12 +43,24 @@ def least_positions(grams: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & _LOW).astype(np.int64)
 
 
+def ranges(offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first text, its range's bounds in the data): some whole texts, or a range of one long text. Each string of the given length lies
+    in one of them whole, and its start in one only."""
+    for a, b in blocks(offsets):
+        if b - a > 1 or offsets[b] - offsets[a] <= RANGE + length - 1:
+            yield a, offsets[a : b + 1]
+            continue
+        for at in range(int(offsets[a]), int(offsets[b]) - length + 1, RANGE):
+            yield a, np.array([at, min(at + RANGE + length - 1, int(offsets[b]))])
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(text, start, end, anchor, key, hash) arrays, a block at a time: the maximal ranges whose strings of the given length share
     their anchor. Each start of such a string lies in one segment; equal strings have the same key and lie alike around it."""
-    for a, b in blocks(offsets):
-        base, ends = offsets[a], offsets[a : b + 1] - offsets[a]
-        raw = data[base : offsets[b]]
+    for a, bounds in ranges(offsets, length):
+        base, ends = bounds[0], bounds - bounds[0]
+        raw = data[base : bounds[-1]]
+        before = base - offsets[a]  # bytes of a long text before its range
         if len(raw) < length:
             continue
         hashed = Hashed(raw)
@@ -67,4 +81,4 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tup
         last = bound[np.searchsorted(bound, starts, "right")]
         text = np.searchsorted(ends, starts, "right") - 1
         anchor = least[starts]
-        yield text + a, starts - ends[text], last - 1 + length - ends[text], anchor - starts, grams[anchor].view(np.int64), hashed.of(starts, last - 1 + length).view(np.int64)
+        yield text + a, before + starts - ends[text], before + last - 1 + length - ends[text], anchor - starts, grams[anchor].view(np.int64), hashed.of(starts, last - 1 + length).view(np.int64)

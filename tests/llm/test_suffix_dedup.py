@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import suffix_dedup
+from tessera.llm import shingles, suffix_dedup, windows
 from tessera.llm.suffix_array import suffix_array
 
 
@@ -46,6 +46,25 @@ def test_against_brute_force(spark, monkeypatch, group, length):
         assert len(raws[row["doc_id"]]) - sum(s["end"] - s["start"] for s in row["spans"]) == len(row["kept"])
 
 
+def test_long_texts_past_the_width_of_positions(monkeypatch):
+    """Positions of 12 bits and texts of 9,000 bytes stand for 24 bits and over 16 MiB."""
+    monkeypatch.setattr(shingles, "BLOCK", 1000)
+    monkeypatch.setattr(windows, "_LOW", np.uint64((1 << 12) - 1))
+    monkeypatch.setattr(windows, "RANGE", 1500, raising=False)
+    r, n = random.Random(6), 60
+    passage = bytes(r.choices(b"abcd", k=400))
+    texts = [bytes(r.choices(b"xyz", k=4500)) + passage + bytes(r.choices(b"xyz", k=k)) + passage for k in (3700, 10, 900)] + [passage, b"", b"x" * n]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    key_of, starts = {}, [Counter() for _ in texts]
+    for block in windows.segments(np.frombuffer(b"".join(texts), np.uint8), offsets, n):
+        for text, start, end, anchor, key, _ in zip(*(x.tolist() for x in block)):
+            assert 0 <= end - start - n <= anchor <= n - windows.GRAM and end <= len(texts[text])
+            for at in range(start, end - n + 1):
+                starts[text][at] += 1
+                assert key_of.setdefault(texts[text][at : at + n], (key, start + anchor - at)) == (key, start + anchor - at)
+    assert starts == [Counter(range(len(t) - n + 1)) for t in texts]
+
+
 def test_odd_rows_and_an_empty_table(spark, odd_docs, no_docs):
     rows = suffix_dedup.dedup_substrings(odd_docs).collect()
     assert len(rows) == odd_docs.count()
