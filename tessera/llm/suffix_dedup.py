@@ -16,7 +16,7 @@ from .windows import Hashed, segments
 
 #: Offsets of a piece; what its strings have in common is one symbol when its suffixes are sorted.
 WIDTH = 16
-#: Different segments of one key that a task sorts together; a larger group is dealt out by its pieces' common parts.
+#: Different segments of one key that a task sorts together; in a larger group strings are counted by what they have beside their piece's core.
 GROUP = 4096
 #: Rows whose pieces are sorted at once, and symbols of a suffix array.
 PACK, SYMBOLS = 2000, 60_000
@@ -46,27 +46,17 @@ def routed(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(chosen, run, f"doc_id {kind}, t1 long, t2 long, loc long, v long, sh long")
 
 
-def cut_segments(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, t1, t2, at, off, m, bytes): the bytes of the chosen segments, at the text position and off the distance of their anchor.
-
-    k1, k2 is the key within which equal strings meet: the segment's own, or for a hot key the hash of what all strings of a piece share.
-    """
-    by_text = stage(chosen.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("loc", "v", "hot", "m")).alias("segs")), "wanted")
+def with_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """t1, t2, text, segs: the texts that hold chosen segments, with these."""
+    by_text = stage(chosen.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("loc", "v", "m")).alias("segs")), "wanted")
     wanted = by_text.withColumnsRenamed({"doc_id": "_id", "t1": "_t1", "t2": "_t2"})
     joined = docs.join(small(wanted, wanted.count(), BROADCAST_TEXTS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
-    names = ["k1", "k2", "t1", "t2", "at", "off", "m", "bytes"]
-
-    def pieces(raw: bytes, loc: int, v: int, hot: bool) -> Iterator[tuple]:
-        start, off, more = loc >> 20, (loc >> 10) & 1023, loc & 1023
-        if not hot:
-            yield v, 0, off, raw[start : start + length + more]
-            return
-        at = start + off
-        for q in range((off - more) // WIDTH, off // WIDTH + 1):
-            most, least = min(off, q * WIDTH + WIDTH - 1), max(off - more, q * WIDTH)
-            core = np.frombuffer(raw[at - q * WIDTH : at - q * WIDTH + length - WIDTH + 1], np.uint8)
-            same = Hashed(core).of(np.zeros(1, np.int64), np.array([len(core)])).view(np.int64)[0]
-            yield v + q, int(same), most, raw[at - most : at - least + length]
+    return joined.select("t1", "t2", "text", "segs")
+
+
+def cut_segments(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """(v, t1, t2, at, off, m, bytes): the bytes of the chosen segments, at the text position and off the distance of their anchor."""
+    names = ["v", "t1", "t2", "at", "off", "m", "bytes"]
 
     def run(batches):
         for batch in slices(batches):
@@ -74,13 +64,62 @@ def cut_segments(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
             for t1, t2, text, segs in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 raw = text.encode()
                 for s in segs:
-                    at = (s["loc"] >> 20) + ((s["loc"] >> 10) & 1023)
-                    rows += [(k1, k2, t1, t2, at, off, s["m"], b) for k1, k2, off, b in pieces(raw, s["loc"], s["v"], s["hot"])]
+                    start, off, more = s["loc"] >> 20, (s["loc"] >> 10) & 1023, s["loc"] & 1023
+                    rows.append((s["v"], t1, t2, start + off, off, s["m"], raw[start : start + length + more]))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names)
 
-    return map_batches(joined.select("t1", "t2", "text", "segs"), run, "k1 long, k2 long, t1 long, t2 long, at long, off long, m long, bytes binary")
+    return map_batches(with_texts(docs, chosen), run, "v long, t1 long, t2 long, at long, off long, m long, bytes binary")
+
+
+def edges(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, hi, lo, around, t1, t2, first, m): pieces of the chosen segments, without the core that all strings of a piece share.
+
+    Key and core are in k1, k2. The piece's strings start hi to lo bytes before the core, which lies at first; around is what the
+    piece has on both sides, so that a string i bytes before the core is the WIDTH - 1 bytes of around from hi - i on."""
+    names = ["k1", "k2", "hi", "lo", "around", "t1", "t2", "first", "m"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    size = length - WIDTH + 1
+
+    def run(batches):
+        for batch in slices(batches):
+            for t1, t2, text, segs in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                raw, rows = text.encode(), []
+                for s in segs:
+                    start, off, more = s["loc"] >> 20, (s["loc"] >> 10) & 1023, s["loc"] & 1023
+                    at = start + off
+                    hashed = Hashed(np.frombuffer(raw, np.uint8)[start : start + length + more])
+                    q = np.arange((off - more) // WIDTH, off // WIDTH + 1)
+                    cores = hashed.of(off - q * WIDTH, off - q * WIDTH + size).view(np.int64).tolist()
+                    for q, core in zip(q.tolist(), cores):
+                        hi, lo, first = min(off - q * WIDTH, WIDTH - 1), max(off - more - q * WIDTH, 0), at - q * WIDTH
+                        rows.append((s["v"] + q, core, hi, lo, raw[first - hi : first] + raw[first + size : first + size + WIDTH - 1 - lo], t1, t2, first, s["m"]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return stage(map_batches(with_texts(docs, chosen), run, "k1 long, k2 long, hi int, lo int, around binary, t1 long, t2 long, first long, m long"), "edges")
+
+
+def counted(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
+    """(t1, t2, start, end) of the strings in the chosen segments that occur twice or more, for keys with many segments.
+
+    Equal pieces are one row before their strings are counted, cores that occur once are left out, and strings are counted by core
+    and the bytes beside it: what a task gets of a passage doesn't grow with the number of its copies, as each task sends one row of it.
+    """
+    whole, core = ["k1", "k2", "hi", "lo", "around"], ["k1", "k2"]
+    pieces = edges(docs, chosen, length)
+    distinct = stage(pieces.groupBy(*whole).agg(F.sum("m").alias("m")), "pieces")
+    twice = stage(distinct.groupBy(*core).agg(F.sum("m").alias("m")).where("m >= 2").select(*core), "cores")
+    distinct = distinct.join(small(twice, twice.count()), core)
+    strings = distinct.withColumn("i", F.explode(F.sequence("lo", "hi"))).withColumn("beside", F.substring("around", F.col("hi") - F.col("i") + 1, F.lit(WIDTH - 1)))
+    found = stage(strings.groupBy(*core, "i", "beside").agg(F.sum("m").alias("times")).where("times >= 2").drop("times"), "strings")
+    hits = strings.join(small(found, found.count()), [*core, "i", "beside"]).groupBy(*whole).agg(F.array_sort(F.collect_list("i")).alias("found"))
+    # Runs of neighbours: their least and their greatest, in order.
+    near, far = F.filter("found", lambda i: ~F.array_contains("found", i - 1)), F.filter("found", lambda i: ~F.array_contains("found", i + 1))
+    hits = stage(hits.select(*whole, F.arrays_zip(near.alias("near"), far.alias("far")).alias("runs")), "hit_pieces")
+    out = pieces.join(small(hits, hits.count()), whole).select("t1", "t2", "first", F.explode("runs").alias("run"))
+    return out.select("t1", "t2", (F.col("first") - F.col("run.far")).alias("start"), (F.col("first") - F.col("run.near") + length).alias("end"))
 
 
 def groups(batches) -> Iterator[pa.Table]:
@@ -91,8 +130,8 @@ def groups(batches) -> Iterator[pa.Table]:
         n += batch.num_rows
         if n >= PACK:
             whole = pa.Table.from_batches(held).combine_chunks()
-            k1, k2 = whole.column(0).to_numpy(), whole.column(1).to_numpy()
-            other = np.flatnonzero((k1 != k1[-1]) | (k2 != k2[-1]))
+            v = whole.column(0).to_numpy()
+            other = np.flatnonzero(v != v[-1])
             held = whole.to_batches()
             if len(other):
                 cut = int(other[-1]) + 1
@@ -105,13 +144,13 @@ def groups(batches) -> Iterator[pa.Table]:
 
 def repeated_windows(table: pa.Table, length: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, flags) for rows of a table of whole keys: which of a row's strings of the given length occur in another row of its key."""
-    k1, k2, off, m = (table.column(c).to_numpy() for c in ("k1", "k2", "off", "m"))
+    v, off, m = (table.column(c).to_numpy() for c in ("v", "off", "m"))
     raws = table.column("bytes").to_pylist()
     size = np.array([len(b) for b in raws])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     data = np.frombuffer(b"".join(raws), np.uint8)
     hashed = Hashed(data)
-    group = np.cumsum(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])) - 1
+    group = np.cumsum(np.concatenate([[True], v[1:] != v[:-1]])) - 1
     least = off - (size - length)
     q0, q1 = least // WIDTH, off // WIDTH
     row = np.repeat(np.arange(len(off)), q1 - q0 + 1)
@@ -197,9 +236,10 @@ def shared_spans(docs: DataFrame, length: int) -> DataFrame:
     hits = stage(segs.join(small(seen, seen.count()), "v"), "hits")
     distinct = hits.where("not same").groupBy("v", "sh").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t1", "t2", "loc")).alias("at"))
     distinct = stage(distinct.select("v", "sh", "m", "at.*"), "segments")
-    hot = stage(distinct.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("v", F.lit(True).alias("hot")), "hot")
-    chosen = distinct.join(small(hot, hot.count()), "v", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    cut = cut_segments(docs, chosen, length).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    hot = stage(distinct.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("v"), "hot")
+    n_hot = hot.count()
+    chosen = distinct.join(small(hot, n_hot), "v", "left_anti") if n_hot else distinct
+    cut = cut_segments(docs, chosen, length).repartition("v").sortWithinPartitions("v")
 
     def run(batches):
         for table in groups(batches):
@@ -212,6 +252,8 @@ def shared_spans(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["t1", "t2", "start", "end"])
 
     partial = map_batches(cut, run, "t1 long, t2 long, start long, end long")
+    if n_hot:
+        partial = partial.unionByName(counted(docs, distinct.join(small(hot, n_hot), "v"), length))
     many = distinct.where("m >= 2").select("v", "sh", F.lit(True).alias("full"))
     full = hits.where("same").select("t1", "t2", "loc").unionByName(hits.where("not same").join(small(many, distinct.count()), ["v", "sh"]).select("t1", "t2", "loc"))
     start = F.shiftright("loc", 20)

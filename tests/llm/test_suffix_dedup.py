@@ -46,6 +46,22 @@ def test_against_brute_force(spark, monkeypatch, group, length):
         assert len(raws[row["doc_id"]]) - sum(s["end"] - s["start"] for s in row["spans"]) == len(row["kept"])
 
 
+def test_no_task_gets_all_copies_of_a_passage(spark, monkeypatch):
+    """What is sorted by key with its bytes has GROUP rows of a key at most, however many documents share a passage."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 8)
+    sent, real = [], suffix_dedup.map_batches
+    monkeypatch.setattr(suffix_dedup, "map_batches", lambda df, run, schema: (sent.append(df), real(df, run, schema))[1])
+    r = random.Random(11)
+    passage = "".join(r.choice("abcdé ") for _ in range(500))
+    texts = ["".join(r.choice("xyz") for _ in range(90)) + passage[r.randrange(20) :] + "".join(r.choice("uvw") for _ in range(90)) for _ in range(60)]
+    rows = suffix_dedup.dedup_substrings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 100).collect()
+    assert [bytes(x["kept"]) for x in sorted(rows)] == removed(texts, 100)[1]
+    for df in sent:
+        if "bytes" in df.columns:
+            keys = [k for k in ("v", "k1", "k2") if k in df.columns]
+            assert all(x["count"] <= 8 for x in df.groupBy(*keys).count().collect())
+
+
 def test_long_texts_past_the_width_of_positions(monkeypatch):
     """Positions of 12 bits and texts of 9,000 bytes stand for 24 bits and over 16 MiB."""
     monkeypatch.setattr(shingles, "BLOCK", 1000)
