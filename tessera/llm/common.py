@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -9,14 +10,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most this many rows of a few numbers each is broadcast: under 100 MB as a hash table, as measured.
+#: A table of at most this many rows of a few numbers each, or array elements, is broadcast: under 100 MB as a hash table, as measured.
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder in spark.checkpoint.dir; one of our own only where the session names none and runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.tessera.staging.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -47,6 +50,11 @@ def small(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
 
 
+def cells(df: DataFrame, *arrays: str) -> int:
+    """Rows of a staged table and the elements of its arrays: what its size as a broadcast goes by."""
+    return df.agg(F.sum(sum((F.coalesce(F.size(c), F.lit(0)) for c in arrays), F.lit(1)))).first()[0] or 0
+
+
 #: Bytes of an Arrow batch where the session leaves Spark's default (64 MB): rows and what Python makes of them stay small, long texts or not.
 BATCH_BYTES = "4m"
 _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -88,17 +96,21 @@ def rank_rows(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return parts.withColumn("_row", within).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_row") + F.col("_before") - 1).drop("_part", "_row", "_before")
 
 
+#: Rounds of contraction. Those by hash leave about two thirds of the nodes of a path, so 100 are enough for any table.
+ROUNDS = 100
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component_id) of every node in edges (a, b): the smallest node that links reach.
 
     Each round a node joins its least neighbour, by id in even rounds (a star ends at once) and by a salted hash in odd
     ones (a long path halves), and the edges are contracted. Minima come from aggregations, never from one group's list.
-    Null ends and loops are left out; an empty input gives an empty table.
+    Null ends and loops are left out; an empty input gives an empty table. Links that are left after ROUNDS rounds raise an error.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = stage(e, "edges")
     labels = None
-    for turn in range(200):
+    for turn in range(ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         key = (lambda c: F.col(c)) if turn % 2 == 0 else (lambda c, turn=turn: F.xxhash64(F.lit(turn), F.col(c)))
         best = both.groupBy("a").agg(F.min(F.struct(key("b").alias("k"), F.col("b").alias("to"))).alias("m"))
@@ -116,5 +128,7 @@ def components(edges: DataFrame) -> DataFrame:
         e, labels = left, new
         if e.isEmpty():
             break
+    else:
+        raise RuntimeError(f"components are not joined after {ROUNDS} rounds")
     roots = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     return labels.join(roots, "label").select("node", "component_id")

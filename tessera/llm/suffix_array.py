@@ -93,3 +93,61 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
     for i in range(n):
         put(sa[i] - 1)
     return sa
+
+
+#: Bytes of a word when whole strings are compared.
+WORD = 32
+
+
+def equal_groups(raws: list[bytes], most: int = 60_000) -> np.ndarray:
+    """A number for each string, alike for equal ones only: strings of one length are compared by suffix arrays over their words of
+    WORD bytes, about most words at a time. Equal strings start next to each other in an array, so two neighbours are the same if
+    all their words are.
+
+    Strings of one length and one hash of their ends and middle meet in an array; the rest of them is never looked at.
+    """
+    out = np.arange(len(raws))
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, raw in enumerate(raws):
+        middle = len(raw) // 2
+        alike.setdefault((len(raw), hash((raw[:WORD], raw[middle : middle + WORD], raw[-WORD:]))), []).append(k)
+    held, n = [], 0
+    for members in alike.values():
+        if len(members) < 2:
+            continue
+        held.append(members)
+        n += len(members) * (len(raws[members[0]]) // WORD + 2)
+        if n > most:
+            _equal_groups(raws, held, out)
+            held, n = [], 0
+    if held:
+        _equal_groups(raws, held, out)
+    return out
+
+
+def _equal_groups(raws: list[bytes], held: list[list[int]], out: np.ndarray) -> None:
+    ids = [k for members in held for k in members]
+    words = np.array([-(-max(1, len(raws[k])) // WORD) for k in ids])
+    block = np.frombuffer(b"".join(raws[k].ljust(w * WORD, b"\0") for k, w in zip(ids, words.tolist())), np.uint64).reshape(-1, WORD // 8)
+    order = np.lexsort(block.T)
+    rank = np.empty(len(block), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[True], (block[order[1:]] != block[order[:-1]]).any(1)]))
+    # Each string ends with a symbol of its own below all words.
+    start = np.cumsum(words + 1) - words - 1
+    symbols = np.empty(int(words.sum()) + len(ids), np.int64)
+    ends = start + words
+    inside = np.ones(len(symbols), bool)
+    inside[ends] = False
+    symbols[inside] = rank
+    symbols[ends] = -1 - np.arange(len(ids))
+    of = np.full(len(symbols), -1)
+    of[start] = np.arange(len(ids))
+    first = of[np.array(suffix_array(symbols))]
+    first = first[first >= 0].tolist()
+    leader = first[0]
+    for a, b in zip(first, first[1:]):
+        w = words[a]
+        if w == words[b] and len(raws[ids[a]]) == len(raws[ids[b]]) and (symbols[start[a] : start[a] + w] == symbols[start[b] : start[b] + w]).all():
+            out[ids[b]] = out[ids[leader]]
+        else:
+            leader = b

@@ -9,19 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, small, stage
+from .common import cells, map_batches, slices, small, stage
 from .shingles import text_buffers
-from .suffix_array import suffix_array
+from .suffix_array import equal_groups, suffix_array
 from .windows import Hashed, segments
 
 #: Offsets of a piece; what its strings have in common is one symbol when its suffixes are sorted.
 WIDTH = 16
 #: Different segments of one key that a task sorts together; in a larger group strings are counted by what they have beside their piece's core.
-GROUP = 4096
+GROUP = 1024
 #: Rows whose pieces are sorted at once, and symbols of a suffix array.
 PACK, SYMBOLS = 2000, 60_000
-#: Texts with something to remove that may be broadcast; beyond that texts and spans meet by a shuffle.
-BROADCAST_TEXTS = 250_000
+#: Texts with spans, and their spans, that may be broadcast; beyond that texts and spans meet by a shuffle.
+BROADCAST_TEXTS = 1_000_000
+#: Bytes of two copies of a text that are compared at once.
+CHUNK = 1 << 19
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -48,15 +50,15 @@ def routed(docs: DataFrame, length: int) -> DataFrame:
 
 def with_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """t1, t2, text, segs: the texts that hold chosen segments, with these."""
-    by_text = stage(chosen.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("loc", "v", "m")).alias("segs")), "wanted")
+    by_text = stage(chosen.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("loc", "v", "sh", "m")).alias("segs")), "wanted")
     wanted = by_text.withColumnsRenamed({"doc_id": "_id", "t1": "_t1", "t2": "_t2"})
-    joined = docs.join(small(wanted, wanted.count(), BROADCAST_TEXTS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
+    joined = docs.join(small(wanted, cells(wanted, "segs"), BROADCAST_TEXTS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")))
     return joined.select("t1", "t2", "text", "segs")
 
 
 def cut_segments(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """(v, t1, t2, at, off, m, bytes): the bytes of the chosen segments, at the text position and off the distance of their anchor."""
-    names = ["v", "t1", "t2", "at", "off", "m", "bytes"]
+    """(v, sh, t1, t2, at, off, m, bytes): the bytes of the chosen segments, at the text position and off the distance of their anchor."""
+    names = ["v", "sh", "t1", "t2", "at", "off", "m", "bytes"]
 
     def run(batches):
         for batch in slices(batches):
@@ -65,12 +67,12 @@ def cut_segments(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                 raw = text.encode()
                 for s in segs:
                     start, off, more = s["loc"] >> 20, (s["loc"] >> 10) & 1023, s["loc"] & 1023
-                    rows.append((s["v"], t1, t2, start + off, off, s["m"], raw[start : start + length + more]))
+                    rows.append((s["v"], s["sh"], t1, t2, start + off, off, s["m"], raw[start : start + length + more]))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names)
 
-    return map_batches(with_texts(docs, chosen), run, "v long, t1 long, t2 long, at long, off long, m long, bytes binary")
+    return map_batches(with_texts(docs, chosen), run, "v long, sh long, t1 long, t2 long, at long, off long, m long, bytes binary")
 
 
 def edges(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
@@ -118,7 +120,7 @@ def counted(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     # Runs of neighbours: their least and their greatest, in order.
     near, far = F.filter("found", lambda i: ~F.array_contains("found", i - 1)), F.filter("found", lambda i: ~F.array_contains("found", i + 1))
     hits = stage(hits.select(*whole, F.arrays_zip(near.alias("near"), far.alias("far")).alias("runs")), "hit_pieces")
-    out = pieces.join(small(hits, hits.count()), whole).select("t1", "t2", "first", F.explode("runs").alias("run"))
+    out = pieces.join(small(hits, cells(hits, "runs")), whole).select("t1", "t2", "first", F.explode("runs").alias("run"))
     return out.select("t1", "t2", (F.col("first") - F.col("run.far")).alias("start"), (F.col("first") - F.col("run.near") + length).alias("end"))
 
 
@@ -142,15 +144,22 @@ def groups(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def repeated_windows(table: pa.Table, length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, flags) for rows of a table of whole keys: which of a row's strings of the given length occur in another row of its key."""
-    v, off, m = (table.column(c).to_numpy() for c in ("v", "off", "m"))
+def repeated_windows(table: pa.Table, length: int) -> Iterator[tuple[int, np.ndarray | None]]:
+    """(row, flags) for rows of a table of whole keys: which of a row's strings of the given length occur in another row of its key;
+    None if another row of the key is the same as a whole. Suffix arrays decide both; hashes only bring rows and pieces together."""
+    every_v, every_off, every_m = (table.column(c).to_numpy() for c in ("v", "off", "m"))
     raws = table.column("bytes").to_pylist()
+    every_group = np.cumsum(np.concatenate([[True], every_v[1:] != every_v[:-1]])) - 1
+    alike = equal_groups(raws, SYMBOLS)
+    _, rep, back, times = np.unique(every_group * (len(raws) + 1) + alike, return_index=True, return_inverse=True, return_counts=True)
+    yield from ((int(r), None) for r in np.flatnonzero(times[back] >= 2))
+
+    raws = [raws[r] for r in rep]
+    group, off, settled = every_group[rep], every_off[rep], (times >= 2) | (every_m[rep] >= 2)
     size = np.array([len(b) for b in raws])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     data = np.frombuffer(b"".join(raws), np.uint8)
     hashed = Hashed(data)
-    group = np.cumsum(np.concatenate([[True], v[1:] != v[:-1]])) - 1
     least = off - (size - length)
     q0, q1 = least // WIDTH, off // WIDTH
     row = np.repeat(np.arange(len(off)), q1 - q0 + 1)
@@ -166,27 +175,36 @@ def repeated_windows(table: pa.Table, length: int) -> Iterator[tuple[int, np.nda
     new_run = np.concatenate([[True], (group[row[1:]] != group[row[:-1]]) | (q[1:] != q[:-1]) | (core_hash[1:] != core_hash[:-1])])
     new_piece = new_run | np.concatenate([[True], (most[1:] != most[:-1]) | (low[1:] != low[:-1]) | (whole[1:] != whole[:-1])])
     run, piece = np.cumsum(new_run) - 1, np.cumsum(new_piece) - 1
-    n_rows = np.bincount(piece, weights=np.where(m[row] >= 2, 2, 1))
+    # Two of the pieces that look the same are sorted; what the array finds of them holds for the others.
     first = np.flatnonzero(new_piece)
-    run_of = run[first]
-    kinds, open_ = np.bincount(run_of), np.bincount(run_of, weights=n_rows < 2)
-    sorted_ = np.flatnonzero((kinds[run_of] >= 2) & (open_[run_of] > 0))  # pieces in runs with something to learn
-    hit = [None] * len(first)
-    for at, flags in _sorted_flags(data, first[sorted_], run_of[sorted_], most, low, anchor, core, length):
-        hit[sorted_[at]] = flags
+    two = np.flatnonzero(np.arange(len(row)) - first[piece] < 2)
+    open_ = np.bincount(run, weights=~settled[row])
+    two = two[(np.bincount(run[two], minlength=len(open_))[run[two]] >= 2) & (open_[run[two]] > 0)]
+    hit: list[np.ndarray | None] = [None] * len(first)
+    for at, flags in _sorted_flags(data, two, run[two], most, low, anchor, core, length):
+        p = piece[two[at]]
+        hit[p] = flags if hit[p] is None else hit[p] | flags
 
     flags_of: dict[int, np.ndarray] = {}
-    for k in range(len(row)):
-        p, r = piece[k], int(row[k])
-        if m[r] >= 2:
-            continue
-        flags = True if n_rows[p] >= 2 else hit[p]
-        if flags is None or (flags is not True and not flags.any()):
+    for k in np.flatnonzero(~settled[row]).tolist():
+        r, flags = int(row[k]), hit[piece[k]]
+        if flags is None or not flags.any():
             continue
         if r not in flags_of:
             flags_of[r] = np.zeros(size[r] - length + 1, bool)
         flags_of[r][off[r] - most[k] : off[r] - low[k] + 1] |= flags
-    yield from flags_of.items()
+    yield from ((int(rep[r]), flags) for r, flags in flags_of.items())
+
+
+def core_symbols(data: np.ndarray, start: np.ndarray, run: np.ndarray, size: int) -> np.ndarray:
+    """A number for each core: its run's where its bytes are those of the run's first one, else one of its own."""
+    head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    of = start[head[np.cumsum(np.concatenate([[True], run[1:] != run[:-1]])) - 1]]
+    same, span = np.ones(len(start), bool), np.arange(size)
+    for at in range(0, len(start), 4096):
+        part = slice(at, at + 4096)
+        same[part] = (data[start[part, None] + span] == data[of[part, None] + span]).all(1)
+    return np.where(same, run, run[-1] + 1 + np.arange(len(start))) if len(start) else run
 
 
 def _sorted_flags(data, first, run, most, low, anchor, core, length) -> Iterator[tuple[int, np.ndarray]]:
@@ -197,6 +215,7 @@ def _sorted_flags(data, first, run, most, low, anchor, core, length) -> Iterator
     left, right = anchor[first] - most[first], anchor[first] - low[first] + length
     n_left, n_right = core[first] - left, right - (core[first] + length - WIDTH + 1)
     total = n_left + n_right + 2
+    shared = core_symbols(data, core[first], run, length - WIDTH + 1)
     bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])), [len(run)]])
     a = 0
     while a < len(bounds) - 1:
@@ -211,7 +230,7 @@ def _sorted_flags(data, first, run, most, low, anchor, core, length) -> Iterator
             f = first[k]
             x, y = int(n_left[k]), int(n_right[k])
             symbols[at : at + x] = data[left[k] : core[f]]
-            symbols[at + x] = 256 + run[k]
+            symbols[at + x] = 256 + shared[k]
             symbols[at + x + 1 : at + x + 1 + y] = data[right[k] - y : right[k]]
             symbols[at + x + 1 + y] = -1 - k
             count = int(most[f] - low[f]) + 1
@@ -228,37 +247,94 @@ def _sorted_flags(data, first, run, most, low, anchor, core, length) -> Iterator
         a = b
 
 
+def copied_texts(docs: DataFrame, length: int) -> DataFrame:
+    """(t1, t2, start, end): the whole range of each text of length bytes or more that other rows have too.
+
+    Copies meet by the hashes of their text. Two rows of each text, those of the least and the greatest doc_id, are compared by suffix
+    arrays of their words of bytes; the others hold what these two do. Rows repeated with their doc_id are one of the two."""
+    long_ = docs.where(F.octet_length("text") >= length)
+    ends = long_.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("n >= 2")
+    ends = stage(ends.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "lo", "hi"), "copied")
+    ours = F.col("doc_id").eqNullSafe(F.col("lo")) | F.col("doc_id").eqNullSafe(F.col("hi"))
+    two = long_.join(small(ends, ends.count()), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & ours)
+    two = two.withColumn("alone", F.col("lo").eqNullSafe(F.col("hi"))).groupBy("t1", "t2", "doc_id", "alone").agg(F.first("text").alias("text"))
+    two = two.select("t1", "t2", "alone", "text").repartition("t1", "t2").sortWithinPartitions("t1", "t2")
+
+    def run(batches):
+        held, seen, waiting, n = None, [], [], 0
+
+        def decided():
+            same = equal_groups([x for pair in waiting for x in pair[2]], SYMBOLS)
+            differ = {pair[:2] for k, pair in enumerate(waiting) if same[2 * k] != same[2 * k + 1]}
+            done = [s for s in seen if s[:2] not in differ]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([s[0] for s in done], [s[1] for s in done], [0] * len(done), [s[2] for s in done])], ["t1", "t2", "start", "end"])
+
+        for batch in batches:
+            for t1, t2, alone, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                raw = text.encode()
+                if alone:
+                    seen.append((t1, t2, len(raw)))
+                elif held is None or held[:2] != (t1, t2):
+                    held = (t1, t2, raw)
+                elif len(raw) == len(held[2]):
+                    seen.append((t1, t2, len(raw)))
+                    waiting += [(t1, t2, (raw[at : at + CHUNK], held[2][at : at + CHUNK])) for at in range(0, len(raw), CHUNK)]
+                    n, held = n + len(raw), None
+                if n > CHUNK:
+                    yield from decided()
+                    seen, waiting, n = [], [], 0
+        if seen:
+            yield from decided()
+
+    return map_batches(two, run, "t1 long, t2 long, start long, end long")
+
+
 def shared_spans(docs: DataFrame, length: int) -> DataFrame:
-    """(t1, t2, spans): for each text with something to remove, ranges that cover the strings found elsewhere."""
-    segs = routed(docs, length)
-    seen = segs.groupBy("v").agg(F.count("*").alias("n"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("n >= 2")
-    seen = stage(seen.select("v", (F.col("lo") == F.col("hi")).alias("same")), "keys")
+    """(t1, t2, ranges): for each text with something to remove, ranges that cover the strings found elsewhere.
+
+    Copies of whole texts are settled as such. Segments at two places or more of different texts (or of one) meet by their key; of
+    those that look the same two are sent with their bytes."""
+    segs, place = routed(docs, length), F.xxhash64("t1", "t2", "loc")
+    seen = stage(segs.groupBy("v").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("v"), "keys")
     hits = stage(segs.join(small(seen, seen.count()), "v"), "hits")
-    distinct = hits.where("not same").groupBy("v", "sh").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "t1", "t2", "loc")).alias("at"))
-    distinct = stage(distinct.select("v", "sh", "m", "at.*"), "segments")
+    at = F.struct("t1", "t2", "loc", "doc_id")
+    distinct = stage(hits.groupBy("v", "sh").agg(F.count("*").alias("m"), F.min(at).alias("lo"), F.max(at).alias("hi")), "segments")
     hot = stage(distinct.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("v"), "hot")
     n_hot = hot.count()
-    chosen = distinct.join(small(hot, n_hot), "v", "left_anti") if n_hot else distinct
+    rest = distinct.join(small(hot, n_hot), "v", "left_anti") if n_hot else distinct
+    twice = F.struct("lo.t1", "lo.t2", "lo.loc") != F.struct("hi.t1", "hi.t2", "hi.loc")
+    # m is 1 for a segment still to be settled; copies of one text at one place are settled with that text.
+    still = F.when(twice | (F.col("m") == 1), 1).otherwise(2).cast("long").alias("m")
+    chosen = rest.select("v", "sh", still, "lo.*").unionByName(rest.where(twice).select("v", "sh", still, "hi.*"))
     cut = cut_segments(docs, chosen, length).repartition("v").sortWithinPartitions("v")
 
     def run(batches):
         for table in groups(batches):
             out: list[tuple] = []
             for r, flags in repeated_windows(table, length):
+                if flags is None:
+                    out.append((table["v"][r].as_py(), table["sh"][r].as_py(), None, None, None, None))
+                    continue
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
                 start = table["at"][r].as_py() - table["off"][r].as_py()
-                out += [(table["t1"][r].as_py(), table["t2"][r].as_py(), start + a, start + b - 1 + length) for a, b in edge.reshape(-1, 2).tolist()]
+                out += [(None, None, table["t1"][r].as_py(), table["t2"][r].as_py(), start + a, start + b - 1 + length) for a, b in edge.reshape(-1, 2).tolist()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["t1", "t2", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["v", "sh", "t1", "t2", "start", "end"])
 
-    partial = map_batches(cut, run, "t1 long, t2 long, start long, end long")
+    settled = stage(map_batches(cut, run, "v long, sh long, t1 long, t2 long, start long, end long"), "settled")
+    ranges = settled.where("v is null").select("t1", "t2", "start", "end")
     if n_hot:
-        partial = partial.unionByName(counted(docs, distinct.join(small(hot, n_hot), "v"), length))
-    many = distinct.where("m >= 2").select("v", "sh", F.lit(True).alias("full"))
-    full = hits.where("same").select("t1", "t2", "loc").unionByName(hits.where("not same").join(small(many, distinct.count()), ["v", "sh"]).select("t1", "t2", "loc"))
+        ranges = ranges.unionByName(counted(docs, distinct.join(small(hot, n_hot), "v").select("v", "sh", "m", "lo.*"), length))
+        many = distinct.where("m >= 2").join(small(hot, n_hot), "v").select("v", "sh")
+    else:
+        many = distinct.select("v", "sh").limit(0)
+    full = stage(settled.where("v is not null").select("v", "sh").distinct().unionByName(many), "full")
+    full = hits.join(small(full, full.count()), ["v", "sh"]).select("t1", "t2", "loc")
     start = F.shiftright("loc", 20)
     full = full.select("t1", "t2", start.alias("start"), (start + length + F.col("loc").bitwiseAND(1023)).alias("end"))
-    return stage(full.unionByName(partial).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "spans")
+    every = ranges.unionByName(full).unionByName(copied_texts(docs, length))
+    return stage(every.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "spans")
 
 
 def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -271,7 +347,7 @@ def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
     keys = keyed(docs)
     kind = dict(keys.dtypes)["doc_id"]
     found = shared_spans(keys, length).withColumnsRenamed({"t1": "_t1", "t2": "_t2"})
-    joined = keys.join(small(found, found.count(), BROADCAST_TEXTS), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left")
+    joined = keys.join(small(found, cells(found, "ranges"), BROADCAST_TEXTS), (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left")
 
     def run(batches):
         for batch in slices(batches):
