@@ -12,54 +12,61 @@ from pyspark.sql import functions as F
 from .common import stage
 from .vectors import matrix, usable
 
-#: Vectors of a data block and queries of a query block: bounds of what a task holds.
-BLOCK, QUERIES = 8192, 2048
+#: Vectors of a data block, and queries that meet it in a task: an index is built once for so many queries.
+BLOCK, QUERIES = 8192, 16_384
 
 
 class CollisionIndex:
     """Sorted projections of a block. At radius r a vector within r of the query falls into a window of width 2r around the
-    query's projection with probability 0.68 each; share of all windows makes it a candidate."""
+    query's projection with probability 0.68 each; share of all windows makes it a candidate, which is verified."""
 
     def __init__(self, data: np.ndarray, projections: int, share: float, growth: float, seed: int) -> None:
         self.data, self.growth = data, growth
         n, dim = data.shape
         self.axes = np.random.default_rng(seed).normal(size=(dim, projections))
-        at = data @ self.axes
         self.need = int(np.ceil(share * projections))
-        self.low, self.high = at.min(0), at.max(0)
-        self.shift = np.concatenate([[0.0], np.cumsum(self.high - self.low + 1)])[:-1] - self.low  # each array has a stretch of its own
+        at = data @ self.axes
         order = np.argsort(at, axis=0, kind="stable")
-        self.ids = order.T.ravel()
-        self.sorted = (np.take_along_axis(at, order, 0) + self.shift).T.ravel()
-        self.start = np.arange(projections) * n
+        at = np.take_along_axis(at, order, 0)
+        self.low, self.high = at[0].copy(), at[-1].copy()
+        # Each array has a stretch of its own, so that one search finds the windows of all.
+        self.shift = np.concatenate([[0.0], np.cumsum(self.high - self.low + 1)])[:-1] - self.low
+        self.sorted = (at + self.shift).T.ravel()
+        self.ids = order.astype(np.uint16 if n <= 1 << 16 else np.int64).T.ravel()
         self.spread = data[:: max(1, n // 256)]
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of the verified vectors when k of them lie within the radius, or all vectors are verified."""
+        """(rows, distances) of the verified vectors when k of them lie within the radius, or all vectors are verified.
+
+        Counts go on from radius to radius: only what a window gains at its two ends is counted."""
         n = len(self.data)
         spot = query @ self.axes
-        known = skip.copy()
-        near = float(np.sqrt(((self.spread - query) ** 2).sum(1)).min())  # a radius that can't be far too small; a larger one only verifies more
+        known, times = skip.copy(), np.zeros(n, np.int64)
+        near = float(np.sqrt(((self.spread - query) ** 2).sum(1)).min())  # a radius that can't be far too small
         rows, dist, radius = np.zeros(0, np.int64), np.zeros(0), max(1e-9, 0.75 * near)
+        lo = hi = np.searchsorted(self.sorted, np.clip(spot, self.low - 0.5, self.high + 0.5) + self.shift)
         while True:
-            lo = np.searchsorted(self.sorted, np.clip(spot - radius, self.low - 0.5, self.high + 0.5) + self.shift, "left")
-            hi = np.searchsorted(self.sorted, np.clip(spot + radius, self.low - 0.5, self.high + 0.5) + self.shift, "right")
-            if (hi - lo).sum() >= self.need:
-                times = np.bincount(np.concatenate([self.ids[a:b] for a, b in zip(lo, hi)]), minlength=n)
+            lo_2 = np.searchsorted(self.sorted, np.clip(spot - radius, self.low - 0.5, self.high + 0.5) + self.shift, "left")
+            hi_2 = np.searchsorted(self.sorted, np.clip(spot + radius, self.low - 0.5, self.high + 0.5) + self.shift, "right")
+            gained = [self.ids[a:b] for a, b in zip(lo_2.tolist(), lo.tolist()) if a < b] + [self.ids[a:b] for a, b in zip(hi.tolist(), hi_2.tolist()) if a < b]
+            lo, hi = lo_2, hi_2
+            if gained:
+                times += np.bincount(np.concatenate(gained), minlength=n)
                 new = np.flatnonzero((times >= self.need) & ~known)
-                known[new] = True
-                rows = np.concatenate([rows, new])
-                dist = np.concatenate([dist, np.sqrt(((self.data[new] - query) ** 2).sum(1))])
+                if len(new):
+                    known[new] = True
+                    rows = np.concatenate([rows, new])
+                    dist = np.concatenate([dist, np.sqrt(((self.data[new] - query) ** 2).sum(1))])
             if known.all() or (dist <= radius).sum() >= k:
                 return rows, dist
             radius *= self.growth
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, projections: int = 64, share: float = 0.55, growth: float = 1.1, seed: int = 11) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, projections: int = 256, share: float = 0.65, growth: float = 1.05, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors found for each query, by Euclidean distance, ties to the smaller vec_id.
 
-    A stated query set meets all vectors in blocks: each task holds the index of a block of vectors and a block of queries,
-    each block gives k vectors a query, and these are ranked. Vectors (and queries) that are null, empty, zero or hold null or
+    A stated query set meets all vectors in blocks: each task holds the index of a block of vectors and up to QUERIES queries,
+    each block gives k vectors a query, and these are ranked. share trades verified vectors for recall. Vectors (and queries) that are null, empty, zero or hold null or
     non-finite components take no part; only vectors of the query's length are its candidates. A vector with the query's id is its
     own; repeated rows count once, and of several vectors under one id the nearest counts. A query id with several vectors
     searches with the least of them. No vectors or no queries give no rows.
