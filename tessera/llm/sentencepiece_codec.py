@@ -15,6 +15,8 @@ from .common import map_batches, slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks remembered by a worker (twice as many at most, none longer than LONG); only speed depends on it.
 REMEMBERED, LONG = 150_000, 64
+#: Characters of a text that are parted into chunks at once, and where a window may end.
+WINDOW, RUN_OF_SPACES = 1 << 16, re.compile(r"(?<! ) ")
 
 
 def load_pieces(spark: SparkSession, path: str = MODEL) -> dict:
@@ -53,48 +55,59 @@ class Encoder:
         # Where no piece crosses, all paths converge: before a run of spaces, and around a character that no piece holds.
         self.by_space = not any(" " in p.lstrip(" ") for p in vocab["pieces"])
         self.by_line = not any("\n" in p for p in vocab["pieces"])
+        self.commits = self.widest = 0  # how often ids were committed before a chunk's end, and the most backpointers held
         self.words, self.chunks = Remembered(lambda w: self.search(" " + w)), Remembered(self.search)
 
     def search(self, text: str) -> tuple[int, ...]:
-        """The ids of the best path. Of equal scores at a boundary the path whose last piece is longest stays.
+        """The ids of the best path. Of equal scores at a boundary the path whose last piece is shortest stays: then paths meet soon.
 
-        Only the boundaries after the last commit are kept: when the backpointers of all reachable boundaries
-        ahead meet in one boundary, the ids up to it are final.
+        Scores are kept for the boundaries ahead only, as many as the longest piece has characters, and backpointers from the last
+        commit on. Where no piece crosses a boundary, or when the backpointers of all reachable boundaries ahead meet in one, the
+        ids up to it are final and are committed.
         """
         out: list[int] = []
-        best, back, base, n = {0: 0.0}, {}, 0, len(text)
-        look = 4 * self.longest
+        best, back, base, far, n, longest = {0: 0.0}, {}, 0, 0, len(text), self.longest
+        check = longest
         for i in range(n):
-            here = best.get(i)
-            if here is None:
-                continue
-            node, j, single = self.trie, i, False
+            if i >= far > base or i - base >= check:
+                meet = i if i >= far else self.meeting(best, back, base)
+                if meet > base:
+                    out += self.path(text, back, base, meet)
+                    self.commits += 1
+                    back = {} if meet == i else {j: b for j, b in back.items() if j > meet}
+                    base, check = meet, longest
+                else:
+                    check += max(longest, check // 2)
+            here, node, j, single = best.pop(i), self.trie, i, False
             while j < n and (node := node.get(text[j])) is not None:
                 j += 1
                 if (entry := node.get("")) is not None:
                     single |= j == i + 1
                     score = here + entry[1]
-                    if j not in best or score > best[j]:
+                    if j not in best or score >= best[j]:
                         best[j], back[j] = score, (i, entry[0])
+                        if j > far:
+                            far = j
             if not single:
                 score = here + self.unknown
-                if i + 1 not in best or score > best[i + 1]:
+                if i + 1 not in best or score >= best[i + 1]:
                     best[i + 1], back[i + 1] = score, (i, -1)
-            if i - base >= look:
-                ahead = {j for j in best if j > i}
-                while len(ahead) > 1:
-                    ahead.add(back[last := max(ahead)][0])
-                    ahead.discard(last)
-                if (meet := ahead.pop()) > base:
-                    out += self.path(text, back, base, meet)
-                    best = {j: s for j, s in best.items() if j >= meet}
-                    back = {j: b for j, b in back.items() if j > meet}
-                    base = meet
-                    look = 4 * self.longest
-                else:
-                    look *= 2
+                    far = max(far, i + 1)
+            if len(back) > self.widest:
+                self.widest = len(back)
         return (*out, *self.path(text, back, base, n))
 
+    def meeting(self, best: dict, back: dict, base: int) -> int:
+        """The last boundary that all paths to the boundaries ahead go through."""
+        ahead = set(best)
+        while len(ahead) > 1:
+            last = max(ahead)
+            if last <= base:
+                break
+            ahead.discard(last)
+            ahead.add(back[last][0])
+        return max(ahead)
+
     def path(self, text: str, back: dict, start: int, end: int) -> list[int]:
         ids: list[int] = []
         while end > start:
@@ -104,16 +117,22 @@ class Encoder:
         return ids[::-1]
 
     def encode(self, text: str, out: array) -> None:
-        if not text:
-            return
+        """A text goes through in windows that end where no piece crosses, so that a long one is never held in parts. Within them the
+        search starts anew at each such place, and what it found for a chunk before may be remembered."""
         if not self.by_space:
-            out.extend(self.search(" " + text))
+            out.extend(self.search(" " + text) if text else ())
             return
+        at, n = 0, len(text)
+        while at < n:
+            cut = RUN_OF_SPACES.search(text, at + WINDOW) if n - at > WINDOW else None
+            end = cut.start() if cut else n
+            self.chunked(text[at:end] if at else " " + text[:end], out)
+            at = end
+
+    def chunked(self, text: str, out: array) -> None:
         for k, line in enumerate(text.split("\n") if self.by_line else [text]):
             if k:
                 out.append(self.bytes[10])
-            elif not self.by_line or line or k == 0:
-                line = " " + line
             if "  " in line or line.endswith(" "):
                 out.extend(chain.from_iterable(map(self.chunks.__getitem__, re.findall(r" *[^ ]+| +$", line))))
             elif line:
