@@ -31,6 +31,7 @@ TOKEN = re.compile(r"[ \t]*(?:([a-z0-9][a-z0-9.+-]*)|([()]))")
 ORDER = {"or": 1, "and": 2, "with": 3}
 #: A-Z becomes a-z, every other ASCII character that is no letter or digit becomes a space; other bytes stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def family(identifier: str) -> str:
@@ -126,7 +127,7 @@ def scan_text(text: str, find) -> tuple:
             strict.append(FREEDOM[label])
         tag |= not label
     if tag:
-        for m in EXPRESSION.finditer(re.sub(r"[A-Z]", lambda c: chr(ord(c[0]) + 32), text)):
+        for m in EXPRESSION.finditer(text.translate(LOWER)):
             if got := evaluate(m[1]):
                 labels |= got[0]
                 strict.append(got[1])

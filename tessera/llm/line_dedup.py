@@ -7,15 +7,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stage
+from .common import cells, small, stage
 
-#: Documents with a line to remove that may be broadcast; beyond that texts and removals meet by a shuffle.
-BROADCAST_DOCS = 250_000
+#: Documents with a line to remove, and such lines, that may be broadcast; beyond that texts and removals meet by a shuffle.
+BROADCAST_DOCS = 1_000_000
 
 
 def site_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, h, site) of every line that is not blank; th tells texts under one doc_id apart."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("source", F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.withColumn("line", F.trim("line")).where("line <> ''").select("doc_id", "th", "pos", F.xxhash64("line").alias("h"), "site")
 
 
@@ -39,8 +39,8 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_sites: int = 10, lg_k: int = 8) -> DataFrame:
     """docs with text cut, n_chars (if present) set anew, n_lines and n_removed.
 
-    Lines are compared without spaces at their ends; a line found on min_sites different sources or more (a null source is
-    one too) stays at its first place by (doc_id, text hash, position) and goes everywhere else. Blank lines stay.
+    Lines are compared without spaces at their ends; a line found on min_sites different sources or more (a null source and an
+    empty one are two more) stays at its first place by (doc_id, text hash, position) and goes everywhere else. Blank lines stay.
     A null text stays null with 0 lines, an empty one has one line. Rows alike in doc_id and text are treated alike.
     Only doc_id, text, lang, source and n_chars are kept of other columns.
     """
@@ -50,7 +50,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10, lg_k: int = 8) -> DataFram
     common = boilerplate(lines, min_sites, lg_k)
     hits = lines.join(small(common, common.count()), "h").where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     gone = stage(hits.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone")), "removals")
-    joined = docs.join(small(gone, gone.count(), BROADCAST_DOCS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
+    joined = docs.join(small(gone, cells(gone, "_gone"), BROADCAST_DOCS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left")
     parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
     cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))

@@ -30,7 +30,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    left = F.make_valid_utf8(F.col("kept").cast("string"))  # a cut may part a character
+    digest = ["doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    return out.select(*digest, left.alias("text"), F.length(left).cast("long").alias("n_chars"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +67,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in ("email", "ip", "card", "phone")]
-    return out.select("doc_id", *counts, F.sha2(span_string(F.col("base")), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(span_string(F.col("base")), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +136,7 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS vo
 l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
 k AS (
   SELECT trim(line) AS line FROM l WHERE trim(line) <> ''
-  GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, '')) >= 10),
+  GROUP BY trim(line) HAVING count(DISTINCT coalesce('s' || source, '')) >= 10),
 f AS (
   SELECT l.doc_id, l.line, l.pos,
          k.line IS NOT NULL AND row_number() OVER (PARTITION BY k.line ORDER BY l.doc_id, l.pos) > 1 AS gone

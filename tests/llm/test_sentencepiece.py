@@ -18,7 +18,7 @@ def whole_viterbi(vocab, encoder, text):
     text = " " + text
     best = [(0.0, ())] + [None] * len(text)
     for j in range(1, len(text) + 1):
-        for i in range(max(0, j - encoder.longest), j):
+        for i in range(j - 1, max(0, j - encoder.longest) - 1, -1):
             piece = vocab["pieces"].get(text[i:j])
             ids = (piece[0],) if piece else tuple(vocab["bytes"][b] for b in text[i].encode()) if j == i + 1 else None
             if best[i] and ids:
@@ -36,6 +36,41 @@ def test_streaming_equals_whole_search(vocab):
         assert tuple(out) == encoder.search(" " + text) == whole_viterbi(vocab, encoder, text)
 
 
+def test_ids_are_committed_on_ordinary_texts(vocab):
+    """All paths meet within words too, so most ids are final long before a text ends."""
+    import pyarrow.parquet as pq
+
+    encoder, chunks = C.Encoder(vocab), 0
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60]:
+        ids = encoder.search(" " + (text or ""))
+        chunks += len((text or "").split())
+        out = array("i")
+        encoder.encode(text or "", out)
+        assert tuple(out) == ids or not text
+    assert encoder.commits > chunks and encoder.widest <= 4 * encoder.longest
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "the quick brown fox, ", "日本", "xyzzy-", "  a"])
+def test_a_long_text_holds_a_small_window(vocab, unit):
+    encoder, text = C.Encoder(vocab), unit * (200_000 // len(unit))
+    ids = encoder.search(" " + text)
+    assert b"".join(vocab["raw"][k] for k in ids).decode() == " " + text
+    assert encoder.commits > 1000 and encoder.widest <= 8 * encoder.longest
+    out = array("i")
+    encoder.encode(text, out)
+    assert tuple(out) == ids
+
+
+def test_windows_end_between_pieces(vocab, monkeypatch):
+    encoder = C.Encoder(vocab)
+    for width in (1, 2, 7):
+        monkeypatch.setattr(C, "WINDOW", width)
+        for text in filter(None, TEXTS):
+            out = array("i")
+            encoder.encode(text, out)
+            assert tuple(out) == encoder.search(" " + text)
+
+
 def test_exact_round_trip(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
     back = C.decode_documents(C.encode_documents(docs))
