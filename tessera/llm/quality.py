@@ -84,22 +84,33 @@ def held_out() -> Column:
 
 
 def described(labelled: DataFrame) -> DataFrame:
+    """(y, x, fold) of rows (y, text, fold)."""
+
     def run(batches):
         for batch in slices(batches):
             flat = np.array([statistics(t or "") for t in batch.column(1).to_pylist()])
             xs = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), N_STATISTICS).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), xs], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), xs, batch.column(2)], ["y", "x", "fold"])
+
+    return map_batches(labelled.select(F.col("y").cast("double"), "text", "fold"), run, "y double, x array<double>, fold int")
+
+
+#: Rows that are learned from fall into this many parts by the remainder that holds rows out; each part is calibrated by the others' fit.
+FOLDS = 4
+
 
-    return map_batches(labelled.select(F.col("y").cast("double"), "text"), run, "y double, x array<double>")
+def solved(sums: np.ndarray, ridge: float) -> np.ndarray:
+    return np.linalg.solve(sums[:, :-1] + ridge * np.eye(len(sums)), sums[:, -1])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, features: int = 160, ridge: float = 1.0, seed: int = 5) -> QualityModel:
-    """Learned from every labelled row that is not held out. Each partition sends its sums of products, Spark adds them by cell;
-    features**2 sums and BINS counts reach the driver, whatever the input. Null labels, or labels of no document, teach nothing;
-    without any label every score is 0.5."""
+    """Learned from every labelled row that is not held out. Each partition sends its sums of products by fold, Spark adds them by
+    cell; FOLDS * features**2 sums and BINS counts reach the driver, whatever the input. Levels are calibrated on raw scores of
+    weights that did not see their row. Null labels, or labels of no document, teach nothing; without any label every score is 0.5."""
     y = labels.select("doc_id", F.col("quality").cast("double").alias("y")).where("y is not null and doc_id is not null")
+    fold = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 - 1).cast("int")
     train = docs.select("doc_id", "text").where(~held_out()).join(small(y, y.count()), "doc_id")
-    rows = stage(described(train), "statistics")
+    rows = stage(described(train.select("y", "text", fold.alias("fold"))), "statistics")
     means = [F.avg(F.col("x")[k]) for k in range(N_STATISTICS)] + [F.stddev_pop(F.col("x")[k]) for k in range(N_STATISTICS)]
     got = np.array([v or 0.0 for v in rows.agg(*means).first()])
     model = QualityModel(got[:N_STATISTICS], np.maximum(got[N_STATISTICS:], 1e-6), np.zeros(features + 1), seed, 0.5 / N_STATISTICS, np.zeros(1), np.full(1, 0.5))
@@ -107,26 +118,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, features: int = 160, ridge:
     def matrices(batches):
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            yield batch.column(0).to_numpy(zero_copy_only=False), flat.reshape(-1, N_STATISTICS)
+            yield batch.column(0).to_numpy(zero_copy_only=False), flat.reshape(-1, N_STATISTICS), batch.column(2).to_numpy(zero_copy_only=False)
 
     def products(batches):
-        total = np.zeros((features + 1, features + 2))
-        for y, x in matrices(batches):
+        total = np.zeros((FOLDS, features + 1, features + 2))
+        for y, x, part in matrices(batches):
             z = model.features(x)
-            total += z.T @ np.concatenate([z, y[:, None]], 1)
-        i, j = np.indices(total.shape).reshape(2, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], ["i", "j", "v"])
-
-    sums = np.zeros((features + 1, features + 2))
-    for i, j, v in map_batches(rows, products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v")).collect():
-        sums[i, j] = v
-    if not sums[-1, -2]:
+            z_y = np.concatenate([z, y[:, None]], 1)
+            for f in np.unique(part).tolist():
+                total[f] += z[part == f].T @ z_y[part == f]
+        f, i, j = np.indices(total.shape).reshape(3, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], ["f", "i", "j", "v"])
+
+    sums = np.zeros((FOLDS, features + 1, features + 2))
+    for f, i, j, v in map_batches(rows, products, "f int, i int, j int, v double").groupBy("f", "i", "j").agg(F.sum("v")).collect():
+        sums[f, i, j] = v
+    if not sums[:, -1, -2].sum():
         return model
-    model.weights = np.linalg.solve(sums[:, :-1] + ridge * np.eye(features + 1), sums[:, -1])
+    model.weights = solved(sums.sum(0), ridge)
+    unseen = np.stack([solved(sums.sum(0) - sums[f], ridge) for f in range(FOLDS)])
 
     def binned(batches):
-        for y, x in matrices(batches):
-            bins = np.clip(((model.raw(x) - LOW) / (HIGH - LOW) * BINS).astype(np.int64), 0, BINS - 1)
+        for y, x, part in matrices(batches):
+            raw = (model.features(x) * unseen[part]).sum(1)
+            bins = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(np.int64), 0, BINS - 1)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(y)], ["bin", "y"])
 
     counts = sorted(map_batches(rows, binned, "bin long, y double").groupBy("bin").agg(F.count("*"), F.sum("y")).collect())
