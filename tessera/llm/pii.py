@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -22,13 +22,13 @@ BASE = {
 }
 # Kinds that the method proposes on top.
 MORE = {
-    "secret": r"(?<=(?:token|secret|passwd|password|apikey|api_key|api-key)[\x22']{0,1}\x20{0,2}[=:]\x20{0,2}[\x22']{0,1})[A-Za-z0-9+/_-]{16,}+",
+    "secret": r"(?i)(?<=(?:token|secret|passwd|password|apikey|api_key|api-key)[\x22']{0,1}\x20{0,2}[=:]\x20{0,2}[\x22']{0,1})[A-Za-z0-9+/_-]{16,}+",
     "local_phone": r"(?<![0-9+.()-])\(?[0-9]{3}\)?[-.\x20][0-9]{3}[-.][0-9]{4}(?![0-9.-]*[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]*[0-9])",
 }
 KINDS = [*BASE, *MORE]
 #: What a text must hold for a kind to be looked for: a plain scan spares most texts the pattern.
-HOLDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"token|secret|passw|api.?key", "local_phone": r"[0-9]{3}[-.][0-9]{4}", "ssn": r"[0-9]{3}-[0-9]{2}-"}
+HOLDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", "secret": r"(?i)token|secret|passw|api.?key", "local_phone": r"[0-9]{3}[-.][0-9]{4}", "ssn": r"[0-9]{3}-[0-9]{2}-"}
 # Words near a span that speak for or against its kind.
 CUES = {
     "email": "mail|contact|write|escrib|courriel|kontakt|schreib", "ip": "\\bip\\b|host|server|address|login|client",
@@ -37,7 +37,27 @@ CUES = {
 }
 AGAINST = "version|isbn|issn|doi|figure|chapter|section|page"
 LEFT, RIGHT = 24, 8
-N_VOTES = 5
+N_VOTES = 6
+# The gazetteer by kind, entries that speak for a span and entries that speak against it. An email is looked up by its
+# domain and the domain's last part, an address by its leading numbers, cards, phones and numbers by their leading digits and all of
+# them, a secret by its first characters and all of them.
+KNOWN = {
+    "email": "gmail.com googlemail.com yahoo.com hotmail.com outlook.com live.com icloud.com aol.com mail.com gmx.de gmx.net web.de t-online.de orange.fr free.fr laposte.net yahoo.fr yahoo.es com org net edu gov de fr es eu io info it nl uk ch at be pt",
+    "card": "4 34 35 36 37 38 51 52 53 54 55 62 65 6011",
+    "phone": "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 234 254 351 352 353 354 358 359 370 371 372 380 385 386 420 421 852 886 961 962 966 971 972",
+    "local_phone": "2 3 4 5 6 7 8 9",
+    "secret": "ghp_ gho_ akia xoxb xoxp eyj sk- sk_l pk_l rk_l",
+}
+NOT_PERSONAL = {
+    "email": "example.com example.org example.net example invalid localhost local test",
+    "ip": "0 10 127 169.254 192.168 192.0.2 198.18 198.51.100 203.0.113 " + " ".join([*(f"172.{k}" for k in range(16, 32)), *map(str, range(224, 256))]),
+    "card": "4111111111111111 4242424242424242 4012888888881881 5555555555554444 5105105105105100 378282246310005 371449635398431 6011111111111117 30569309025904 3530111333300000",
+    "local_phone": "0 1",
+    "ssn": "000 666 9",
+    "secret": "changemechangeme passwordpassword your_api_key_here your-api-key-here insert_token_here 0123456789abcdef deadbeefdeadbeef xxxxxxxxxxxxxxxx abcdefghijklmnop",
+}
+#: Entries of a gazetteer; it becomes part of the plan.
+MAX_GAZETTEER = 10_000
 
 
 def found(text: Column, kind: str) -> Column:
@@ -84,14 +104,38 @@ def passes(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def votes(kind: Column, x: Column) -> list[Column]:
-    """Five labelers, each 1 (personal data), -1 (not) or 0 (no opinion)."""
+def default_gazetteer(spark: SparkSession) -> DataFrame:
+    """(kind, entry, vote) of the values known here; a table of one's own may take its place."""
+    rows = [(kind, entry, vote) for vote, table in ((1, KNOWN), (-1, NOT_PERSONAL)) for kind, entries in table.items() for entry in entries.split()]
+    return spark.createDataFrame(rows, "kind string, entry string, vote int")
+
+
+def entries(kind: Column, found_: Column) -> Column:
+    """What a span is looked up by in the gazetteer, kind in front."""
+    low, d = F.lower(found_), digits(found_)
+    domain, numbers = F.substring_index(low, "@", -1), F.split(found_, r"\.")
+    head = lambda of, *sizes: [*(F.left(of, F.lit(n)) for n in sizes), of]
+    keys = F.when(kind == "email", F.array(domain, F.substring_index(domain, ".", -1)))
+    keys = keys.when(kind == "ip", F.array(*(F.array_join(F.slice(numbers, 1, n), ".") for n in (1, 2, 3))))
+    keys = keys.when(kind == "secret", F.array(*head(low, 3, 4))).otherwise(F.array(*head(d, 1, 2, 3, 4)))
+    return F.transform(keys, lambda k: F.concat(kind, F.lit(":"), k))
+
+
+def looked_up(known: dict[int, list[str]], kind: Column, found_: Column) -> Column:
+    """The gazetteer's vote: against where an entry speaks against the span, for where one speaks for it."""
+    hit = lambda vote: F.exists(entries(kind, found_), lambda k: k.isin(known.get(vote, [])))
+    return F.when(hit(-1), -1).when(hit(1), 1).otherwise(0)
+
+
+def votes(kind: Column, x: Column, known: dict[int, list[str]]) -> list[Column]:
+    """Six labelers, each 1 (personal data), -1 (not) or 0 (no opinion): the span's shape, the words before it, the characters before and
+    after it, how many different characters it has, and the gazetteer."""
     text, before, after = x["found"], F.lower(x["before"]), x["after"]
     variety = F.size(F.array_distinct(F.split(F.lower(text), "")))
     cue = F.lit(False)
     for k, words in CUES.items():
         cue = F.when(kind == k, before.rlike(words)).otherwise(cue)
-    odd = text.rlike(r"^(?:0|127|10|192\.168|24[0-9]|25[0-5])\.[0-9.]+$") | text.rlike(r"^[^0-9]*([0-9])(?:[^0-9]*\1)+[^0-9]*$")
+    odd = text.rlike(r"^[^0-9]*([0-9])(?:[^0-9]*\1)+[^0-9]*$")
     proper = text.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$|^[0-9]{1,3}(\.[0-9]{1,3}){3}$|^\+?[0-9]?[\x20]?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}$|^[3-6][0-9]{12,18}$|^[0-9a-f]{32,}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     return [
         F.when(odd, -1).when(proper, 1).otherwise(0),
@@ -99,6 +143,7 @@ def votes(kind: Column, x: Column) -> list[Column]:
         F.when(before.rlike(r"[\w]$"), -1).when(before.rlike(r"[:=(<\x22']\x20?$"), 1).otherwise(0),
         F.when(variety <= 2, -1).when(variety >= 5, 1).otherwise(0),
         F.when(after.rlike(r"^[\w]"), -1).when(after.rlike(r"^(?:$|[\s.,;:)>\x22'!?])"), 1).otherwise(0),
+        looked_up(known, kind, text),
     ]
 
 
@@ -115,7 +160,7 @@ def features(kind: Column, x: Column) -> list[Column]:
     ]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, known: dict[int, list[str]]) -> DataFrame:
     """Staged: doc_id and all candidate spans of each row's whole text, base ones that pass and proposals that overlap none of them."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     raw = text.select("doc_id", *(found(F.col("text"), k).alias(k) for k in KINDS))
@@ -130,13 +175,13 @@ def candidates(docs: DataFrame) -> DataFrame:
     more = F.concat(*(tagged(k, F.col(k)) for k in MORE))
     spans = raw.select("doc_id", base.alias("base"), more.alias("more"))
     free = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    voted = F.transform(F.concat("base", free), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "end", "kind")), F.array(*votes(x["kind"], x)).alias("votes"), F.array(*features(x["kind"], x)).alias("features")))
+    voted = F.transform(F.concat("base", free), lambda x: F.struct(*(x[c].alias(c) for c in ("start", "rank", "end", "kind")), F.array(*votes(x["kind"], x, known)).alias("votes"), F.array(*features(x["kind"], x)).alias("features")))
     return stage(spans.select("doc_id", voted.alias("spans")), "candidates")
 
 
 def reliabilities(counts: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
     """Expectation-maximisation over counted vote patterns (kind, votes): each labeler's rates of votes on true and false
-    spans, and each kind's share of true ones. Returns every pattern's posterior. 7 * 3**5 patterns at most."""
+    spans, and each kind's share of true ones. Returns every pattern's posterior. 7 * 3**6 patterns at most."""
     post = {p: 1 / (1 + math.exp(-1.5 * sum(p[1]) - 0.5)) for p in counts}
     for _ in range(rounds):
         prior, rate = {}, {}
@@ -168,18 +213,23 @@ def train_classifier(spans: DataFrame) -> tuple[float, dict[str, float]]:
     return math.log(yes / no), {f: math.log((a + 0.5) / (yes + 1)) - math.log((b + 0.5) / (no + 1)) for f, a, b in sums}
 
 
-def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def find_pii(docs: DataFrame, threshold: float = 0.5, gazetteer: DataFrame | None = None) -> DataFrame:
     """doc_id, n_<base kind>, base (array of (start, rank, end, kind)) and spans (base and what the classifier adds), by start then kind.
 
     Offsets are code points, ends exclusive. Base spans stay whatever the classifier says; added ones reach threshold.
-    A null or empty text has no spans. Each row is read by itself, repeated ones too.
+    A null or empty text has no spans. Each row is read by itself, repeated ones too. gazetteer: (kind, entry, vote 1 or -1), at
+    most MAX_GAZETTEER rows, in lower case; nulls are left out.
     """
-    spans = candidates(docs)
+    table = gazetteer if gazetteer is not None else default_gazetteer(docs.sparkSession)
+    listed = table.select("kind", "entry", "vote").where("kind is not null and entry is not null and vote in (1, -1)").distinct().limit(MAX_GAZETTEER + 1).collect()
+    if len(listed) > MAX_GAZETTEER:
+        raise ValueError(f"a gazetteer has at most {MAX_GAZETTEER} entries")
+    spans = candidates(docs, {vote: [f"{r['kind']}:{r['entry']}" for r in listed if r["vote"] == vote] for vote in (1, -1)})
     bias, weights = train_classifier(spans)
-    table = F.create_map(*(F.lit(v) for f, w in sorted(weights.items()) for v in (f, w))) if weights else F.create_map(F.lit(""), F.lit(0.0))
+    weight = F.create_map(*(F.lit(v) for f, w in sorted(weights.items()) for v in (f, w))) if weights else F.create_map(F.lit(""), F.lit(0.0))
 
     def score(x: Column) -> Column:
-        return F.aggregate(x["features"], F.lit(float(bias)), lambda a, f: a + F.coalesce(table[f], F.lit(0.0)))
+        return F.aggregate(x["features"], F.lit(float(bias)), lambda a, f: a + F.coalesce(weight[f], F.lit(0.0)))
 
     limit = math.log(threshold / (1 - threshold))
     plain = lambda arr: F.array_sort(F.transform(arr, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
