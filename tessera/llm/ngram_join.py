@@ -47,10 +47,11 @@ def sketch_distance(sketches: pa.Array, x: np.ndarray, y: np.ndarray) -> np.ndar
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Staged: (doc_id, n, sig) for each row, and (slot, df) rows that count, in each task, documents by their shingles' slot."""
-    chosen = docs.select("doc_id", "text")
+    """Staged: (doc_id, th, n, sig, sketch) for each row, th standing for its text, and (slot, df) rows that count, in each task,
+    documents by their shingles' slot."""
+    chosen = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     kind = dict(chosen.dtypes)["doc_id"]
-    names = ["doc_id", "n", "sig", "sketch", "slot", "df"]
+    names = ["doc_id", "th", "n", "sig", "sketch", "slot", "df"]
 
     def run(batches):
         seen, none = np.zeros(SLOTS, np.int64), None
@@ -61,13 +62,13 @@ def describe(docs: DataFrame) -> DataFrame:
                 seen += np.bincount(np.concatenate(sets[k : k + 512]) & np.uint64(SLOTS - 1), minlength=SLOTS).astype(np.int64) if sets else 0
             sigs = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), sigs, pa.array([odd_sketch(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), sigs, pa.array([odd_sketch(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
         slots = np.flatnonzero(seen)
         if len(slots):
             n = len(slots)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, none.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(slots, pa.int32()), pa.array(seen[slots], pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, none.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(slots, pa.int32()), pa.array(seen[slots], pa.int64())], names)
 
-    return stage(map_batches(chosen, run, f"doc_id {kind}, n long, sig binary, sketch binary, slot int, df long"), "described")
+    return stage(map_batches(chosen, run, f"doc_id {kind}, th long, n long, sig binary, sketch binary, slot int, df long"), "described")
 
 
 def frequencies(described: DataFrame) -> np.ndarray:
@@ -83,7 +84,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, nodes: DataFrame, df: np.ndarray, percent: int) -> DataFrame:
-    """(node, n, pos, h): the prefix of each node's set in the order of document frequency, rarest first, ties by hash."""
+    """(node, n, hs): the prefix of each node's set in the order of document frequency, rarest first, ties by hash."""
     rarity = docs.sparkSession.sparkContext.broadcast(df)
     chosen = docs.select("doc_id", "text").where("doc_id is not null")
     kind = dict(chosen.dtypes)["doc_id"]
@@ -103,7 +104,7 @@ def prefixes(docs: DataFrame, nodes: DataFrame, df: np.ndarray, percent: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), hashes], ["doc_id", "sig", "n", "hs"])
 
     packed = map_batches(chosen, run, f"doc_id {kind}, sig binary, n long, hs array<long>")
-    return packed.join(nodes.select("doc_id", "sig", "node"), ["doc_id", "sig"]).select("node", F.col("n").cast("int"), F.posexplode("hs").alias("pos", "h"))
+    return packed.join(nodes.select("doc_id", "sig", "node"), ["doc_id", "sig"]).select("node", "n", "hs")
 
 
 def similar_enough(n_a: np.ndarray, n_b: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray, percent: int) -> np.ndarray:
@@ -121,35 +122,122 @@ def _table(batches) -> dict[str, np.ndarray] | None:
     return {c: whole.column(c).to_numpy() for c in whole.column_names}
 
 
-def chained(entries: DataFrame, percent: int) -> DataFrame:
+#: Entries of one shingle in a task that are chained there, before any of them is sent; their ends go on to meet those of other tasks.
+LOCAL = 64
+#: Entries that a task holds to find such shingles.
+HELD = 1_000_000
+# What a row of the first round's shuffle is: an entry, the end of a chain whose entries are settled, a settled entry, a pair.
+ENTRY, END, SETTLED, PAIR = range(4)
+_ROUTE = ["kind", "h", "a", "b", "n", "pos"]
+
+
+def _rows(kind: int, h, a, b, n, pos) -> pa.RecordBatch:
+    none = lambda c: pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), none(h), none(a), none(b), pa.array(n, pa.int32()), none(pos) if pos is None else pa.array(pos, pa.int32()).cast(pa.int64())], _ROUTE)
+
+
+def neighbours(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places k whose entry and the next one are a candidate pair, entries of its shingle by entry) of entries sorted by h, n, node."""
+    same = h[1:] == h[:-1]
+    k = np.flatnonzero(same)
+    k = k[similar_enough(n[k], n[k + 1], pos[k], pos[k + 1], percent)]
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    count = np.diff(np.concatenate([first, [len(h)]]))
+    return k, np.repeat(count, count)
+
+
+def exploded(prefix: DataFrame, percent: int) -> DataFrame:
+    """(kind, h, a, b, n, pos): an ENTRY for each hash of each prefix (a its node). Where a task has more than LOCAL entries of one
+    hash they are chained there by size: SETTLED entries and PAIRs of neighbours, and the two ENDs of the chain. So what is
+    sent by hash grows with tasks, not with documents, where a hash is frequent."""
+
+    def settle(parts: list[tuple]):
+        h, node, n, pos = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((node, n, h))
+        h, node, n, pos = h[order], node[order], n[order], pos[order]
+        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])  # a repeated row
+        h, node, n, pos = h[fresh], node[fresh], n[fresh], pos[fresh]
+        k, members = neighbours(h, node, n, pos, percent)
+        many = members > LOCAL
+        rest = np.flatnonzero(~many)
+        for at in range(0, len(rest), 100_000):
+            part = rest[at : at + 100_000]
+            yield _rows(ENTRY, h[part], node[part], None, n[part], pos[part])
+        if many.any():
+            own = np.flatnonzero(many)
+            k = k[many[k]]
+            end = own[(h[own] != np.roll(h[own], 1)) | (h[own] != np.roll(h[own], -1))] if len(np.unique(h[own])) > 1 else own[[0, -1]]
+            for at in range(0, len(own), 100_000):
+                part = own[at : at + 100_000]
+                yield _rows(SETTLED, h[part], node[part], None, n[part], pos[part])
+            yield _rows(END, h[end], node[end], None, n[end], pos[end])
+            for at in range(0, len(k), 100_000):
+                part = k[at : at + 100_000]
+                yield _rows(PAIR, None, np.minimum(node[part], node[part + 1]), np.maximum(node[part], node[part + 1]), members[part], None)
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            hs = batch.column(2)
+            size = pa.compute.list_value_length(hs).to_numpy(zero_copy_only=False).astype(np.int64)
+            total = int(size.sum())
+            if not total:
+                continue
+            before = np.repeat(np.cumsum(size) - size, size)
+            one = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), size) for k in (0, 1)]
+            parts.append((hs.flatten().to_numpy(zero_copy_only=False), one[0], one[1], np.arange(total) - before))
+            held += total
+            if held > HELD:
+                yield from settle(parts)
+                parts, held = [], 0
+        if parts:
+            yield from settle(parts)
+
+    return map_batches(prefix, run, "kind byte, h long, a long, b long, n int, pos long")
+
+
+def chained(prefix: DataFrame, percent: int) -> DataFrame:
     """Staged. Rows with h null: candidate pairs (a, b) of neighbours by size in each shingle's group, n = nodes of that group.
     Others: the entries (h, a = node, n, pos) of groups of three and more, whose other pairs may still matter. Shingles of one
     document end here."""
+    settled = F.col("kind") >= SETTLED
+    dealt = exploded(prefix, percent).repartition(F.when(settled, F.xxhash64("a", "b", "h")).otherwise(F.col("h")))
 
     def run(batches):
-        t = _table(batches)
+        held = []
+        for batch in batches:
+            done = pa.compute.greater_equal(batch.column(0), SETTLED)
+            through, own = batch.filter(done), batch.filter(pa.compute.invert(done))
+            if through.num_rows:
+                yield through.select(["h", "a", "b", "n", "pos"])
+            if own.num_rows:
+                held.append(own)
+        t = _table(held)
         if t is None:
             return
-        order = np.lexsort((t["node"], t["n"], t["h"]))
-        h, node, n, pos = (t[c][order] for c in ("h", "node", "n", "pos"))
+        order = np.lexsort((t["a"], t["n"], t["h"]))
+        kind, h, node, n, pos = (t[c][order] for c in ("kind", "h", "a", "n", "pos"))
         del t, order
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])  # a repeated row
-        h, node, n, pos = h[fresh], node[fresh], n[fresh].astype(np.int64), pos[fresh].astype(np.int64)
-        same = h[1:] == h[:-1]
-        k = np.flatnonzero(same)
-        k = k[similar_enough(n[k], n[k + 1], pos[k], pos[k + 1], percent)]
+        kind, h, node, n, pos = kind[fresh], h[fresh], node[fresh], n[fresh].astype(np.int64), pos[fresh].astype(np.int64)
+        k, members = neighbours(h, node, n, pos, percent)
+        # A group that ends of chains belong to has more entries than come here.
+        open_ = np.concatenate([[0], np.cumsum(kind == END)])
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        ends = np.repeat(np.diff(open_[np.append(first, len(h))]), np.diff(np.append(first, len(h))))
+        members = np.where(ends > 0, np.maximum(members, LOCAL), members)
         pairs = np.stack([np.minimum(node[k], node[k + 1]), np.maximum(node[k], node[k + 1])], 1)
-        first = np.flatnonzero(np.concatenate([[True], ~same]))
-        count = np.diff(np.concatenate([first, [len(h)]]))
-        members = np.repeat(count, count)
-        rest = np.flatnonzero(members >= 3)
+        rest = np.flatnonzero((members >= 3) & (kind == ENTRY))
         for cols in ((None, pairs[:, 0], pairs[:, 1], members[k], None), (h[rest], node[rest], None, n[rest], pos[rest])):
             m = len(cols[1])
             for at in range(0, m, 100_000):
                 part = slice(at, min(m, at + 100_000))
-                yield pa.RecordBatch.from_arrays([pa.nulls(part.stop - at, pa.int64()) if c is None else pa.array(c[part], pa.int64()) for c in cols], ["h", "a", "b", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(part.stop - at, t_) if c is None else pa.array(c[part], t_) for c, t_ in zip(cols, _KINDS)], ["h", "a", "b", "n", "pos"])
+
+    return stage(map_batches(dealt, run, "h long, a long, b long, n int, pos long"), "chained")
+
 
-    return stage(map_batches(entries.repartition("h"), run, "h long, a long, b long, n long, pos long"), "chained")
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
 
 def first_partners(chain: DataFrame) -> DataFrame:
@@ -302,18 +390,21 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs: documents link when 100 * shared shingles >= percent * all shingles.
+    """doc_id, n_shingles, component_id, text_hash, kept of each row of docs: documents link when 100 * shared shingles >= percent *
+    all shingles.
 
     Equal sets are one node. Round one compares neighbours by size in each prefix shingle's group, which joins most of a large
     group of near copies by a pair or two each; round two the pairs of groups of two that round one left out and the nearest
     pairs between different components, and round three all pairs left between different components, so that components are
     those of the full join. A row without words has 0 shingles and its own doc_id; a row with a null
     doc_id links with nothing and has a null component; rows with one doc_id but different texts are nodes each.
+    text_hash (64 bits) tells texts under one doc_id apart. kept: the row stands for its component, as the one of the least (doc_id,
+    text_hash), or links with nothing; repeated rows are kept or not alike.
     """
     described = describe(docs)
-    rows = described.where("n is not null").select("doc_id", "n", "sig")
-    nodes = described.where("doc_id is not null and sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("m"))
-    nodes = stage(nodes.select("sig", "m.doc_id", "m.n", "m.sketch", F.monotonically_increasing_id().alias("node")), "nodes")
+    rows = described.where("n is not null").select("doc_id", "th", "n", "sig")
+    nodes = described.where("doc_id is not null and sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th", "n", "sketch")).alias("m"))
+    nodes = stage(nodes.select("sig", "m.doc_id", "m.th", "m.n", "m.sketch", F.monotonically_increasing_id().alias("node")), "nodes")
     sketches, nodes = nodes.select("node", "n", "sketch"), nodes.drop("n", "sketch")
     n_nodes = nodes.count()
     chain = chained(prefixes(docs, small(nodes, n_nodes), frequencies(described), percent), percent)
@@ -329,9 +420,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             break
         edges = edges.unionByName(verified(rest, docs, nodes, percent))
         roots = stage(components(edges), "roots")
-    named = nodes.join(roots, "node", "left").select("sig", "doc_id", F.coalesce("component_id", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = stage(named.join(least, "root").select("sig", "component_id"), "components")
+    named = nodes.join(roots, "node", "left").select("sig", "doc_id", "th", F.coalesce("component_id", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("least"))
+    of = stage(named.join(least, "root").select("sig", "least"), "components")
     drop_staged(chain)
     out = rows.join(small(of, n_nodes), "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    linked = F.col("doc_id").isNotNull() & F.col("least").isNotNull()
+    kept = ~linked | (F.struct("doc_id", "th") == F.col("least"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("th").alias("text_hash"), F.coalesce(kept, F.lit(True)).alias("kept"))

@@ -30,9 +30,11 @@ def brute(rows):
             return {k: (len(sets[k]), reach[k]) for k in sets}
 
 
-@pytest.mark.parametrize("block", [2, 2048])
-def test_against_brute_force(spark, prose, monkeypatch, block):
+@pytest.mark.parametrize("block,local,held", [(2, 2, 50), (2048, 64, 1_000_000)])
+def test_against_brute_force(spark, prose, monkeypatch, block, local, held):
     monkeypatch.setattr(J, "GROUP_BLOCK", block)
+    monkeypatch.setattr(J, "LOCAL", local)
+    monkeypatch.setattr(J, "HELD", held)
     words = " ".join(f"w{k}" for k in range(60))
     hot = [(1000 + k, words.replace(f"w{k} ", f"x{k} ").replace(f"w{(7 * k) % 59} ", "") if k % 2 else words.replace(f"w{k} ", "")) for k in range(50)]
     rows = [(k, t) for k, t, _ in prose] + hot + [(2000, "A b C"), (2001, "a B c"), (2002, ""), (2003, None), (2004, "a b c d")]
@@ -53,6 +55,19 @@ def test_partners_that_compete_in_groups_of_two(spark):
     assert got == brute(dict(rows).items())
 
 
+def test_a_frequent_shingle_is_sent_by_few_rows(spark, monkeypatch):
+    """What meets by the hash of a shingle that all documents have grows with tasks, not with documents."""
+    monkeypatch.setattr(J, "LOCAL", 8)
+    prefix = spark.createDataFrame([(k, 40 + k % 3, [7, 1000 + k]) for k in range(900)], "node long, n long, hs array<long>").repartition(3)
+    rows = J.exploded(prefix, 80).collect()
+    met = [r for r in rows if r["kind"] < J.SETTLED and r["h"] == 7]
+    assert len(met) == 6 and len([r for r in rows if r["kind"] == J.ENTRY]) == 900
+    assert sorted(r["a"] for r in rows if r["kind"] == J.SETTLED) == list(range(900))
+    pairs = [(r["a"], r["b"]) for r in J.chained(prefix, 80).where("h is null").collect()]
+    reached = {r["node"]: r["component_id"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert reached == dict.fromkeys(range(900), 0)
+
+
 def test_sketches_never_differ_more_than_sets():
     r = np.random.default_rng(1)
     for n in (1, 5, 60, 300, 2000):

@@ -24,6 +24,16 @@ def test_stages_take_effect(spark, tmp_path):
     assert "ids" in docs.columns and docs.where("n_ids > 0").count() > 0
 
 
+def test_near_copies_lose_no_text_of_their_own(spark):
+    """Two texts under doc_id 2: the copy goes, the other stays; of repeated rows and of a group of copies one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, c, "de", "s", 1), (3, c, "en", "t", 1), (4, a + " more", "en", "s", 1), (5, "", "en", "s", 0), (5, "", "en", "s", 0),
+            (None, a, "en", "s", 1), (None, a, "en", "s", 1), (6, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in P.near_copies(spark, docs, SF).collect())
+    assert got == sorted([(1, a), (2, b), (3, c), (5, ""), (5, ""), (0, a), (0, a), (6, "")])
+
+
 def test_an_empty_table_and_nulls(spark, no_docs, odd_docs):
     for rows in (no_docs, odd_docs):
         docs = rows
