@@ -32,10 +32,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies; one without an id stays."""
-    found = near_duplicates(docs)
-    gone = stage(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "copies")
-    return docs.select(*COLUMNS).join(small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies: the one of the smallest doc_id, of repeated rows one. Rows without an id or without
+    words stay; texts under one doc_id are told apart by their hash."""
+    docs = docs.select(*COLUMNS)
+    found = stage(near_duplicates(docs), "found")
+    key, text = F.col("doc_id").eqNullSafe(F.col("_id")), F.xxhash64("text") == F.col("_th")
+    gone = stage(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct(), "copies")
+    left = docs.join(small(gone, gone.count()), key & text, "left_anti")
+    again = found.where("kept and doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).count().where("count > 1")
+    again = stage(again.select("_id", "_th"), "repeated")
+    n = again.count()
+    if not n:
+        return left
+    once = left.join(small(again, n), key & text).groupBy("_id", "_th").agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*")
+    return left.join(small(again, n), key & text, "left_anti").unionByName(once)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
