@@ -20,8 +20,8 @@ WIDTH = 16
 GROUP = 1024
 #: Rows whose pieces are sorted at once, and symbols of a suffix array.
 PACK, SYMBOLS = 2000, 60_000
-#: Texts with spans, and their spans, that may be broadcast; beyond that texts and spans meet by a shuffle.
-BROADCAST_TEXTS = 1_000_000
+#: Texts with spans or segments, and these (48 bytes each at most), that may be broadcast; beyond that they meet by a shuffle.
+BROADCAST_TEXTS = 3_000_000
 #: Bytes of two copies of a text that are compared at once.
 CHUNK = 1 << 19
 
@@ -290,6 +290,28 @@ def copied_texts(docs: DataFrame, length: int) -> DataFrame:
     return map_batches(two, run, "t1 long, t2 long, start long, end long")
 
 
+def merged(texts: DataFrame) -> DataFrame:
+    """(t1, t2, ranges) with the ranges of each text in order, those that overlap or touch as one."""
+
+    def run(batches):
+        for batch in batches:
+            ranges = batch.column(2)
+            sizes = pa.compute.list_value_length(ranges).to_numpy(zero_copy_only=False)
+            flat = ranges.flatten()
+            start, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((start, text))
+            start, end, text = start[order], end[order], text[order]
+            reached = np.maximum.accumulate((text << 40) + end)  # a text has under 2**40 bytes
+            new = np.concatenate([[True], (text[1:] != text[:-1]) | ((text[1:] << 40) + start[1:] > reached[:-1])])[: len(text)]
+            last = np.concatenate([new[1:], [True]])[: len(text)]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(sizes)))])
+            spans = pa.StructArray.from_arrays([pa.array(start[new]), pa.array(reached[last] - (text[last] << 40))], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)], ["t1", "t2", "ranges"])
+
+    return map_batches(texts, run, "t1 long, t2 long, ranges array<struct<start:long,end:long>>")
+
+
 def shared_spans(docs: DataFrame, length: int) -> DataFrame:
     """(t1, t2, ranges): for each text with something to remove, ranges that cover the strings found elsewhere.
 
@@ -334,7 +356,7 @@ def shared_spans(docs: DataFrame, length: int) -> DataFrame:
     start = F.shiftright("loc", 20)
     full = full.select("t1", "t2", start.alias("start"), (start + length + F.col("loc").bitwiseAND(1023)).alias("end"))
     every = ranges.unionByName(full).unionByName(copied_texts(docs, length))
-    return stage(every.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "spans")
+    return stage(merged(every.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))), "spans")
 
 
 def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -353,14 +375,9 @@ def dedup_substrings(docs: DataFrame, length: int = 400) -> DataFrame:
         for batch in slices(batches):
             spans, kept, sizes = [], [], []
             for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw, merged = text.encode(), []
-                for a, b in sorted((r["start"], r["end"]) for r in ranges or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                cuts = [0, *(x for ab in merged for x in ab), len(raw)]
-                spans.append([{"start": a, "end": b} for a, b in merged])
+                raw, gone = text.encode(), [(r["start"], r["end"]) for r in ranges or ()]
+                cuts = [0, *(x for ab in gone for x in ab), len(raw)]
+                spans.append([{"start": a, "end": b} for a, b in gone])
                 kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
                 sizes.append(len(raw))
             places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
