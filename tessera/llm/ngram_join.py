@@ -109,6 +109,7 @@ def prefixes(docs: DataFrame, nodes: DataFrame, df: np.ndarray, percent: int) ->
 
 def similar_enough(n_a: np.ndarray, n_b: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray, percent: int) -> np.ndarray:
     """Length and positional filters: what may still be shared from the first common shingle on reaches the overlap that is needed."""
+    n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
     lo, hi = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     most = np.minimum(n_a - pos_a, n_b - pos_b)
     return (lo * 100 >= hi * percent) & (most * (100 + percent) >= percent * (n_a + n_b))
@@ -125,7 +126,7 @@ def _table(batches) -> dict[str, np.ndarray] | None:
 #: Entries of one shingle in a task that are chained there, before any of them is sent; their ends go on to meet those of other tasks.
 LOCAL = 64
 #: Entries that a task holds to find such shingles.
-HELD = 1_000_000
+HELD = 200_000
 # What a row of the first round's shuffle is: an entry, the end of a chain whose entries are settled, a settled entry, a pair.
 ENTRY, END, SETTLED, PAIR = range(4)
 _ROUTE = ["kind", "h", "a", "b", "n", "pos"]
@@ -133,7 +134,8 @@ _ROUTE = ["kind", "h", "a", "b", "n", "pos"]
 
 def _rows(kind: int, h, a, b, n, pos) -> pa.RecordBatch:
     none = lambda c: pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), none(h), none(a), none(b), pa.array(n, pa.int32()), none(pos) if pos is None else pa.array(pos, pa.int32()).cast(pa.int64())], _ROUTE)
+    pos = pa.nulls(len(a), pa.int32()) if pos is None else pa.array(pos, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), none(h), none(a), none(b), pa.array(n, pa.int32()), pos], _ROUTE)
 
 
 def neighbours(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +155,7 @@ def exploded(prefix: DataFrame, percent: int) -> DataFrame:
 
     def settle(parts: list[tuple]):
         h, node, n, pos = (np.concatenate(c) for c in zip(*parts))
+        parts.clear()
         order = np.lexsort((node, n, h))
         h, node, n, pos = h[order], node[order], n[order], pos[order]
         fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])  # a repeated row
@@ -184,16 +187,16 @@ def exploded(prefix: DataFrame, percent: int) -> DataFrame:
             if not total:
                 continue
             before = np.repeat(np.cumsum(size) - size, size)
-            one = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), size) for k in (0, 1)]
-            parts.append((hs.flatten().to_numpy(zero_copy_only=False), one[0], one[1], np.arange(total) - before))
+            node, n = np.repeat(batch.column(0).to_numpy(), size), np.repeat(batch.column(1).to_numpy().astype(np.int32), size)
+            parts.append((hs.flatten().to_numpy(), node, n, (np.arange(total) - before).astype(np.int32)))
             held += total
             if held > HELD:
                 yield from settle(parts)
-                parts, held = [], 0
+                held = 0
         if parts:
             yield from settle(parts)
 
-    return map_batches(prefix, run, "kind byte, h long, a long, b long, n int, pos long")
+    return map_batches(prefix, run, "kind byte, h long, a long, b long, n int, pos int")
 
 
 def chained(prefix: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +214,7 @@ def chained(prefix: DataFrame, percent: int) -> DataFrame:
             if through.num_rows:
                 yield through.select(["h", "a", "b", "n", "pos"])
             if own.num_rows:
-                held.append(own)
+                held.append(own.select(["kind", "h", "a", "n", "pos"]))
         t = _table(held)
         if t is None:
             return
@@ -234,10 +237,10 @@ def chained(prefix: DataFrame, percent: int) -> DataFrame:
                 part = slice(at, min(m, at + 100_000))
                 yield pa.RecordBatch.from_arrays([pa.nulls(part.stop - at, t_) if c is None else pa.array(c[part], t_) for c, t_ in zip(cols, _KINDS)], ["h", "a", "b", "n", "pos"])
 
-    return stage(map_batches(dealt, run, "h long, a long, b long, n int, pos long"), "chained")
+    return stage(map_batches(dealt, run, "h long, a long, b long, n int, pos int"), "chained")
 
 
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
 def first_partners(chain: DataFrame) -> DataFrame:
@@ -297,7 +300,7 @@ def crossing(left: DataFrame, roots: DataFrame, sketches: DataFrame, percent: in
     def fitting(t: dict, nodes: np.ndarray, at: np.ndarray, found: list[np.ndarray]):
         """Distinct pairs whose sketches don't differ by more than similar sets may."""
         pairs = np.unique(np.concatenate(found), axis=0)
-        n = t["n"][at]
+        n = t["n"][at].astype(np.int64)
         n = n[pairs[:, 0]] + n[pairs[:, 1]]
         differ = sketch_distance(t["sketch"].take(pa.array(at)), pairs[:, 0], pairs[:, 1])
         fit = differ <= allowed(n, percent)
