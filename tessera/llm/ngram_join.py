@@ -410,7 +410,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     nodes = stage(nodes.select("sig", "m.doc_id", "m.th", "m.n", "m.sketch", F.monotonically_increasing_id().alias("node")), "nodes")
     sketches, nodes = nodes.select("node", "n", "sketch"), nodes.drop("n", "sketch")
     n_nodes = nodes.count()
-    chain = chained(prefixes(docs, small(nodes, n_nodes), frequencies(described), percent), percent)
+    # Written before it is chained: a stage with two Python steps would run twice the workers of a core at once.
+    prefix = stage(prefixes(docs, small(nodes, n_nodes), frequencies(described), percent), "prefixes")
+    chain = chained(prefix, percent)
     first = first_partners(chain)
     edges = verified(plausible(first, sketches, percent), docs, nodes, percent)
     roots = stage(components(edges), "roots")
@@ -426,7 +428,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = nodes.join(roots, "node", "left").select("sig", "doc_id", "th", F.coalesce("component_id", "node").alias("root"))
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("least"))
     of = stage(named.join(least, "root").select("sig", "least"), "components")
-    drop_staged(chain)
+    drop_staged(chain, prefix)
     out = rows.join(small(of, n_nodes), "sig", "left")
     linked = F.col("doc_id").isNotNull() & F.col("least").isNotNull()
     kept = ~linked | (F.struct("doc_id", "th") == F.col("least"))
