@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +62,29 @@ BATCH_BYTES = "4m"
 _BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
+def release() -> None:
+    """Give back to the machine what was freed: Python workers live on from task to task, beside each other and the JVM."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow(run, schema) over batches of a few MB; a bound that the session sets itself is kept."""
     conf = df.sparkSession.conf
     if conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
         conf.set(_BATCH_KEY, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches):
+        for batch in batches:
+            yield batch
+            release()
+
+    def bounded(batches):
+        yield from run(trimmed(batches))
+        release()
+
+    return df.mapInArrow(bounded, schema)
 
 
 def slices(batches, rows: int = 256):

@@ -14,7 +14,7 @@ from .common import map_batches, slices
 #: Where the public vocabulary is; always a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks remembered by a worker (twice as many at most, none longer than LONG); only speed depends on it.
-REMEMBERED, LONG = 150_000, 64
+REMEMBERED, LONG = 100_000, 64
 #: Characters of a text that are parted into chunks at once, and where a window may end.
 WINDOW, RUN_OF_SPACES = 1 << 16, re.compile(r"(?<! ) ")
 
@@ -67,15 +67,26 @@ class Encoder:
         """
         out: list[int] = []
         best, back, base, far, n, longest = {0: 0.0}, {}, 0, 0, len(text), self.longest
-        check = longest
+        check, commits, widest = longest, 0, self.widest
         for i in range(n):
-            if i >= far > base or i - base >= check:
-                meet = i if i >= far else self.meeting(best, back, base)
+            if i == far:
+                if i:
+                    before, piece = back[i]
+                    if before == base and piece >= 0:
+                        out.append(piece)
+                    else:
+                        out += self.path(text, back, base, i)
+                    if len(back) > widest:
+                        widest = len(back)
+                    back.clear()
+                    base, check, commits = i, longest, commits + 1
+            elif i - base >= check:
+                meet = self.meeting(best, back, base)
+                widest = max(widest, len(back))
                 if meet > base:
                     out += self.path(text, back, base, meet)
-                    self.commits += 1
-                    back = {} if meet == i else {j: b for j, b in back.items() if j > meet}
-                    base, check = meet, longest
+                    back = {j: b for j, b in back.items() if j > meet}
+                    base, check, commits = meet, longest, commits + 1
                 else:
                     check += max(longest, check // 2)
             here, node, j, single = best.pop(i), self.trie, i, False
@@ -93,8 +104,7 @@ class Encoder:
                 if i + 1 not in best or score >= best[i + 1]:
                     best[i + 1], back[i + 1] = score, (i, -1)
                     far = max(far, i + 1)
-            if len(back) > self.widest:
-                self.widest = len(back)
+        self.commits, self.widest = self.commits + commits, widest
         return (*out, *self.path(text, back, base, n))
 
     def meeting(self, best: dict, back: dict, base: int) -> int:

@@ -22,15 +22,16 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    size = 1 << max(20, (n - 1).bit_length())
-    if size not in _powers:
-        inverse = pow(_BASE, -1, 1 << 64)
-        _powers.clear()
-        steps = [np.full(size, b, np.uint64) for b in (_BASE, inverse)]
-        for s in steps:
-            s[0] = 1
-        _powers[size] = tuple(np.cumprod(s, dtype=np.uint64) for s in steps)
-    return _powers[size]
+    size = 1 << max(21, (n - 1).bit_length())
+    if size in _powers:
+        return _powers[size]
+    steps = [np.full(size, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    for s in steps:
+        s[0] = 1
+        np.cumprod(s, out=s)
+    if size == 1 << 21:  # tables for longer blocks are rare and not kept
+        _powers[size] = tuple(steps)
+    return tuple(steps)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -56,29 +57,56 @@ def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def stretches(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of a long text that end at white space, of BLOCK bytes or so; a longer word is in one range."""
+    at, n = 0, len(raw)
+    while at < n:
+        end = min(at + BLOCK, n)
+        while end < n:
+            spaces = np.flatnonzero(_SPACE[raw[max(at, end - 4096) : end]])
+            if len(spaces):
+                end = max(at, end - 4096) + int(spaces[-1]) + 1
+                break
+            end = min(end + 4096, n)
+        yield at, end
+        at = end
+
+
+def hashed_words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the words of texts that lie between ends."""
+    n = len(raw)
+    space = np.ones(n + 1, bool)
+    space[:n] = _SPACE[raw]
+    edge = np.zeros(n + 1, bool)
+    edge[ends] = True
+    before = np.concatenate([[True], space[:-1]]) | edge
+    starts = np.flatnonzero(~space & before)
+    after = space[1:] | edge[1:]
+    stops = np.flatnonzero(~space[:n] & after) + 1
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    power, inverse = _power(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUE[raw] * power[:n], out=total[1:])
+    return starts, mixed((total[stops] - total[starts]) * inverse[starts])
+
+
 def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles: A-Z as a-z, words are runs without ASCII white space.
     A text of fewer words has one hash, its whole sequence; one without words has none."""
     data, offsets = text_buffers(column)
     for a, b in blocks(offsets):
         raw, ends = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        n = len(raw)
-        space = np.ones(n + 1, bool)
-        space[:n] = _SPACE[raw]
-        edge = np.zeros(n + 1, bool)
-        edge[ends] = True
-        before = np.concatenate([[True], space[:-1]]) | edge
-        starts = np.flatnonzero(~space & before)
-        after = space[1:] | edge[1:]
-        stops = np.flatnonzero(~space[:n] & after) + 1
-        power, inverse = _power(n + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * power[:n], dtype=np.uint64)])
-        word = mixed((total[stops] - total[starts]) * inverse[starts]) if len(starts) else np.zeros(0, np.uint64)
+        if b - a == 1 and len(raw) > BLOCK:
+            word = np.concatenate([hashed_words(raw[i:j], np.array([0, j - i]))[1] for i, j in stretches(raw)])
+            bound = np.array([0, len(word)])
+        else:
+            starts, word = hashed_words(raw, ends)
+            bound = np.searchsorted(starts, ends)
         run = np.zeros(max(0, len(word) - words + 1), np.uint64)
         for k in range(words):
             run += word[k : k + len(run)] * _STEP[k]
         run = mixed(run)
-        bound = np.searchsorted(starts, ends)
         for i, j in zip(bound[:-1].tolist(), bound[1:].tolist()):
             if j - i >= words:
                 found = np.sort(run[i : j - words + 1])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join as J
+from tessera.llm import shingles as S
 from tessera.llm.common import components
 from tessera.llm.shingles import shingle_sets
 
@@ -91,6 +92,13 @@ def test_shingles_of_short_and_empty_texts():
     assert got == [0, 0, 1, 1, 2, 5, 0]
 
 
+def test_long_texts_go_in_stretches(monkeypatch):
+    texts = [" ".join(f"w{k % 700}" for k in range(4000)), "x" * 30_000 + " a b c d e f", " " * 9000 + "a b c d e f g", "a b c d e f g", None]
+    whole = [s.tolist() for s in shingle_sets(pa.array(texts))]
+    monkeypatch.setattr(S, "BLOCK", 5000)
+    assert [s.tolist() for s in shingle_sets(pa.array(texts))] == whole and whole[2] == whole[3]
+
+
 def test_components_of_stars_paths_and_loops(spark):
     pairs = [(0, k) for k in range(1, 40)] + [(100 + k, 101 + k) for k in range(50)] + [(300, 300), (None, 1)] + [(401, 400), (400, 402), (402, 401)]
     got = {r["node"]: r["component_id"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
