@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pending_key
 from ..schema import KEYS, Graph, conform
-from ..sources.documents import fragments, references
+from ..sources.documents import fragments, listing, references, resolve_doc_ids
 
 
 def merge(old: DataFrame, new: DataFrame, table: str, old_wins: tuple[str, ...] = (), joined_lists: tuple[str, ...] = ()) -> DataFrame:
@@ -113,6 +113,22 @@ def ingest(graph: Graph, details: DataFrame, replace: bool = False, backfill: Da
     return graph, counts
 
 
+def ingest_by_name(graph: Graph, details: DataFrame, name: str, user_id: str | None = None, scenario_id: str | None = None, replace: bool = False) -> tuple[Graph, DataFrame]:
+    """ingest() of the source documents of a name, in a user's scenario or the library; nothing found changes nothing."""
+    ids = resolve_doc_ids(listing(details), name, user_id, scenario_id)
+    return ingest(graph, details.join(ids, "doc_id", "left_semi"), replace)
+
+
+def fallback_query(text: Column) -> Column:
+    """What a fragment without references of its own is searched by: its first 400 characters."""
+    return F.substring(text, 1, 400)
+
+
+def get_clauses(graph: Graph, doc_id: str) -> DataFrame:
+    """A document's clauses with a text, in reading order."""
+    return graph.clause.where((F.col("doc_id") == doc_id) & (F.coalesce("text", F.lit("")) != "")).orderBy("order", "node_id")
+
+
 def without_restrictions(graph: Graph, gone: DataFrame) -> Graph:
     """The graph without restrictions (id) and their conflict edges. Plans stay."""
     conflict = graph.conflict

@@ -40,7 +40,7 @@ def search_vector(graph: Graph, vector: list[float], filters: Filters = Filters(
         rows = rows.withColumn("_score", cosine(F.col("embedding"), to_query(vector))).where("_score is not null")
     else:
         top = top_vectors(graph.restriction, vector, fetch_size(limit), "id").withColumnRenamed("score", "_score")
-        rows = matching(joined(graph.with_(restriction=top)), filters)
+        rows = matching(joined(graph.with_(restriction=F.broadcast(top))), filters)  # fetch_size rows
     return project(rows.orderBy(F.desc("_score"), "id").limit(limit), graph, F.col("_score")).orderBy(F.desc("score"), "id")
 
 

@@ -66,7 +66,7 @@ def line_restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = value_text(F.col("value_operator"), F.col("value_number"), F.col("value_unit"), F.col("value_condition"))
     rid = restriction_id(F.col("clause_node_id"), F.col("subject_normalized"), F.col("object_normalized"), F.col("kind"), value)
     text = F.concat(F.col("value_operator"), F.lit(" "), F.col("value_number").cast("long").cast("string"))
-    return rows.withColumns({"id": rid, "extraction_text": text}).distinct()
+    return rows.withColumns({"id": rid, "extraction_text": text}).dropDuplicates(["id"])
 
 
 def order_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

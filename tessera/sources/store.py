@@ -1,7 +1,9 @@
-"""A graph as parquet tables in versions. A version is written whole and then named in a pointer file, so readers see all of it or none."""
+"""A graph as parquet tables in versions. A version counts once its mark is there, so readers see all of it or none."""
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 
@@ -14,6 +16,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder of spark.checkpoint.dir; one of our own only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -36,28 +40,38 @@ class GraphStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _committed(self) -> dict[int, str]:
+        fs, p = self._fs(f"{self.root}/v=*/committed")
+        found = fs.globStatus(p) or []
+        return {int(f.getPath().getParent().getName().removeprefix("v=")): f.getPath().toString() for f in found}
+
     def version(self) -> int:
-        """The current version, 0 before the first."""
-        fs, p = self._fs(f"{self.root}/current")
-        return int(self.spark.read.text(str(p)).first()[0]) if fs.exists(p) else 0
+        """The current version: the highest committed one, 0 before the first."""
+        return max(self._committed(), default=0)
+
+    def places(self) -> dict[str, int]:
+        """For each table the version whose folder holds it now."""
+        marks = self._committed()
+        return json.loads("".join(r[0] for r in self.spark.read.text(marks[max(marks)]).collect())) if marks else {}
 
     def load(self) -> Graph:
-        v = self.version()
-        if not v:
+        places = self.places()
+        if not places:
             return empty_graph(self.spark)
-        return Graph(**{t: self.spark.read.schema(self.spark.createDataFrame([], s).schema).parquet(f"{self.root}/v={v}/{t}") for t, s in SCHEMAS.items()})
+        return Graph(**{t: self.spark.read.schema(self.spark.createDataFrame([], s).schema).parquet(f"{self.root}/v={places[t]}/{t}") for t, s in SCHEMAS.items()})
 
-    def publish(self, graph: Graph) -> int:
-        """Write all tables as the next version and make it current. A version left by a failed writer is overwritten."""
-        v = self.version() + 1
+    def publish(self, graph: Graph, base: Graph | None = None) -> int:
+        """Make graph the next version. Tables that are still those of base, the graph that load() gave, are not written again. The mark
+        that commits a version is made last and never changed: a writer that fails before it leaves the current version as it was,
+        and its folder is overwritten by the next."""
+        v, places = self.version() + 1, self.places()
         for name, df in graph.tables().items():
-            conform(df, name).write.mode("overwrite").parquet(f"{self.root}/v={v}/{name}")
-        fs, new = self._fs(f"{self.root}/current.next")
-        out = fs.create(new, True)
-        out.write(bytearray(str(v).encode()))
+            if base is None or name not in places or df is not base.tables()[name]:
+                conform(df, name).write.mode("overwrite").parquet(f"{self.root}/v={v}/{name}")
+                places[name] = v
+        fs, mark = self._fs(f"{self.root}/v={v}/committed")
+        fs.mkdirs(mark.getParent())
+        out = fs.create(mark, False)
+        out.write(bytearray(json.dumps(places).encode()))
         out.close()
-        _, old = self._fs(f"{self.root}/current")
-        if fs.exists(old):
-            fs.delete(old, False)
-        fs.rename(new, old)
         return v

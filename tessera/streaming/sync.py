@@ -1,7 +1,8 @@
-"""Lifecycle events of documents: the last event of each document in a batch counts, and a batch becomes one new version of the graph."""
+"""Lifecycle events of documents, in the order of their partition and offset; a batch becomes one new version of the graph."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from ..operators.lifecycle import delete_documents, guard, ingest, sync_state
 from ..schema import Graph
 from ..sources.store import GraphStore, materialize, scratch_dir
 
-EVENT = "event_type string, document_name string, version string, versions_removed array<string>, document_removed boolean, user_id string, scenario_id string, offset long"
+EVENT = "event_type string, document_name string, version string, versions_removed array<string>, document_removed boolean, user_id string, scenario_id string, partition int, offset long"
 SCOPE = ["document_name", "user_id", "scenario_id"]
 
 
@@ -25,15 +26,34 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """The same from a topic of JSON values, from its earliest event on the first run; needs Spark's Kafka package."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
-    return raw.select(F.from_json(F.col("value").cast("string"), EVENT).alias("e"), F.col("offset")).select("e.*", "offset")
+    return raw.select(F.from_json(F.col("value").cast("string"), EVENT).alias("e"), F.col("partition"), F.col("offset"))
+    return raw.select(*(f"e.{c.split()[0]}" for c in EVENT.split(", ")[:-2]), "partition", "offset")
 
 
-def last_events(events: DataFrame) -> DataFrame:
-    """The event that counts for each document and scope: the one of the highest offset."""
-    keys = [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in SCOPE]
-    rows = events.select("*", *keys)
-    best = rows.groupBy(*(f"_{c}" for c in SCOPE)).agg(F.max(F.struct("offset", F.struct(*events.columns).alias("e"))).alias("m"))
-    return best.select("m.e.*")
+def _keyed(events: DataFrame) -> DataFrame:
+    """A topic keeps a document's events in one partition, so that partition and offset order them."""
+    keys = {f"_{c}": F.coalesce(c, F.lit("")) for c in SCOPE}
+    return events.withColumns({**keys, "at": F.struct(F.coalesce("partition", F.lit(0)).alias("p"), F.coalesce("offset", F.lit(0)).alias("o"))})
+
+
+def writes(events: DataFrame) -> DataFrame:
+    """(document_name, user_id, scenario_id, at, replace) of each document with a processed or updated event: the last one's place, and
+    whether one of them demands to write anew."""
+    rows = _keyed(events).where(F.col("event_type").isin("processed", "updated"))
+    best = rows.groupBy(*(f"_{c}" for c in SCOPE)).agg(*(F.first(c).alias(c) for c in SCOPE), F.max("at").alias("at"), F.max(F.col("event_type") == "updated").alias("replace"))
+    return best.select(*SCOPE, "at", "replace")
+
+
+def deletions(events: DataFrame) -> DataFrame:
+    """(document_name, user_id, scenario_id, gone, after): versions that delete events name (null: all of them), each once, and whether
+    one of these comes after the document's last write. No event of a burst is lost to a later one."""
+    keys, rows = [f"_{c}" for c in SCOPE], _keyed(events)
+    last = rows.where(F.col("event_type").isin("processed", "updated")).groupBy(*keys).agg(F.max("at").alias("last"))
+    rows = rows.where("event_type = 'deleted'").join(last, keys, "left")
+    whole = F.coalesce("document_removed", F.lit(False))
+    named = F.when(whole, F.array(F.lit(None).cast("string"))).otherwise(F.filter(F.coalesce("versions_removed", F.array().cast("array<string>")), lambda v: v.isNotNull()))
+    each = rows.select(*SCOPE, F.explode(named).alias("gone"), (F.col("last").isNull() | (F.col("at") > F.col("last"))).alias("after"))
+    return each.groupBy(*SCOPE, "gone").agg(F.max("after").alias("after"))
 
 
 def in_scope(documents: DataFrame, events: DataFrame) -> DataFrame:
@@ -50,17 +70,16 @@ class LifecycleSync:
         self.store, self.details, self.models, self.now = store, details, models, now
 
     def apply(self, events: DataFrame, batch: int = 0) -> Graph:
-        """One batch. Doing it again changes nothing: deleted documents are gone, unchanged ones are guarded by their hash, updated
-        ones are written anew under the same ids."""
-        last = materialize(last_events(events), "events")
-        graph = self.store.load()
-        gone = in_scope(graph.document, last.where("event_type = 'deleted'"))
-        named = F.coalesce(F.array_contains("versions_removed", F.col("_version")) | F.array_contains("versions_removed", F.col("_version_id")), F.lit(False))
-        gone = materialize(gone.where(F.coalesce("document_removed", F.lit(False)) | named).select("doc_id"), "gone")
-        graph, _ = delete_documents(graph, gone)
+        """One batch: all deletions, the documents written by its events as the source has them now, and deletions that came after a
+        document's last write once more. Doing it again changes nothing: deleted documents are gone, unchanged ones are guarded
+        by their hash, updated ones are written anew under the same ids. Only tables that change are written."""
+        events = materialize(events, "events")
+        before = graph = self.store.load()
+        gone, wrote = materialize(deletions(events), "deletions"), materialize(writes(events), "writes")
+        graph = self.without(graph, gone)
         source = self.details()
-        for kind, replace in (("processed", False), ("updated", True)):
-            docs = in_scope(source, last.where(F.col("event_type") == kind)).select("doc_id").distinct()
+        for replace in (False, True):
+            docs = in_scope(source, wrote.where(F.col("replace") == replace)).select("doc_id").distinct()
             wanted = materialize(source.join(docs, "doc_id", "left_semi"), "details")
             if not replace:
                 same = guard(sync_state(graph), wanted).where("unchanged").select("doc_id")
@@ -69,30 +88,40 @@ class LifecycleSync:
                 continue
             graph, _ = ingest(graph, wanted, replace)
             graph, _ = extract_documents(graph, wanted.select("doc_id"), self.models, self.now(), replace)
-        self.store.publish(graph)
+        graph = self.without(graph, gone.where("after"))
+        self.store.publish(graph, before)
         return self.store.load()
 
+    def without(self, graph: Graph, gone: DataFrame) -> Graph:
+        """The graph without the documents of deletions, which is the same graph if there are none."""
+        hit = F.col("gone").isNull() | (F.col("_version") == F.col("gone")) | (F.col("_version_id") == F.col("gone"))
+        docs = materialize(in_scope(graph.document, gone).where(hit).select("doc_id").distinct(), "gone")
+        return graph if docs.isEmpty() else delete_documents(graph, docs)[0]
+
     def stream(self, events: DataFrame, checkpoint: str) -> DataStreamWriter:
         """The stream that applies each batch; its checkpoint keeps the place, so that a batch is done at least once."""
         return events.writeStream.foreachBatch(lambda df, batch: self.apply(df, batch) and None).option("checkpointLocation", checkpoint)
 
 
 def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream over the events table that keeps each document's last event and how many it had, in versions of a table."""
+    """A stream over the events table that keeps each document's last event and how many it had, in a table for each batch."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    state = {"table": spark.createDataFrame([], "document long, status string, last_event long, n_events long")}
     kind = F.when(F.col("event_type") == "signup", "processed").when(F.col("event_type") == "error", "deleted").otherwise("updated")
-
-    def apply(batch: DataFrame, _: int) -> None:
-        rows = batch.select(F.get_json_object("props", "$.k").cast("long").alias("document"), kind.alias("status"), F.col("event_id").alias("last_event"), F.lit(1).cast("long").alias("n_events"))
-        both = state["table"].unionByName(rows)
-        last = F.max(F.struct("last_event", "status")).alias("m")
-        new = both.groupBy("document").agg(last, F.sum("n_events").alias("n_events")).select("document", "m.status", "m.last_event", "n_events")
-        state["table"] = materialize(new, "states")
-
-    import uuid
-
-    where = f"{scratch_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
-    return state["table"]
+    root = f"{scratch_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
+    schema = "document long, status string, last_event long, n_events long"
+
+    def state(batch: int) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{root}/state/{batch}") if batch >= 0 else spark.createDataFrame([], schema)
+
+    def apply(rows: DataFrame, batch: int) -> None:
+        """Each batch writes the state after it from the state before it, so that a batch done twice counts once."""
+        new = rows.select(F.get_json_object("props", "$.k").cast("long").alias("document"), kind.alias("status"), F.col("event_id").alias("last_event"), F.lit(1).cast("long").alias("n_events"))
+        both = state(batch - 1).unionByName(new)
+        after = both.groupBy("document").agg(F.max(F.struct("last_event", "status")).alias("m"), F.sum("n_events").alias("n_events"))
+        after.select("document", "m.status", "m.last_event", "n_events").write.mode("overwrite").parquet(f"{root}/state/{batch}")
+        done.append(batch)
+
+    done = [-1]
+    stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return state(max(done))
