@@ -414,8 +414,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     prefix = stage(prefixes(docs, small(nodes, n_nodes), frequencies(described), percent), "prefixes")
     chain = chained(prefix, percent)
     first = first_partners(chain)
-    edges = verified(plausible(first, sketches, percent), docs, nodes, percent)
-    roots = stage(components(edges), "roots")
+    roots = stage(components(verified(plausible(first, sketches, percent), docs, nodes, percent)), "roots")
     entries = chain.where("h is not null").drop("b")
     for nearest in (True, False):
         rest = crossing(entries, roots, sketches, percent, nearest)
@@ -423,8 +422,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
             rest = stage(rest.unionByName(plausible(left_out(chain, first, roots), sketches, percent)).distinct(), "second")
         if rest.isEmpty():
             break
-        edges = edges.unionByName(verified(rest, docs, nodes, percent))
-        roots = stage(components(edges), "roots")
+        # Components so far go on as stars, which end in a round; only what is new has to be joined.
+        links = roots.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(verified(rest, docs, nodes, percent))
+        roots = stage(components(links), "roots")
     named = nodes.join(roots, "node", "left").select("sig", "doc_id", "th", F.coalesce("component_id", "node").alias("root"))
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("least"))
     of = stage(named.join(least, "root").select("sig", "least"), "components")
