@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,17 +118,61 @@ def rank_rows(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
 
 #: Rounds of contraction. Those by hash leave about two thirds of the nodes of a path, so 100 are enough for any table.
 ROUNDS = 100
+#: Edges that a task holds to join them; more are joined in parts.
+HELD_EDGES = 500_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (least node of a component, other node of it) that join the same nodes as the edges (a, b) do."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        x, y = root[x], root[y]
+        apart = x != y
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))  # only roots hook, each to a smaller one
+        while not np.array_equal(up := root[root], root):
+            root = up
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[root[own]], ids[own]
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) without nulls and loops, those of each task replaced by stars that join the same nodes: never more than there
+    were, and at most one for each node of a task. No shuffle."""
+
+    def run(batches):
+        parts, held, kind = [], 0, None
+        for batch in batches:
+            kind = batch.schema
+            batch = batch.drop_null()
+            parts.append([c.to_numpy() for c in batch.columns])
+            held += batch.num_rows
+            if held > HELD_EDGES:
+                yield joined(parts, kind)
+                parts, held = [], 0
+        if held:
+            yield joined(parts, kind)
+
+    def joined(parts, kind):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(forest(*(np.concatenate(c) for c in zip(*parts))), kind.types)], ["a", "b"])
+
+    kinds = dict(edges.dtypes)
+    return map_batches(edges.select("a", "b"), run, f"a {kinds['a']}, b {kinds['b']}")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component_id) of every node in edges (a, b): the smallest node that links reach.
+    """(node, component_id) of every node in edges (a, b), which are integers: the smallest node that links reach.
 
-    Each round a node joins its least neighbour, by id in even rounds (a star ends at once) and by a salted hash in odd
-    ones (a long path halves), and the edges are contracted. Minima come from aggregations, never from one group's list.
-    Null ends and loops are left out; an empty input gives an empty table. Links that are left after ROUNDS rounds raise an error.
+    Each task joins its own edges to stars first. Each round a node joins its least neighbour, by id in even rounds (a star ends at
+    once) and by a salted hash in odd ones (a long path halves), and the edges are contracted. Minima come from aggregations,
+    never from one group's list. Null ends and loops are left out; an empty input gives an empty table. Links that are left
+    after ROUNDS rounds raise an error.
     """
-    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct()
-    e = stage(e, "edges")
+    e = stage(stars(edges), "edges")
     labels = None
     for turn in range(ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -141,11 +186,12 @@ def components(edges: DataFrame) -> DataFrame:
             new = labels.join(hop, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         a, b = to.select(F.col("node").alias("a"), F.col("to").alias("ta")), to.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         new = stage(new, "labels")
-        left = e.join(a, "a").join(b, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
-        left = stage(left, "edges")
-        drop_staged(e, to, *([labels] if labels is not None else []))
-        e, labels = left, new
-        if e.isEmpty():
+        left = stage(e.join(a, "a").join(b, "b").where("ta <> tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")), "left")
+        done = left.isEmpty()
+        contracted = left if done else stage(stars(left), "edges")
+        drop_staged(e, to, *([left] if not done else []), *([labels] if labels is not None else []))
+        e, labels = contracted, new
+        if done:
             break
     else:
         raise RuntimeError(f"components are not joined after {ROUNDS} rounds")

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.llm import ngram_join as J
 from tessera.llm import shingles as S
 from tessera.llm.common import components
@@ -106,6 +107,21 @@ def test_components_of_stars_paths_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_random_links_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "HELD_EDGES", 3)
+    r = np.random.default_rng(3)
+    pairs = [(int(x), int(y)) for x, y in r.integers(0, 400, (300, 2))] + [(1000 + k, 1001 + k) for k in range(64)]
+    least = {k: k for p in pairs for k in p}
+    while any(least[x] != least[y] for x, y in pairs):
+        for x, y in pairs:
+            least[x] = least[y] = min(least[x], least[y])
+    linked = {k for x, y in pairs if x != y for k in (x, y)}
+    frame = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    got = {r["node"]: r["component_id"] for r in components(frame).collect()}
+    assert {k: v for k, v in got.items() if k in linked} == {k: v for k, v in least.items() if k in linked}
+    assert set(got) == linked
+
+
 def test_odd_rows_and_an_empty_table(odd_docs, no_docs):
     rows = J.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
