@@ -249,7 +249,7 @@ t AS (
   FROM gq JOIN lq ON lq.lang IS NOT DISTINCT FROM gq.lang AND lq.rule = gq.rule),
 bad AS (
   SELECT u.doc_id, u.rule FROM u JOIN t ON t.lang IS NOT DISTINCT FROM u.lang AND t.source IS NOT DISTINCT FROM u.source AND t.rule = u.rule
-  WHERE x > q[2] + greatest(slack, 4.0::DOUBLE * (q[3] - q[2])) OR two AND x < q[2] - greatest(slack, 4.0::DOUBLE * (q[2] - q[1]))),
+  WHERE x > q[2] + greatest(slack, 8.0::DOUBLE * (q[3] - q[2])) OR two AND x < q[2] - greatest(slack, 8.0::DOUBLE * (q[2] - q[1]))),
 e AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position(['symbols', 'dup_lines', 'repeats', 'capitals', 'shouts', 'word_length'], rule)) AS failed FROM bad GROUP BY doc_id)
 SELECT f.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed

@@ -42,7 +42,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", 0.1), Rule("dup_lines", "n_dup_lines", "n_lines", 0.5), Rule("repeats", "n_repeat_words", "n_words", 0.4),
     Rule("capitals", "n_capitals", "word_chars", 0.1), Rule("shouts", "n_shouts", "n_words", 0.1), Rule("word_length", "word_chars", "n_words", 2.0, True),
 )
-REACH = 4.0
+REACH = 8.0
 #: Values a sketch keeps at its lowest level: up to so many it is exact, beyond that ranks are off by 0.3 % or so.
 SKETCH_K = 1024
 #: Groups of fewer documents are judged by their language.

@@ -46,7 +46,7 @@ def test_sketches_are_near_exact_quantiles(spark):
     names = {"lang": F.lit("en"), "source": (F.col("id") % 300).cast("string"), "n_words": F.lit(1000), "n_repeat_words": F.lit(0), "n_symbols": F.col("id") % 1000, "n_lines": F.lit(1)}
     counts = spark.range(60000).withColumns(names).withColumns({c: F.lit(0) for c in COUNTS if c not in names} | {"word_chars": F.lit(5000)})
     high = [x["symbols_high"] for x in thresholds(counts, RULES[:1], least_group=10**9).collect()]
-    assert len(high) == 300 and max(high) - min(high) < 1e-9 and abs(high[0] - (0.4995 + 4 * 0.25)) < 0.05
+    assert len(high) == 300 and max(high) - min(high) < 1e-9 and abs(high[0] - (0.4995 + 8 * 0.25)) < 0.05
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
