@@ -17,7 +17,7 @@ from ..plans.revisions import append
 from ..schema import Graph
 from ..sources.store import materialize
 from .conflicts import find_conflicts
-from .lifecycle import delete_restrictions, upsert_conflicts, upsert_entities, upsert_kinds, upsert_restrictions
+from .lifecycle import delete_restrictions, guard, ingest, sync_state, upsert_conflicts, upsert_entities, upsert_kinds, upsert_restrictions
 from .search import ENTITY_THRESHOLD, KIND_THRESHOLD
 from .vocabulary import resolve_entities, resolve_kinds, vocabulary_changes
 
@@ -53,19 +53,27 @@ def rule_extractor(text: str) -> list[tuple[str, str, dict[str, list[str]], int,
     return out
 
 
-def extract(clauses: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:
-    """Extractions (0 to n a clause) of clauses with a text, by partitions: a model behind the extractor is made once for each."""
+def extract(clauses: DataFrame, extractor: Extractor = rule_extractor, tolerant: bool = False) -> DataFrame:
+    """Extractions (0 to n a clause) of clauses with a text, by partitions: a model behind the extractor is made once for each. With
+    tolerant there is a column error, and a clause that the extractor fails on is one row that says why and fails nothing else."""
+    schema = f"{EXTRACTION}, error string" if tolerant else EXTRACTION
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in EXTRACTION.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             rows = []
             for node, doc, order, text in zip(batch["node_id"], batch["doc_id"], batch["order"], batch["text"]):
-                rows += [(node, doc, order, k, *found) for k, found in enumerate(extractor(text))]
+                try:
+                    found = [(node, doc, order, k, *f) for k, f in enumerate(extractor(text))]
+                except Exception as e:  # whatever a model raises
+                    if not tolerant:
+                        raise
+                    found = [(node, doc, order, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+                rows += found if not tolerant else [r if len(r) == len(names) else (*r, None) for r in found]
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({c: "Int32" for c in ("order", "seq", "start_pos", "end_pos")})
 
-    return clauses.where("text is not null and trim(text) <> ''").select("node_id", "doc_id", "order", "text").mapInPandas(run, EXTRACTION)
+    return clauses.where("text is not null and trim(text) <> ''").select("node_id", "doc_id", "order", "text").mapInPandas(run, schema)
 
 
 def to_restrictions(extractions: DataFrame) -> DataFrame:
@@ -125,6 +133,40 @@ def write_restrictions(graph: Graph, found: DataFrame, models: Models, at: str)
     return graph, counts.join(n_conflicts, "doc_id", "left").na.fill(0, ["conflicts"])
 
 
+#: What became of a document: synced, unchanged (its structure is written, nothing is extracted), failed (nothing is written) or deleted.
+OUTCOME = "doc_id string, outcome string, clauses long, references long, pending long, pruned long, restrictions long, pending_kinds long, conflicts long, error string"
+
+
+def sync_documents(graph: Graph, details: DataFrame, models: Models, at: str, replace: bool = False) -> tuple[Graph, DataFrame]:
+    """(graph, outcomes) with source documents ingested and their restrictions extracted.
+
+    Without replace a known document of the same hash with restrictions keeps them. A document fails by itself: if a fragment has no id
+    or the extractor raises on a clause, the graph keeps what it had of it, its outcome says why, and all others are synced.
+    """
+    details = materialize(details, "details")
+    nothing = details.select("doc_id").limit(0)
+    same = nothing if replace else materialize(guard(sync_state(graph, among=details), details).where("unchanged").select("doc_id"), "unchanged")
+    faulty = details.where(F.exists(F.coalesce("fragments", F.expr("filter(fragments, f -> false)")), lambda f: F.coalesce(f["id"], F.lit("")) == ""))
+    broken = faulty.select("doc_id", F.lit("a fragment has no id").alias("error"))
+    whole = details.join(broken, "doc_id", "left_anti")
+    todo = whole.join(same, "doc_id", "left_anti")
+    tried, _ = ingest(graph, todo, replace)
+    clauses = tried.clause.join(todo.select("doc_id"), "doc_id", "left_semi")
+    raw = materialize(extract(clauses, models.extractor, tolerant=True), "extracted")
+    failed = materialize(broken.unionByName(raw.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))), "failed")
+    good = whole.join(failed, "doc_id", "left_anti")
+    graph, counts = ingest(graph, good, replace)
+    counts = materialize(counts, "counts")
+    synced = good.join(same, "doc_id", "left_anti").select("doc_id")
+    if replace:
+        graph, _ = delete_restrictions(graph, synced)
+    graph, found = write_restrictions(graph, to_restrictions(raw.where("error is null").join(failed, "doc_id", "left_anti")), models, at)
+    states = same.withColumn("outcome", F.lit("unchanged")).unionByName(synced.withColumn("outcome", F.lit("synced"))).withColumn("error", F.lit(None).cast("string"))
+    states = states.unionByName(failed.withColumn("outcome", F.lit("failed")))
+    out = states.join(counts, "doc_id", "left").join(found, "doc_id", "left").na.fill(0)
+    return graph, materialize(out.select(*(c.split()[0] for c in OUTCOME.split(", "))), "outcomes")
+
+
 def extract_documents(graph: Graph, docs: DataFrame, models: Models, at: str, replace: bool = False) -> tuple[Graph, DataFrame]:
     """(graph, counts) with the restrictions of documents (doc_id); replace first removes those they have."""
     if replace:

@@ -11,10 +11,12 @@ from ..sources.documents import fragments, listing, references, resolve_doc_ids
 
 
 def merge(old: DataFrame, new: DataFrame, table: str, old_wins: tuple[str, ...] = (), joined_lists: tuple[str, ...] = ()) -> DataFrame:
-    """old with new's rows: by key, a null in new keeps what old has; old_wins columns are set on creation only, joined_lists grow."""
+    """old with new's rows: by key, a null in new keeps what old has; old_wins columns are set on creation only, joined_lists grow. Of
+    several new rows of one key the greatest counts, by its columns from left to right."""
     keys = KEYS[table]
-    new = conform(new, table).dropDuplicates(keys)
-    old = conform(old, table)
+    new, old = conform(new, table), conform(old, table)
+    rest = [c for c in new.columns if c not in keys]
+    new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_m")).select(*keys, "_m.*") if rest else new.distinct()
     o = old.select(*keys, F.struct(*(c for c in old.columns if c not in keys)).alias("_o"))
     n = new.select(*keys, F.struct(*(c for c in new.columns if c not in keys)).alias("_n"))
 
@@ -93,7 +95,7 @@ def clause_rows(details: DataFrame) -> DataFrame:
 def ingest(graph: Graph, details: DataFrame, replace: bool = False, backfill: DataFrame | None = None) -> tuple[Graph, DataFrame]:
     """(graph, counts) with the structure of documents: themselves, clauses, parents and references; replace also removes clauses that
     a document no longer has. backfill: references (src, ...) for clauses of library documents that name none themselves.
-    counts: doc_id, clauses, references, pending."""
+    counts: doc_id, clauses, references, pending, pruned."""
     parts = fragments(details)
     graph = upsert_clauses(upsert_documents(graph, details), clause_rows(details))
     graph = link_part_of(graph, parts.where("fragment.parent_id is not null").select(F.col("fragment.id").alias("child"), F.col("fragment.parent_id").alias("parent")))
@@ -103,14 +105,16 @@ def ingest(graph: Graph, details: DataFrame, replace: bool = False, backfill: Da
         found = backfill.join(bare.select(F.col("fragment.id").alias("src")), "src", "left_semi")
         own = own.unionByName(found, allowMissingColumns=True)
     graph = link_references(graph, own)
+    pruned = None
     if replace:
         keep = clause_rows(details).select("node_id")
-        graph, _ = prune(graph, details.select("doc_id"), keep)
+        graph, pruned = prune(graph, details.select("doc_id"), keep)
     here = parts.select("doc_id", F.col("fragment.id").alias("src"))
     resolved = F.coalesce("resolved", F.lit(False)) & F.coalesce("target_node_id", "target_doc_id").isNotNull()
     linked = own.withColumn("ok", resolved).join(here, "src").groupBy("doc_id").agg(F.count_if("ok").alias("references"), F.count_if(~F.col("ok")).alias("pending"))
-    counts = here.groupBy("doc_id").agg(F.count("*").alias("clauses")).join(linked, "doc_id", "left").na.fill(0, ["references", "pending"])
-    return graph, counts
+    counts = details.select("doc_id").distinct().join(here.groupBy("doc_id").agg(F.count("*").alias("clauses")), "doc_id", "left").join(linked, "doc_id", "left")
+    counts = counts.withColumn("pruned", F.lit(0).cast("long")) if pruned is None else counts.join(pruned, "doc_id", "left")
+    return graph, counts.na.fill(0, ["clauses", "references", "pending", "pruned"])
 
 
 def ingest_by_name(graph: Graph, details: DataFrame, name: str, user_id: str | None = None, scenario_id: str | None = None, replace: bool = False) -> tuple[Graph, DataFrame]:
@@ -205,10 +209,14 @@ def stored_documents(graph: Graph) -> DataFrame:
     return graph.document.select("doc_id", "name", "content_hash", "user_id", "scenario_id")
 
 
-def sync_state(graph: Graph, doc_id: str | None = None) -> DataFrame:
-    """(doc_id, content_hash, restrictions) of one document or of all."""
-    docs = graph.document if doc_id is None else graph.document.where(F.col("doc_id") == doc_id)
-    counts = graph.restriction.groupBy("doc_id").agg(F.count("id").alias("n"))
+def sync_state(graph: Graph, doc_id: str | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(doc_id, content_hash, restrictions) of one document, of those among (doc_id), or of all."""
+    docs, found = graph.document, graph.restriction
+    if doc_id is not None:
+        docs, found = (t.where(F.col("doc_id") == doc_id) for t in (docs, found))
+    if among is not None:
+        docs, found = (t.join(among.select("doc_id").distinct(), "doc_id", "left_semi") for t in (docs, found))
+    counts = found.groupBy("doc_id").agg(F.count("id").alias("n"))
     return docs.select("doc_id", "content_hash").join(counts, "doc_id", "left").select("doc_id", "content_hash", F.coalesce("n", F.lit(0)).alias("restrictions"))
 
 

@@ -4,30 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from ..operators.extract import Models, extract_documents
-from ..operators.lifecycle import delete_documents, guard, ingest, sync_state
+from ..operators.extract import OUTCOME, Models, sync_documents
+from ..operators.lifecycle import delete_documents, reconcile, stored_documents
 from ..schema import Graph
+from ..sources.documents import listing
+from ..sources.event_log import append_events, log_table
 from ..sources.store import GraphStore, materialize, scratch_dir
-
-EVENT = "event_type string, document_name string, version string, versions_removed array<string>, document_removed boolean, user_id string, scenario_id string, partition int, offset long"
-SCOPE = ["document_name", "user_id", "scenario_id"]
-
-
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of events from JSON files; fields are found by name, in any order, and unknown ones are ignored."""
-    return spark.readStream.schema(EVENT).json(path)
-
-
-def read_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """The same from a topic of JSON values, from its earliest event on the first run; needs Spark's Kafka package."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
-    return raw.select(F.from_json(F.col("value").cast("string"), EVENT).alias("e"), F.col("partition"), F.col("offset"))
-    return raw.select(*(f"e.{c.split()[0]}" for c in EVENT.split(", ")[:-2]), "partition", "offset")
+from .events import EVENT, accepted, read_topic, rejected
+from .state import SCOPE, fresh, keyed_state, remembered
 
 
 def _keyed(events: DataFrame) -> DataFrame:
@@ -63,6 +54,23 @@ def in_scope(documents: DataFrame, events: DataFrame) -> DataFrame:
     return d.join(events, on)
 
 
+@dataclass
+class Reconciled:
+    """Documents by what was done with them; skipped, with a reason, if the source could not be read."""
+
+    added: int = 0
+    updated: int = 0
+    unchanged: int = 0
+    deleted: int = 0
+    failed: int = 0
+    skipped: bool = False
+    reason: str | None = None
+
+
+def _all(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], schema))
+
+
 class LifecycleSync:
     """Applies batches of events to a store. details: a function that gives the source documents now."""
 
@@ -72,56 +80,104 @@ class LifecycleSync:
     def apply(self, events: DataFrame, batch: int = 0) -> Graph:
         """One batch: all deletions, the documents written by its events as the source has them now, and deletions that came after a
         document's last write once more. Doing it again changes nothing: deleted documents are gone, unchanged ones are guarded
-        by their hash, updated ones are written anew under the same ids. Only tables that change are written."""
+        by their hash, updated ones are written anew under the same ids. Buckets of tables that change are written, and with them what
+        became of each document; one that fails stops no other."""
         events = materialize(events, "events")
         before = graph = self.store.load()
         gone, wrote = materialize(deletions(events), "deletions"), materialize(writes(events), "writes")
-        graph = self.without(graph, gone)
+        graph, out = self.without(graph, gone)
+        outcomes = [out]
         source = self.details()
         for replace in (False, True):
             docs = in_scope(source, wrote.where(F.col("replace") == replace)).select("doc_id").distinct()
             wanted = materialize(source.join(docs, "doc_id", "left_semi"), "details")
-            if not replace:
-                same = guard(sync_state(graph), wanted).where("unchanged").select("doc_id")
-                wanted = materialize(wanted.join(same, "doc_id", "left_anti"), "details")
-            if wanted.isEmpty():
-                continue
-            graph, _ = ingest(graph, wanted, replace)
-            graph, _ = extract_documents(graph, wanted.select("doc_id"), self.models, self.now(), replace)
-        graph = self.without(graph, gone.where("after"))
-        self.store.publish(graph, before)
+            if not wanted.isEmpty():
+                graph, out = sync_documents(graph, wanted, self.models, self.now(), replace)
+                outcomes.append(out)
+        graph, out = self.without(graph, gone.where("after"))
+        self.store.publish(graph, before, _all([*outcomes, out], events.sparkSession, OUTCOME))
         return self.store.load()
 
-    def without(self, graph: Graph, gone: DataFrame) -> Graph:
-        """The graph without the documents of deletions, which is the same graph if there are none."""
+    def without(self, graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
+        """(graph, outcomes) without the documents of deletions; the same graph if there are none."""
         hit = F.col("gone").isNull() | (F.col("_version") == F.col("gone")) | (F.col("_version_id") == F.col("gone"))
-        docs = materialize(in_scope(graph.document, gone).where(hit).select("doc_id").distinct(), "gone")
-        return graph if docs.isEmpty() else delete_documents(graph, docs)[0]
+        return self._deleted(graph, materialize(in_scope(graph.document, gone).where(hit).select("doc_id").distinct(), "gone"))
+
+    def _deleted(self, graph: Graph, docs: DataFrame) -> tuple[Graph, DataFrame]:
+        if docs.isEmpty():
+            return graph, docs.sparkSession.createDataFrame([], OUTCOME)
+        graph, counts = delete_documents(graph, docs)
+        none = {c: F.lit(0).cast("long") for c in ("references", "pending", "pruned", "pending_kinds", "conflicts")}
+        out = counts.withColumns({"outcome": F.lit("deleted"), "error": F.lit(None).cast("string"), **none})
+        return graph, materialize(out.select(*(c.split()[0] for c in OUTCOME.split(", "))), "outcomes")
+
+    def reconcile(self) -> Reconciled:
+        """Bring the store to what the source lists: documents that it lacks are added, those of another hash written anew, those no longer
+        listed deleted. One that fails is counted, its error kept in the version's outcomes, and it is tried again the next time, as the
+        store keeps what it had. A source that cannot be read changes nothing."""
+        try:
+            source = materialize(self.details(), "source")
+        except Exception as e:  # whatever a source raises
+            return Reconciled(skipped=True, reason=f"source unreachable: {type(e).__name__}")
+        before = graph = self.store.load()
+        actions = materialize(reconcile(listing(source.where("user_id is null")), stored_documents(graph)), "actions")
+        outcomes = []
+        for action in ("added", "updated"):
+            wanted = source.join(actions.where(F.col("action") == action), "doc_id", "left_semi")
+            if not wanted.isEmpty():
+                graph, out = sync_documents(graph, wanted, self.models, self.now(), replace=action == "updated")
+                outcomes.append(out)
+        graph, out = self._deleted(graph, materialize(actions.where("action = 'deleted'").select("doc_id"), "gone"))
+        outcomes = materialize(_all([*outcomes, out], source.sparkSession, OUTCOME), "outcomes")
+        if graph is not before or not outcomes.isEmpty():
+            self.store.publish(graph, before, outcomes)
+        failed = outcomes.where("outcome = 'failed'").select("doc_id", F.lit(True).alias("failed"))
+        done = actions.join(failed, "doc_id", "left").select(F.when(F.col("failed"), "failed").otherwise(F.col("action")).alias("action"))
+        return Reconciled(**{r["action"]: r["count"] for r in done.groupBy("action").count().collect()})
 
     def stream(self, events: DataFrame, checkpoint: str) -> DataStreamWriter:
         """The stream that applies each batch; its checkpoint keeps the place, so that a batch is done at least once."""
         return events.writeStream.foreachBatch(lambda df, batch: self.apply(df, batch) and None).option("checkpointLocation", checkpoint)
 
+    def start(self, decoded: DataFrame, checkpoint: str, rejects: str, **trigger) -> StreamingQuery:
+        """Follow a decoded stream (events.read_topic): its events, replays left out by each document's state, are applied batch by batch; what
+        is no event is added to the table rejects beside them. Started anew with the same checkpoint it goes on where it was."""
+        spark = decoded.sparkSession
+
+        def each(df: DataFrame, batch: int) -> None:
+            df = materialize(df, "batch")
+            bad = df.where("problem is not null")
+            if not bad.isEmpty():  # a folder for each batch: done twice, it is there once
+                rejected(bad).write.mode("overwrite").parquet(f"{rejects}/batch={batch}")
+            good = df.where("problem is null").select(*(c.split()[0] for c in EVENT.split(", ")))
+            if not good.isEmpty():
+                self.apply(good, batch)
+
+        told = decoded.where("problem is not null").select(*decoded.columns)
+        kept = fresh(accepted(decoded)).withColumns({"value": F.lit(None).cast("string"), "problem": F.lit(None).cast("string")})
+        with keyed_state(spark):
+            return kept.unionByName(told).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
 
 def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream over the events table that keeps each document's last event and how many it had, in a table for each batch."""
+    """Each document's state after a stream over the events table: its events become a topic in two parts, and a query reads each part as
+    it is there, the second one started anew from the checkpoint of the first."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    kind = F.when(F.col("event_type") == "signup", "processed").when(F.col("event_type") == "error", "deleted").otherwise("updated")
+    kind = F.when(F.col("event_type") == "signup", "DocumentProcessed").when(F.col("event_type") == "error", "DocumentDeleted").otherwise("DocumentUpdated")
+    name = F.get_json_object("props", "$.k")
+    value = F.to_json(F.struct(kind.alias("event_type"), name.alias("document_name"), F.lit("1").alias("version"), F.array(F.lit("1")).alias("versions_removed"), F.lit(False).alias("document_removed"), "event_id"))
+    rows = events.select("event_id", value.alias("value"), name.alias("name"))
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
     root = f"{scratch_dir(spark)}/tessera/stream-{uuid.uuid4().hex}"
-    schema = "document long, status string, last_event long, n_events long"
-
-    def state(batch: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(f"{root}/state/{batch}") if batch >= 0 else spark.createDataFrame([], schema)
-
-    def apply(rows: DataFrame, batch: int) -> None:
-        """Each batch writes the state after it from the state before it, so that a batch done twice counts once."""
-        new = rows.select(F.get_json_object("props", "$.k").cast("long").alias("document"), kind.alias("status"), F.col("event_id").alias("last_event"), F.lit(1).cast("long").alias("n_events"))
-        both = state(batch - 1).unionByName(new)
-        after = both.groupBy("document").agg(F.max(F.struct("last_event", "status")).alias("m"), F.sum("n_events").alias("n_events"))
-        after.select("document", "m.status", "m.last_event", "n_events").write.mode("overwrite").parquet(f"{root}/state/{batch}")
-        done.append(batch)
-
-    done = [-1]
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return state(max(done))
+
+    def count(df: DataFrame, batch: int) -> None:
+        df.write.format("noop").mode("overwrite").save()
+
+    for part in (rows.where(F.col("event_id") <= middle), rows.where(F.col("event_id") > middle)):
+        append_events(part, f"{root}/topic", F.col("name"), "event_id")
+        with keyed_state(spark):
+            query = fresh(accepted(read_topic(spark, f"{root}/topic"))).writeStream.foreachBatch(count).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    last = log_table(spark, f"{root}/topic").select("partition", "offset", F.get_json_object("value", "$.event_id").cast("long").alias("last_event"))
+    states = remembered(spark, f"{root}/checkpoint").join(last, ["partition", "offset"])
+    return states.select(F.col("document_name").cast("long").alias("document"), "status", "last_event", "n_events")
