@@ -63,8 +63,8 @@ def applicable(graph: Graph, label: str, filters: Filters = Filters(), vector: l
     """Restrictions that apply to an object, by itself or by a near entity. strict_object also demands the label to be the object's
     key or alias, which removes what only a near entity brought."""
     wanted = targets(graph, label, vector, threshold)
-    rows = joined(graph).join(wanted.withColumnRenamed("normalized", "object_normalized"), "object_normalized", "left_semi")
-    rows = matching(rows, filters)
+    meant = F.broadcast(wanted.withColumnRenamed("normalized", "object_normalized"))  # the label's own key and five near ones at most
+    rows = matching(joined(graph.with_(restriction=graph.restriction.join(meant, "object_normalized", "left_semi"))), filters)
     if strict_object:
         key = graph.entity.sparkSession.range(1).select(normalize(F.lit(label)).alias("k")).first()["k"]
         rows = matching(rows, Filters(object=key))

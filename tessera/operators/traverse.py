@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp_depth
@@ -11,19 +11,32 @@ from ..sources.store import materialize
 from .rows import get_by_ids, joined, project
 
 
-def roles(restriction: DataFrame, *more: str) -> DataFrame:
+def roles(restriction: DataFrame, *more: str | Column) -> DataFrame:
     """(id, entity, ...) of both roles of each restriction; one row if they are the same entity."""
     both = F.array_distinct(F.array("subject_normalized", "object_normalized"))
     return restriction.select("id", F.explode(both).alias("entity"), *more).where("entity is not null")
 
 
-def shares_entity(graph: Graph, ids: DataFrame | None = None) -> DataFrame:
-    """(src, neighbor_id): restrictions with a common entity in any role, from ids or, without them, each pair once (src first)."""
-    r = roles(graph.restriction)
+#: Restrictions of one entity that a task pairs with each other; entities of more are split.
+BLOCK = 4096
+
+
+def shares_entity(graph: Graph, ids: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(src, neighbor_id): restrictions with a common entity in any role, from ids or, without them, each pair once (src first).
+
+    The pairs are what is asked for, so an entity of many restrictions has many; its restrictions are dealt into blocks, and each block
+    of sources meets all others in tasks of its own. A pair with two common entities is made at the smaller one only.
+    """
+    r = roles(graph.restriction, F.array_sort(F.array("subject_normalized", "object_normalized")).alias("both"))
+    r = r.withColumn("other", F.when(F.col("both")[0] != F.col("both")[1], F.when(F.col("both")[0] == F.col("entity"), F.col("both")[1]).otherwise(F.col("both")[0]))).drop("both")
     left = r if ids is None else r.join(ids.select("id").distinct(), "id", "left_semi")
-    pairs = left.withColumnRenamed("id", "src").join(r.withColumnRenamed("id", "neighbor_id"), "entity")
-    pairs = pairs.where(F.col("src") < F.col("neighbor_id") if ids is None else F.col("src") != F.col("neighbor_id"))
-    return pairs.select("src", "neighbor_id").distinct()
+    heavy = r.groupBy("entity").count().where(F.col("count") > block).select("entity", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    blocks = lambda df: df.join(heavy, "entity", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    sources = blocks(left).select(F.col("id").alias("src"), "entity", F.col("other").alias("src_other"), F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("part"))
+    meets = blocks(r).select(F.col("id").alias("neighbor_id"), "entity", "other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    pairs = sources.join(meets, ["entity", "part"]).where(F.col("src") < F.col("neighbor_id") if ids is None else F.col("src") != F.col("neighbor_id"))
+    again = F.coalesce((F.col("other") == F.col("src_other")) & (F.col("other") < F.col("entity")), F.lit(False))
+    return pairs.where(~again).select("src", "neighbor_id")
 
 
 def reference_linked(graph: Graph, ids: DataFrame | None = None) -> DataFrame:
@@ -42,34 +55,51 @@ def neighbors(graph: Graph, ids: DataFrame) -> DataFrame:
     return shared.unionByName(reference_linked(graph, ids).withColumn("relation", F.lit("reference")))
 
 
-def walk(graph: Graph, seeds: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(reached (id, hop), edges (src, neighbor_id, relation)) of a breadth-first walk; depth is held between 1 and the cap, so the loop
-    has three turns at most, each a few joins over the frontier."""
-    reached = materialize(seeds.select("id").distinct().withColumn("hop", F.lit(0)), "reached")
-    edges: DataFrame | None = None
+def published(graph: Graph) -> Graph:
+    """The graph with what a walk reads of it, the restrictions' ids, entities and clauses, written once; hops read that."""
+    slim = graph.restriction.select("id", "subject_normalized", "object_normalized", "clause_node_id")
+    links = graph.references.where("target_type = 'clause'").select("src", "target_type", "target_key")
+    return graph.with_(restriction=materialize(slim, "walk"), references=materialize(links, "links"))
+
+
+def step(graph: Graph, frontier: DataFrame) -> DataFrame:
+    """(id, relation) of what one hop from restrictions (id) reaches, they themselves too: over their distinct entities and over their
+    clauses' distinct links, so that no pair of restrictions is made. relation is shares_entity where both hold."""
+    r = roles(graph.restriction)
+    mine = frontier.select("id").distinct()
+    entities = r.join(mine, "id", "left_semi").select("entity").distinct()
+    shared = r.join(entities, "entity", "left_semi").select("id").distinct().withColumn("relation", F.lit("shares_entity"))
+    clauses = graph.restriction.join(mine, "id", "left_semi").select(F.col("clause_node_id").alias("c")).distinct()
+    e = graph.references.where("target_type = 'clause'").select(F.col("src").alias("c"), F.col("target_key").alias("t"))
+    linked = e.unionByName(e.select(F.col("t").alias("c"), F.col("c").alias("t"))).join(clauses, "c", "left_semi").select(F.col("t").alias("clause_node_id")).distinct()
+    referred = graph.restriction.join(linked, "clause_node_id", "left_semi").select("id", F.lit("reference").alias("relation"))
+    return shared.unionByName(referred).groupBy("id").agg(F.max("relation").alias("relation"))
+
+
+def walk(graph: Graph, seeds: DataFrame, depth: int) -> DataFrame:
+    """(id, hop, relation) of a breadth-first walk from seeds, which have hop 0 and no relation; depth is held between 1 and the cap, so
+    the loop has three turns at most, each a few semi joins."""
+    reached = materialize(seeds.select("id").distinct().select("id", F.lit(0).alias("hop"), F.lit(None).cast("string").alias("relation")), "reached")
     for hop in range(1, clamp_depth(depth) + 1):
-        found = materialize(neighbors(graph, reached.where(F.col("hop") == hop - 1).select("id")), "frontier")
-        edges = found if edges is None else edges.unionByName(found)
-        fresh = found.select(F.col("neighbor_id").alias("id")).distinct().join(reached, "id", "left_anti").withColumn("hop", F.lit(hop))
+        found = step(graph, reached.where(F.col("hop") == hop - 1))
+        fresh = found.join(reached, "id", "left_anti").select("id", F.lit(hop).alias("hop"), "relation")
         reached = materialize(reached.unionByName(fresh), "reached")
-    return reached, edges
+    return reached
 
 
 def graph_around(graph: Graph, root: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) around a restriction: full rows of what is reached, and undirected edges (a, b, relation), each once."""
-    seeds = graph.restriction.where(F.col("id") == root).select("id")
-    reached, edges = walk(graph, seeds, depth)
-    nodes = project(joined(graph).join(reached.select("id"), "id", "left_semi"), graph)
-    undirected = edges.select(F.least("src", "neighbor_id").alias("a"), F.greatest("src", "neighbor_id").alias("b"), "relation").distinct()
-    return nodes, undirected
+    """(nodes, edges) around a restriction: full rows of what is reached, and undirected edges (a, b, relation), each once, of all that
+    lies less deep than depth. Pairs are made for the edges alone."""
+    slim = published(graph)
+    reached = walk(slim, slim.restriction.where(F.col("id") == root).select("id"), depth)
+    nodes = project(joined(graph.with_(restriction=graph.restriction.join(reached.select("id"), "id", "left_semi"))), graph)
+    edges = neighbors(slim, reached.where(F.col("hop") < clamp_depth(depth)))
+    return nodes, edges.select(F.least("src", "neighbor_id").alias("a"), F.greatest("src", "neighbor_id").alias("b"), "relation").distinct()
 
 
 def expand(graph: Graph, ids: DataFrame, depth: int = 1) -> DataFrame:
     """(id, relation, hop) of what a walk from ids reaches besides them: the relation of the shallowest hop, shares_entity first."""
-    reached, edges = walk(graph, ids, depth)
-    hops = edges.join(reached.withColumnRenamed("id", "src"), "src").join(reached.select(F.col("id").alias("neighbor_id"), F.col("hop").alias("at")), "neighbor_id").where("at = hop + 1")
-    best = hops.groupBy(F.col("neighbor_id").alias("id")).agg(F.max("relation").alias("relation"), F.min("at").alias("hop"))
-    return best
+    return walk(published(graph), ids, depth).where("hop > 0").select("id", "relation", "hop")
 
 
 def get_detail(graph: Graph, restriction: str) -> DataFrame:

@@ -19,13 +19,17 @@ def current(plans: DataFrame) -> DataFrame:
 
 def append(plans: DataFrame, new: DataFrame, restrictions: DataFrame, protect_reviewed: bool = False) -> DataFrame:
     """plans with a revision of each row of new (restriction_id, plan columns, review_status, author, reason, created_at) whose restriction
-    exists; with protect_reviewed none for restrictions whose current plan was reviewed. A rejected plan is not protected."""
+    exists; with protect_reviewed none for restrictions whose current plan was reviewed. A rejected plan is not protected. Each new
+    revision is current, and of the others only the flag of those it follows changes: what plans hold is neither sorted nor grouped."""
     now = plans.groupBy("restriction_id").agg(F.max(F.struct("revision", "planner_status")).alias("m")).select("restriction_id", F.col("m.revision").alias("_rev"), F.col("m.planner_status").alias("_status"))
     rows = new.join(restrictions.select(F.col("id").alias("restriction_id")), "restriction_id", "left_semi").join(now, "restriction_id", "left")
     if protect_reviewed:
         rows = rows.where("_status is null or _status <> 'reviewed'")
     rows = rows.withColumn("revision", F.coalesce("_rev", F.lit(0)) + 1)
-    return current(conform(plans, "check_plan").unionByName(conform(rows, "check_plan")))
+    newer = rows.select("restriction_id", F.lit(True).alias("_newer"))
+    old = conform(plans, "check_plan").join(newer, "restriction_id", "left")
+    old = old.withColumn("current", F.col("current") & F.col("_newer").isNull())
+    return conform(old, "check_plan").unionByName(conform(rows.withColumn("current", F.lit(True)), "check_plan"))
 
 
 def history(plans: DataFrame, restriction: str | None = None) -> DataFrame:

@@ -76,8 +76,9 @@ def order_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_kinds(spark: SparkSession) -> DataFrame:
-    rows = [(v, "approved", [k.lower()]) for k, v in KIND_OF_FLAG.items()] + [("предельная_высота", "approved", [])]
-    return spark.createDataFrame(rows, "name string, status string, aliases array<string>")
+    """Kinds as literals: Spark knows how few they are and broadcasts them."""
+    rows = ", ".join(f"('{v}', 'approved', array('{k.lower()}'))" for k, v in KIND_OF_FLAG.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows}, ('предельная_высота', 'approved', CAST(array() AS array<string>)) AS t(name, status, aliases)")
 
 
 def raw_references(spark: SparkSession, sf_dir: str) -> DataFrame:
