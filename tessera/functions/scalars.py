@@ -15,6 +15,8 @@ ZONE_STEMS = ("зон", "территори")
 SERVICE_STEMS = ("школ", "детск", "сад", "поликлиник", "больниц", "аптек", "магазин", "спорт")
 #: Traversal never goes deeper than this.
 MAX_DEPTH = 3
+#: Rows that a request may ask for.
+MIN_LIMIT, MAX_LIMIT = 1, 500
 
 
 def normalize(text: Column) -> Column:
@@ -92,6 +94,13 @@ def amount_text(operator: Column, number: Column, unit: Column) -> Column:
     return F.concat(operator, number.cast("string"), F.coalesce(unit, F.lit("")))
 
 
+def checked_limit(limit: int) -> int:
+    """A request's limit; one out of bounds is an error, as what is ranked and broadcast grows with it."""
+    if not MIN_LIMIT <= limit <= MAX_LIMIT:
+        raise ValueError(f"limit {limit} is not between {MIN_LIMIT} and {MAX_LIMIT}")
+    return limit
+
+
 def clamp_depth(depth: int) -> int:
     return max(1, min(depth, MAX_DEPTH))
 

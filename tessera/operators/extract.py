@@ -97,7 +97,7 @@ class Models:
     kind_threshold: float = KIND_THRESHOLD
 
 
-def write_restrictions(graph: Graph, found: DataFrame, models: Models, at: str) -> tuple[Graph, DataFrame]:
+def write_restrictions(graph: Graph, found: DataFrame, models: Models, at: str, few: bool = False) -> tuple[Graph, DataFrame]:
     """(graph, counts) with restrictions written: labels resolved in the order of documents, clauses and finds, ids made of what is said
     where, plans appended (reviewed ones stay) and conflicts of the new restrictions noted. counts: doc_id, restrictions, pending_kinds, conflicts."""
     found = materialize(found, "found")
@@ -105,8 +105,8 @@ def write_restrictions(graph: Graph, found: DataFrame, models: Models, at: str)
     mentions = found.select(F.struct(turn.alias("t"), F.lit(0).alias("role")).alias("seq"), F.col("subject").alias("label")).union(found.select(F.struct(turn.alias("t"), F.lit(1).alias("role")).alias("seq"), F.col("object").alias("label")))
     entities = materialize(resolve_entities(mentions, graph.entity, models.embedder, models.entity_threshold), "entities")
     kinds = materialize(resolve_kinds(found.select(F.struct(turn.alias("t"), F.lit(0).alias("role")).alias("seq"), F.col("kind").alias("label")), graph.kind, models.embedder, models.kind_threshold), "kinds")
-    graph = upsert_entities(graph, vocabulary_changes(entities, "normalized", "approved"))
-    graph = upsert_kinds(graph, vocabulary_changes(kinds, "name", "pending"))
+    graph = upsert_entities(graph, vocabulary_changes(entities, "normalized", "approved"), few)
+    graph = upsert_kinds(graph, vocabulary_changes(kinds, "name", "pending"), few)
 
     def by_label(resolved: DataFrame, label: str, key: str) -> DataFrame:
         return resolved.select(F.col("label").alias(label), F.col("key").alias(key)).distinct()
@@ -122,11 +122,11 @@ def write_restrictions(graph: Graph, found: DataFrame, models: Models, at: str)
         "kind": F.col("kind_key"), "char_start": absolute(F.col("_base"), F.col("start_pos")), "char_end": absolute(F.col("_base"), F.col("end_pos")),
     })
     rows = materialize(rows.dropDuplicates(["id"]), "written")
-    graph = upsert_restrictions(graph, rows)
+    graph = upsert_restrictions(graph, rows, few)
     plans = plan_columns(rows).withColumn("review_status", review_status(F.col("planner_status"))).withColumn("created_at", F.lit(at).cast("timestamp"))
     graph = graph.with_(check_plan=append(graph.check_plan, plans, graph.restriction, protect_reviewed=True))
-    new = find_conflicts(graph, rows.select("id")).withColumn("detected_at", F.lit(at).cast("timestamp"))
-    graph = upsert_conflicts(graph, new)
+    new = materialize(find_conflicts(graph, rows.select("id")).withColumn("detected_at", F.lit(at).cast("timestamp")), "conflicts")
+    graph = upsert_conflicts(graph, new, few)
     sides = new.select(F.explode(F.array("lo", "hi")).alias("id"), "lo", "hi")
     n_conflicts = sides.join(rows.select("id", "doc_id"), "id").groupBy("doc_id").agg(F.countDistinct("lo", "hi").alias("conflicts"))
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("restrictions"), F.count_if(F.col("kind_status") == "pending").alias("pending_kinds"))
@@ -137,33 +137,33 @@ def write_restrictions(graph: Graph, found: DataFrame, models: Models, at: str)
 OUTCOME = "doc_id string, outcome string, clauses long, references long, pending long, pruned long, restrictions long, pending_kinds long, conflicts long, error string"
 
 
-def sync_documents(graph: Graph, details: DataFrame, models: Models, at: str, replace: bool = False) -> tuple[Graph, DataFrame]:
-    """(graph, outcomes) with source documents ingested and their restrictions extracted.
+def sync_documents(graph: Graph, details: DataFrame, models: Models, at: str, anew: DataFrame) -> tuple[Graph, DataFrame]:
+    """(graph, outcomes) with source documents ingested and their restrictions extracted; those of anew (doc_id) lose what they no longer
+    say. A known document of the same hash with restrictions keeps them if it isn't among anew.
 
-    Without replace a known document of the same hash with restrictions keeps them. A document fails by itself: if a fragment has no id
-    or the extractor raises on a clause, the graph keeps what it had of it, its outcome says why, and all others are synced.
+    A document fails by itself: if a fragment has no id or the extractor raises on a clause, the graph keeps what it had of it, its
+    outcome says why, and all others are synced.
     """
     details = materialize(details, "details")
-    nothing = details.select("doc_id").limit(0)
-    same = nothing if replace else materialize(guard(sync_state(graph, among=details), details).where("unchanged").select("doc_id"), "unchanged")
-    faulty = details.where(F.exists(F.coalesce("fragments", F.expr("filter(fragments, f -> false)")), lambda f: F.coalesce(f["id"], F.lit("")) == ""))
+    states = guard(sync_state(graph, among=details), details).join(anew, "doc_id", "left_anti")
+    same = materialize(states.where("unchanged").select("doc_id"), "unchanged")
+    faulty = details.where(F.exists("fragments", lambda f: F.coalesce(f["id"], F.lit("")) == ""))
     broken = faulty.select("doc_id", F.lit("a fragment has no id").alias("error"))
     whole = details.join(broken, "doc_id", "left_anti")
     todo = whole.join(same, "doc_id", "left_anti")
-    tried, _ = ingest(graph, todo, replace)
+    tried, _ = ingest(graph, todo, anew, few=True)
     clauses = tried.clause.join(todo.select("doc_id"), "doc_id", "left_semi")
     raw = materialize(extract(clauses, models.extractor, tolerant=True), "extracted")
     failed = materialize(broken.unionByName(raw.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))), "failed")
-    good = whole.join(failed, "doc_id", "left_anti")
-    graph, counts = ingest(graph, good, replace)
+    good = materialize(whole.join(failed, "doc_id", "left_anti"), "good")
+    graph, counts = ingest(graph, good, anew, few=True)
     counts = materialize(counts, "counts")
     synced = good.join(same, "doc_id", "left_anti").select("doc_id")
-    if replace:
-        graph, _ = delete_restrictions(graph, synced)
-    graph, found = write_restrictions(graph, to_restrictions(raw.where("error is null").join(failed, "doc_id", "left_anti")), models, at)
-    states = same.withColumn("outcome", F.lit("unchanged")).unionByName(synced.withColumn("outcome", F.lit("synced"))).withColumn("error", F.lit(None).cast("string"))
-    states = states.unionByName(failed.withColumn("outcome", F.lit("failed")))
-    out = states.join(counts, "doc_id", "left").join(found, "doc_id", "left").na.fill(0)
+    graph, _ = delete_restrictions(graph, synced.join(anew, "doc_id", "left_semi"))
+    graph, found = write_restrictions(graph, to_restrictions(raw.where("error is null").join(failed, "doc_id", "left_anti")), models, at, few=True)
+    became = same.withColumn("outcome", F.lit("unchanged")).unionByName(synced.withColumn("outcome", F.lit("synced"))).withColumn("error", F.lit(None).cast("string"))
+    became = became.unionByName(failed.withColumn("outcome", F.lit("failed")))
+    out = became.join(counts, "doc_id", "left").join(found, "doc_id", "left").na.fill(0)
     return graph, materialize(out.select(*(c.split()[0] for c in OUTCOME.split(", "))), "outcomes")
 
 

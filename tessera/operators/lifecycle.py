@@ -8,52 +8,62 @@ from pyspark.sql import functions as F
 from ..functions.scalars import pending_key
 from ..schema import KEYS, Graph, conform
 from ..sources.documents import fragments, listing, references, resolve_doc_ids
+from ..sources.store import materialize
 
 
-def merge(old: DataFrame, new: DataFrame, table: str, old_wins: tuple[str, ...] = (), joined_lists: tuple[str, ...] = ()) -> DataFrame:
+def merge(old: DataFrame, new: DataFrame, table: str, old_wins: tuple[str, ...] = (), joined_lists: tuple[str, ...] = (), few: bool = False) -> DataFrame:
     """old with new's rows: by key, a null in new keeps what old has; old_wins columns are set on creation only, joined_lists grow. Of
-    several new rows of one key the greatest counts, by its columns from left to right."""
+    several new rows of one key the greatest counts, by its columns from left to right.
+
+    few says that new is a batch beside a large table: it is written once, old's rows look it up, and only new rows that found none are
+    added, so that Spark can broadcast the batch and old is not shuffled. Without it both meet in one full join.
+    """
     keys = KEYS[table]
     new, old = conform(new, table), conform(old, table)
     rest = [c for c in new.columns if c not in keys]
-    new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_m")).select(*keys, "_m.*") if rest else new.distinct()
-    o = old.select(*keys, F.struct(*(c for c in old.columns if c not in keys)).alias("_o"))
-    n = new.select(*keys, F.struct(*(c for c in new.columns if c not in keys)).alias("_n"))
+    new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_n")) if rest else new.distinct().withColumn("_n", F.struct(F.lit(True)))
+    new = materialize(new, table) if few else new
+    o = old.select(*keys, F.struct(*rest).alias("_o") if rest else F.struct(F.lit(True)).alias("_o"))
 
-    def pick(c: str):
+    def pick(c: str) -> Column:
         if c in joined_lists:
             none = F.array().cast(dict(old.dtypes)[c])
             return F.array_union(F.coalesce(f"_o.{c}", none), F.coalesce(f"_n.{c}", none)).alias(c)
         first, second = ("_o", "_n") if c in old_wins else ("_n", "_o")
         return F.coalesce(f"{first}.{c}", f"{second}.{c}").alias(c)
 
-    return o.join(n, keys, "full_outer").select(*(c if c in keys else pick(c) for c in old.columns))
+    if few:
+        found = o.join(new.select(*keys), keys, "left_semi").select(*keys)
+        both = o.join(new, keys, "left").unionByName(new.join(found, keys, "left_anti"), allowMissingColumns=True)
+    else:
+        both = o.join(new, keys, "full_outer")
+    return both.select(*(c if c in keys else pick(c) for c in old.columns))
 
 
-def upsert_documents(graph: Graph, rows: DataFrame) -> Graph:
-    return graph.with_(document=merge(graph.document, rows, "document"))
+def upsert_documents(graph: Graph, rows: DataFrame, few: bool = False) -> Graph:
+    return graph.with_(document=merge(graph.document, rows, "document", few=few))
 
 
-def upsert_clauses(graph: Graph, rows: DataFrame) -> Graph:
-    return graph.with_(clause=merge(graph.clause, rows, "clause"))
+def upsert_clauses(graph: Graph, rows: DataFrame, few: bool = False) -> Graph:
+    return graph.with_(clause=merge(graph.clause, rows, "clause", few=few))
 
 
-def upsert_kinds(graph: Graph, rows: DataFrame) -> Graph:
-    return graph.with_(kind=merge(graph.kind, rows, "kind", ("status",), ("aliases",)))
+def upsert_kinds(graph: Graph, rows: DataFrame, few: bool = False) -> Graph:
+    return graph.with_(kind=merge(graph.kind, rows, "kind", ("status",), ("aliases",), few))
 
 
-def upsert_entities(graph: Graph, rows: DataFrame) -> Graph:
-    return graph.with_(entity=merge(graph.entity, rows, "entity", ("name", "status"), ("aliases",)))
+def upsert_entities(graph: Graph, rows: DataFrame, few: bool = False) -> Graph:
+    return graph.with_(entity=merge(graph.entity, rows, "entity", ("name", "status"), ("aliases",), few))
 
 
-def upsert_restrictions(graph: Graph, rows: DataFrame) -> Graph:
+def upsert_restrictions(graph: Graph, rows: DataFrame, few: bool = False) -> Graph:
     """Plans are kept by restriction id, so a restriction that comes back has its plans again."""
-    return graph.with_(restriction=merge(graph.restriction, rows, "restriction"))
+    return graph.with_(restriction=merge(graph.restriction, rows, "restriction", few=few))
 
 
-def upsert_conflicts(graph: Graph, rows: DataFrame) -> Graph:
+def upsert_conflicts(graph: Graph, rows: DataFrame, few: bool = False) -> Graph:
     pair = rows.withColumns({"lo": F.least("lo", "hi"), "hi": F.greatest("lo", "hi")})
-    return graph.with_(conflict=merge(graph.conflict, pair, "conflict"))
+    return graph.with_(conflict=merge(graph.conflict, pair, "conflict", few=few))
 
 
 def link_part_of(graph: Graph, edges: DataFrame) -> Graph:
@@ -92,23 +102,30 @@ def clause_rows(details: DataFrame) -> DataFrame:
     return fragments(details).select(F.col(f"{f}.id").alias("node_id"), "doc_id", "name", "version", "version_id", *own)
 
 
-def ingest(graph: Graph, details: DataFrame, replace: bool = False, backfill: DataFrame | None = None) -> tuple[Graph, DataFrame]:
-    """(graph, counts) with the structure of documents: themselves, clauses, parents and references; replace also removes clauses that
-    a document no longer has. backfill: references (src, ...) for clauses of library documents that name none themselves.
+def ingest(graph: Graph, details: DataFrame, replace: bool | DataFrame = False, backfill: DataFrame | None = None, few: bool = False) -> tuple[Graph, DataFrame]:
+    """(graph, counts) with the structure of documents: themselves, clauses, parents and references; replace (for all of them, or for
+    those of a table (doc_id)) also removes clauses that a document no longer has. backfill: references (src, ...) for clauses of library documents that name none themselves. Each table is
+    merged once, with the targets that are not there yet as rows without properties; few as in merge().
     counts: doc_id, clauses, references, pending, pruned."""
     parts = fragments(details)
-    graph = upsert_clauses(upsert_documents(graph, details), clause_rows(details))
-    graph = link_part_of(graph, parts.where("fragment.parent_id is not null").select(F.col("fragment.id").alias("child"), F.col("fragment.parent_id").alias("parent")))
     own = references(details).select("src", "reference.*")
     if backfill is not None:
         bare = parts.where("user_id is null and (fragment.references is null or size(fragment.references) = 0) and trim(fragment.text) <> ''")
         found = backfill.join(bare.select(F.col("fragment.id").alias("src")), "src", "left_semi")
         own = own.unionByName(found, allowMissingColumns=True)
-    graph = link_references(graph, own)
+    edges, waiting = route_references(own)
+    stub = lambda kind, key: conform(edges.where(F.col("target_type") == kind).select(F.col("target_key").alias(key)), kind)
+    parents = parts.where("fragment.parent_id is not null").select(F.col("fragment.id").alias("child"), F.col("fragment.parent_id").alias("parent"))
+    clauses = conform(clause_rows(details), "clause").unionByName(conform(parents.select(F.col("parent").alias("node_id")), "clause")).unionByName(stub("clause", "node_id"))
+    graph = upsert_clauses(upsert_documents(graph, conform(details, "document").unionByName(stub("document", "doc_id")), few), clauses, few)
+    graph = graph.with_(
+        part_of=merge(graph.part_of, parents, "part_of", few=few), references=merge(graph.references, edges, "references", few=few), pending=merge(graph.pending, waiting, "pending", few=few)
+    )
     pruned = None
-    if replace:
+    if replace is not False:
         keep = clause_rows(details).select("node_id")
-        graph, pruned = prune(graph, details.select("doc_id"), keep)
+        anew = details.select("doc_id")
+        graph, pruned = prune(graph, anew if replace is True else anew.join(replace, "doc_id", "left_semi"), keep)
     here = parts.select("doc_id", F.col("fragment.id").alias("src"))
     resolved = F.coalesce("resolved", F.lit(False)) & F.coalesce("target_node_id", "target_doc_id").isNotNull()
     linked = own.withColumn("ok", resolved).join(here, "src").groupBy("doc_id").agg(F.count_if("ok").alias("references"), F.count_if(~F.col("ok")).alias("pending"))
@@ -123,11 +140,6 @@ def ingest_by_name(graph: Graph, details: DataFrame, name: str, user_id: str | N
     return ingest(graph, details.join(ids, "doc_id", "left_semi"), replace)
 
 
-def fallback_query(text: Column) -> Column:
-    """What a fragment without references of its own is searched by: its first 400 characters."""
-    return F.substring(text, 1, 400)
-
-
 def get_clauses(graph: Graph, doc_id: str) -> DataFrame:
     """A document's clauses with a text, in reading order."""
     return graph.clause.where((F.col("doc_id") == doc_id) & (F.coalesce("text", F.lit("")) != "")).orderBy("order", "node_id")
@@ -142,8 +154,9 @@ def without_restrictions(graph: Graph, gone: DataFrame) -> Graph:
 
 
 def without_clauses(graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
-    """(graph, restriction ids removed): without clauses (node_id), what was derived from them, and their edges."""
-    derived = graph.restriction.join(gone.select(F.col("node_id").alias("clause_node_id")), "clause_node_id", "left_semi").select("id")
+    """(graph, restriction ids removed): without clauses (node_id), what was derived from them, and their edges. What goes is written as
+    a table of keys, which several tables are cleared by."""
+    derived = materialize(graph.restriction.join(gone.select(F.col("node_id").alias("clause_node_id")), "clause_node_id", "left_semi").select("id"), "gone")
     edges = graph.references.join(gone.select(F.col("node_id").alias("src")), "src", "left_anti")
     dead = gone.select(F.lit("clause").alias("target_type"), F.col("node_id").alias("target_key"))
     edges = edges.join(dead, ["target_type", "target_key"], "left_anti")
@@ -154,21 +167,22 @@ def without_clauses(graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
 
 def delete_restrictions(graph: Graph, docs: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, (doc_id, deleted)) without the restrictions extracted from documents (doc_id)."""
-    gone = graph.restriction.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("id", "doc_id")
+    gone = materialize(graph.restriction.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("id", "doc_id"), "gone")
     return without_restrictions(graph, gone), gone.groupBy("doc_id").agg(F.count("*").alias("deleted"))
 
 
 def prune(graph: Graph, docs: DataFrame, keep: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, (doc_id, pruned)) without the clauses of documents (doc_id) that are not in keep (node_id)."""
     stale = graph.clause.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").join(keep.select("node_id").distinct(), "node_id", "left_anti").select("node_id", "doc_id")
+    stale = materialize(stale, "stale")
     graph, _ = without_clauses(graph, stale)
     return graph, stale.groupBy("doc_id").agg(F.countDistinct("node_id").alias("pruned"))
 
 
 def delete_documents(graph: Graph, docs: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, (doc_id, clauses, restrictions)) without documents (doc_id), their clauses and what was derived. The vocabulary stays."""
-    victims = graph.document.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")
-    clauses = graph.clause.join(victims, "doc_id", "left_semi").select("node_id", "doc_id")
+    victims = materialize(graph.document.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id"), "victims")
+    clauses = materialize(graph.clause.join(victims, "doc_id", "left_semi").select("node_id", "doc_id"), "gone")
     derived = graph.restriction.select("id", F.col("clause_node_id").alias("node_id")).join(clauses, "node_id")
     n_c, n_r = clauses.groupBy("doc_id").agg(F.count("*").alias("clauses")), derived.groupBy("doc_id").agg(F.count("*").alias("restrictions"))
     counts = victims.join(n_c, "doc_id", "left").join(n_r, "doc_id", "left").na.fill(0, ["clauses", "restrictions"])

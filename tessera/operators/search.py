@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize
+from ..functions.scalars import checked_limit, normalize
 from ..functions.vectors import cosine, nearest, to_query, unit_interval
 from ..schema import Graph
 from .rows import Filters, in_reading_order, joined, matching, project
@@ -16,7 +18,7 @@ ENTITY_THRESHOLD, KIND_THRESHOLD = 0.90, 0.88
 
 def fetch_size(limit: int, oversample: int = 5) -> int:
     """Vectors taken before the filters: some of them fall away."""
-    return max(limit * oversample, 50)
+    return max(checked_limit(limit) * oversample, 50)
 
 
 def top_vectors(nodes: DataFrame, vector: list[float], k: int, key: str, score_mode: str = "raw") -> DataFrame:
@@ -35,6 +37,7 @@ def nearest_nodes(nodes: DataFrame, vector: list[float], key: str, k: int = 1) -
 def search_vector(graph: Graph, vector: list[float], filters: Filters = Filters(), limit: int = 10, prefilter: bool = False) -> DataFrame:
     """Restrictions nearest to a vector. By default the nearest are fetched first and filtered after, as an index does, so fewer than
     limit rows may come; with prefilter the nearest of those under the filters."""
+    checked_limit(limit)
     if prefilter:
         rows = matching(joined(graph), filters)
         rows = rows.withColumn("_score", cosine(F.col("embedding"), to_query(vector))).where("_score is not null")
@@ -83,10 +86,17 @@ def search_clauses(graph: Graph, vector: list[float], vectors: DataFrame, limit:
     return found.orderBy(F.desc("score"), "node_id").limit(limit).select("node_id", "doc_id", "name", "text", "score")
 
 
-def search(graph: Graph, vector: list[float] | None, filters: Filters = Filters(), limit: int = 10, fallback: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(hits, fallback hits): by vector or, without one, a filtered listing. The fallback is looked at only when a vector search finds nothing."""
+def search(graph: Graph, vector: list[float] | None, filters: Filters = Filters(), limit: int = 10, fallback: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(hits, fallback hits): by vector or, without one, a filtered listing. The fallback, such as a text search over clauses, is called only
+    when a vector search finds nothing."""
     hits = search_filter_or_vector(graph, vector, filters, limit)
-    return hits, (fallback if vector is not None and fallback is not None and hits.isEmpty() else None)
+    return hits, (fallback() if vector is not None and fallback is not None and hits.isEmpty() else None)
+
+
+def respond(rows: DataFrame, limit: int) -> DataFrame:
+    """The answer to a request as one row: count, the number of rows after the limit, and items, the rows in their order (500 at most)."""
+    few = rows.limit(checked_limit(limit))
+    return few.agg(F.count("*").alias("count"), F.collect_list(F.struct("*")).alias("items"))
 
 
 def search_filter_or_vector(graph: Graph, vector: list[float] | None, filters: Filters, limit: int) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-
+from pyspark.sql.types import StructType
 
 
 DOCUMENT = "doc_id string, name string, title string, version string, version_id string, doc_type string, corpus string, lang string, status string, content_hash string, source_uri string, uploaded_at string, node_count int, user_id string, scenario_id string"
@@ -56,11 +56,15 @@ def empty_graph(spark) -> Graph:
     return Graph(**{name: spark.createDataFrame([], text) for name, text in SCHEMAS.items()})
 
 
+@cache
+def table_type(table: str) -> StructType:
+    return StructType.fromDDL(SCHEMAS[table])
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """df with exactly a table's columns and types; absent ones are null, others go."""
     have = set(df.columns)
-    wanted = df.sparkSession.createDataFrame([], SCHEMAS[table]).schema
-    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table_type(table)))
 
 
 def problems(graph: Graph, dimension: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 REFERENCE = "struct<raw:string,target_name:string,target_numbering:string,scope:string,target_doc_id:string,target_version:string,target_node_id:string,resolved:boolean>"
 FRAGMENT = f"struct<id:string,order:int,kind:string,type:string,numbering:string,depth:int,breadcrumb:string,parent_id:string,prev_id:string,next_id:string,child_ids:array<string>,char_start:int,char_end:int,page_start:int,page_end:int,span_id:string,tags:array<string>,metadata:map<string,string>,references:array<{REFERENCE}>,text:string,table_html:string>"
@@ -15,6 +16,16 @@ def read_details(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DETAIL).json(path)
 
 
+def fragment_type() -> StructType:
+    """The fields of a fragment, for building one."""
+    return StructType.fromDDL(f"f {FRAGMENT}")["f"].dataType
+
+
+def as_details(rows: DataFrame) -> DataFrame:
+    """rows with all columns of a detail; absent ones are null, others go."""
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(DETAIL)))
+
+
 def listing(details: DataFrame) -> DataFrame:
     return details.select("doc_id", "name", "version", "content_hash", "user_id", "scenario_id")
 

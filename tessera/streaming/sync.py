@@ -88,12 +88,10 @@ class LifecycleSync:
         graph, out = self.without(graph, gone)
         outcomes = [out]
         source = self.details()
-        for replace in (False, True):
-            docs = in_scope(source, wrote.where(F.col("replace") == replace)).select("doc_id").distinct()
-            wanted = materialize(source.join(docs, "doc_id", "left_semi"), "details")
-            if not wanted.isEmpty():
-                graph, out = sync_documents(graph, wanted, self.models, self.now(), replace)
-                outcomes.append(out)
+        docs = materialize(in_scope(source, wrote).groupBy("doc_id").agg(F.max("replace").alias("replace")), "named")
+        if not docs.isEmpty():
+            graph, out = sync_documents(graph, source.join(docs, "doc_id", "left_semi"), self.models, self.now(), docs.where("replace").select("doc_id"))
+            outcomes.append(out)
         graph, out = self.without(graph, gone.where("after"))
         self.store.publish(graph, before, _all([*outcomes, out], events.sparkSession, OUTCOME))
         return self.store.load()
@@ -122,11 +120,10 @@ class LifecycleSync:
         before = graph = self.store.load()
         actions = materialize(reconcile(listing(source.where("user_id is null")), stored_documents(graph)), "actions")
         outcomes = []
-        for action in ("added", "updated"):
-            wanted = source.join(actions.where(F.col("action") == action), "doc_id", "left_semi")
-            if not wanted.isEmpty():
-                graph, out = sync_documents(graph, wanted, self.models, self.now(), replace=action == "updated")
-                outcomes.append(out)
+        wanted = actions.where("action in ('added', 'updated')")
+        if not wanted.isEmpty():
+            graph, out = sync_documents(graph, source.join(wanted, "doc_id", "left_semi"), self.models, self.now(), wanted.where("action = 'updated'").select("doc_id"))
+            outcomes.append(out)
         graph, out = self._deleted(graph, materialize(actions.where("action = 'deleted'").select("doc_id"), "gone"))
         outcomes = materialize(_all([*outcomes, out], source.sparkSession, OUTCOME), "outcomes")
         if graph is not before or not outcomes.isEmpty():

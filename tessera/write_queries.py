@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.models import hashing_embedder
 from .functions.vectors import cosine, to_query
-from .operators import lifecycle, search
+from .operators import lifecycle, rows, search, text_search
+from .operators.extract import Models, rule_extractor
+from .operators.vocabulary import leaders
 from .plans.planner import plan_columns
 from .plans.revisions import review
-from .queries import GRAPH_SQL, VECTOR_SQL, query, query_vector, vectors
+from .queries import GRAPH_SQL, VECTOR_SQL, query, query_vector, vector_graph, vectors
 from .schema import empty_graph, problems
 from .sources import derived, documents
+from .sources.store import GraphStore, scratch_dir
+from .streaming.sync import LifecycleSync
 
 
 def order_details(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,7 +151,7 @@ def search_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """A vector search that finds no restriction looks at the clauses instead."""
     v, q = vectors(spark, sf).select(F.col("vec_id").cast("string").alias("node_id"), "embedding"), query_vector(spark, sf)
     near = v.withColumn("score", cosine(F.col("embedding"), to_query(q))).orderBy(F.desc("score"), "node_id").limit(5).select("node_id")
-    return search.search(empty_graph(spark), q, fallback=near)[1]
+    return search.search(empty_graph(spark), q, fallback=lambda: near)[1]
 
 
 @query("plan_review", f"""{GRAPH_SQL}, one AS (SELECT min(restriction_id) AS id FROM plan WHERE template <> 'unsupported')
@@ -180,3 +187,161 @@ def plan_parameters(spark: SparkSession, sf: str) -> DataFrame:
     p = plan_columns(derived.line_restrictions(spark, sf))
     number = lambda c: F.get_json_object("params_json", f"$.{c}").cast("double").alias(c)
     return p.select("restriction_id", "template", number("distance_m"), number("threshold"), F.get_json_object("requirements_json", "$.layers[0].entity").alias("first_entity"))
+
+
+# Text search over lines of the documents as clauses. The query is the beginning of a document's text.
+
+TEXT_SQL = r"""
+WITH l AS (SELECT doc_id, source AS name, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents),
+c AS (SELECT doc_id::VARCHAR || '#' || ord::VARCHAR AS node_id, doc_id::VARCHAR AS doc_id, name, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts FROM l),
+k AS (SELECT *, len(ts) AS n FROM c WHERE len(ts) > 0),
+p AS (SELECT node_id, doc_id, name, n, term, count(*) AS tf FROM (SELECT node_id, doc_id, name, n, unnest(ts) AS term FROM k) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+a AS (SELECT count(*) AS clauses, avg(n) AS mean FROM k),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(substr(text, 1, 120)), '[\p{L}\p{N}]+')) AS term FROM documents WHERE doc_id = 7),
+s AS (
+  SELECT node_id, any_value(doc_id) AS doc_id, any_value(name) AS name,
+         sum(ln(1 + (clauses - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score
+  FROM p JOIN w USING (term) JOIN f USING (term), a GROUP BY node_id)
+"""
+
+
+def text_index(spark: SparkSession, sf: str) -> text_search.TextIndex:
+    return text_search.build_index(derived.text_clauses(spark, sf), "doc_id", "name")
+
+
+def text_query(spark: SparkSession, sf: str) -> str:
+    return derived.table(spark, sf, "documents").where("doc_id = 7").select(F.substring("text", 1, 120)).first()[0]
+
+
+@query("search_text", TEXT_SQL + "SELECT node_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, node_id LIMIT 20")
+def search_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines that fit best to the beginning of a document. The order is taken from rounded scores, as sums have no order."""
+    hits = text_search.search_text(text_index(spark, sf), text_query(spark, sf), 100).select("node_id", F.round("score", 6).alias("score"))
+    return hits.orderBy(F.desc("score"), "node_id").limit(20)
+
+
+@query("search_text_filtered", TEXT_SQL + "SELECT node_id, round(score, 6) AS score FROM s WHERE name IN ('src1', 'src2') ORDER BY round(score, 6) DESC, node_id LIMIT 20")
+def search_text_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same among clauses of two names: the filter comes before the ranking."""
+    clauses = derived.text_clauses(spark, sf)
+    hits = text_search.search_text(text_index(spark, sf), text_query(spark, sf), 100, clauses.where(F.col("name").isin("src1", "src2")))
+    return hits.select("node_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(20)
+
+
+@query("search_text_fallback", TEXT_SQL + "SELECT node_id, round(score, 6) AS score, TRUE AS fell_back FROM s ORDER BY round(score, 6) DESC, node_id LIMIT 10")
+def search_text_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector search that finds no restriction gives the text search's hits instead; one with hits doesn't run it."""
+    asked = []
+
+    def fallback() -> DataFrame:
+        asked.append(1)
+        return text_search.search_text(text_index(spark, sf), text_query(spark, sf), 100)
+
+    q = query_vector(spark, sf)
+    _, none = search.search(vector_graph(spark, sf), q, limit=5, fallback=fallback)
+    runs = len(asked)
+    _, found = search.search(empty_graph(spark), q, limit=5, fallback=fallback)
+    hits = found.select("node_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(10)
+    return hits.withColumn("fell_back", F.lit(none is None and runs == 0 and len(asked) == 1))
+
+
+@query("search_response", f"{GRAPH_SQL}, few AS (SELECT id FROM rows WHERE corpus = 'MACHINERY' ORDER BY name NULLS LAST, numbering NULLS LAST, id LIMIT 50) SELECT count(*) AS count, min(id) AS first_id, max(id) AS last_id FROM few")
+def search_response(spark: SparkSession, sf: str) -> DataFrame:
+    """A counted answer: the number of hits after the limit, with the hits."""
+    found = rows.in_reading_order(rows.search_filter(derived.order_graph(spark, sf), rows.Filters(corpus="MACHINERY")))
+    ids = F.transform("items", lambda i: i["id"])
+    return search.respond(found, 50).select("count", F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"))
+
+
+@query("backfilled_references", r"""
+WITH c AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS text FROM documents),
+t AS (SELECT doc_id, ord, doc_id::VARCHAR || '#' || ord::VARCHAR AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ts, regexp_extract_all(lower(substr(text, 1, 400)), '[\p{L}\p{N}]+') AS qs, text FROM c),
+k AS (SELECT *, len(ts) AS n FROM t WHERE len(ts) > 0),
+p AS (SELECT id, doc_id, n, term, count(*) AS tf FROM (SELECT id, doc_id, n, unnest(ts) AS term FROM k) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term), a AS (SELECT count(*) AS clauses, avg(n) AS mean FROM k),
+q AS (SELECT DISTINCT id AS q, doc_id, unnest(qs) AS term FROM t WHERE ord % 2 = 0 AND trim(text) <> ''),
+s AS (
+  SELECT q.q, p.id, sum(ln(1 + (clauses - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score
+  FROM q JOIN p ON p.term = q.term AND p.doc_id = q.doc_id JOIN f ON f.term = q.term, a GROUP BY q.q, p.id),
+r AS (SELECT q, id FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) <= 5)
+SELECT id AS src, 'see ' || id AS raw FROM r WHERE q = id""")
+def backfilled_references(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second line of a text lacks references, and a search index over all lines knows one for each."""
+    lines = derived.text_clauses(spark, sf)
+    none = F.lit(None).cast("string")
+    known = F.array(F.struct(F.concat(F.lit("see "), "node_id").alias("raw"), none.alias("target_name"), none.alias("target_numbering")))
+    indexed = lines.select("node_id", "doc_id", "text", known.alias("references"))
+    one = F.struct(F.col("node_id").alias("id"), "text", F.when(F.col("order") % 2 == 1, known).alias("references"))
+    details = lines.groupBy("doc_id").agg(F.collect_list(one).alias("fragments")).withColumn("user_id", none)
+    return text_search.backfill_references(details, indexed).select("src", "raw")
+
+
+# The lifecycle: parts as source documents of one bounded sentence each, reconciled twice with a store.
+
+
+def part_details(spark: SparkSession, sf: str, changed: bool) -> DataFrame:
+    """Parts as source documents; the second listing lacks some, has others that the first lacked, and a new hash for every third."""
+    p = derived.table(spark, sf, "part")
+    key = F.col("p_partkey")
+    p = p.where(key % 7 != 0) if changed else p.where(key % 5 != 0)
+    said = F.concat(F.col("p_name"), F.lit(" должен отстоять не менее "), F.col("p_size").cast("string"), F.lit(" м от границы."))
+    digest = F.concat(F.when(F.lit(changed) & (key % 3 == 0), "h2-").otherwise("h1-"), key.cast("string"))
+    one = {"id": F.concat(key.cast("string"), F.lit("-1")), "order": F.lit(1), "char_start": F.lit(0), "text": said}
+    fragment = [(one[f.name] if f.name in one else F.lit(None).cast(f.dataType)).alias(f.name) for f in documents.fragment_type()]
+    return documents.as_details(p.select(key.cast("string").alias("doc_id"), F.col("p_name").alias("name"), digest.alias("content_hash"), F.array(F.struct(*fragment)).alias("fragments")))
+
+
+def failing_at(size: int):
+    """An extractor that cannot read what speaks of a size."""
+
+    def run(text: str):
+        if f"не менее {size} м" in text:
+            raise ValueError(f"size {size}")
+        return rule_extractor(text)
+
+    return run
+
+
+@query("reconcile_applied", """
+WITH s AS (SELECT * FROM part WHERE p_partkey % 5 <> 0 AND p_size <> 13),
+l AS (SELECT * FROM part WHERE p_partkey % 7 <> 0),
+a AS (
+  SELECT coalesce(l.p_partkey, s.p_partkey) AS k, coalesce(l.p_size, s.p_size) AS size,
+         CASE WHEN l.p_partkey IS NULL THEN 'deleted' WHEN s.p_partkey IS NULL THEN 'added' WHEN l.p_partkey % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS action, s.p_partkey IS NOT NULL AS stored
+  FROM l FULL JOIN s ON l.p_partkey = s.p_partkey),
+o AS (SELECT *, CASE WHEN action = 'deleted' THEN 'deleted' WHEN action = 'unchanged' THEN NULL WHEN size = 14 THEN 'failed' ELSE 'synced' END AS outcome FROM a)
+SELECT k::VARCHAR AS doc_id, outcome, CASE WHEN outcome = 'failed' THEN 'ValueError: size 14' END AS error,
+       CASE WHEN outcome = 'deleted' OR outcome = 'failed' AND NOT stored THEN NULL WHEN action IN ('added', 'updated') AND outcome = 'synced' AND k % 3 = 0 THEN 'h2-' || k::VARCHAR
+            WHEN action = 'added' THEN 'h1-' || k::VARCHAR ELSE 'h1-' || k::VARCHAR END AS content_hash,
+       CASE WHEN outcome = 'deleted' OR outcome = 'failed' AND NOT stored THEN 0 ELSE 1 END::BIGINT AS restrictions,
+       (SELECT count(*) FROM o WHERE outcome = 'failed') AS n_failed, (SELECT count(*) FROM o WHERE action = 'added' AND outcome = 'synced') AS n_added,
+       (SELECT count(*) FROM o WHERE action = 'updated' AND outcome = 'synced') AS n_updated, (SELECT count(*) FROM o WHERE action = 'unchanged') AS n_unchanged
+FROM o""")
+def reconcile_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """What a second reconciliation does with each part, the state it leaves, and its counters. Some documents fail in the first one and are
+    tried again in the second, in which others fail and keep what the store had of them."""
+    store = GraphStore(spark, f"{scratch_dir(spark)}/tessera/store-{uuid.uuid4().hex}")
+    for changed, size in ((False, 13), (True, 14)):
+        models = Models(hashing_embedder(), failing_at(size), entity_threshold=2.0, kind_threshold=2.0)  # only equal labels are one
+        counts = LifecycleSync(store, lambda: part_details(spark, sf, changed), models, lambda: "2024-01-01 00:00:00").reconcile()
+    graph = store.load()
+    n = graph.restriction.groupBy("doc_id").agg(F.count("*").alias("restrictions"))
+    left = graph.document.select("doc_id", "content_hash").join(n, "doc_id", "left")
+    out = left.join(store.outcomes().select("doc_id", "outcome", "error"), "doc_id", "full_outer").na.fill(0, ["restrictions"])
+    said = {"n_failed": counts.failed, "n_added": counts.added, "n_updated": counts.updated, "n_unchanged": counts.unchanged}
+    return out.select("doc_id", "outcome", "error", "content_hash", "restrictions", *(F.lit(k).cast("long").alias(c) for c, k in said.items()))
+
+
+@query("leader_pass", """
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT b.i, list(a.vec_id) AS earlier FROM v a JOIN v b ON a.i < b.i AND list_cosine_similarity(a.e, b.e) >= 0.35 GROUP BY b.i),
+n AS (SELECT v.i, v.vec_id, coalesce(near.earlier, []) AS earlier FROM v LEFT JOIN near ON near.i = v.i),
+r AS (
+  SELECT 0::BIGINT AS i, []::BIGINT[] AS lead
+  UNION ALL SELECT n.i, CASE WHEN list_has_any(r.lead, n.earlier) THEN r.lead ELSE list_append(r.lead, n.vec_id) END FROM r JOIN n ON n.i = r.i + 1)
+SELECT unnest(lead) AS vec_id FROM (SELECT lead FROM r ORDER BY i DESC LIMIT 1)""")
+def leader_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors read in order, each of which leads unless an earlier leader is near: what settles new labels of a vocabulary."""
+    v = vectors(spark, sf).select(F.col("vec_id").cast("string").alias("norm"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+    return leaders(v, 0.35)[0].select(F.col("norm").cast("long").alias("vec_id"))
