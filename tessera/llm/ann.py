@@ -14,14 +14,16 @@ from .vectors import matrix, usable
 
 #: Vectors of a data block, and queries that meet it in a task: an index is built once for so many queries.
 BLOCK, QUERIES = 8192, 16_384
+#: The search ends when its radius is so many times the distance of the k-th vector found.
+MARGIN = 1.04
 
 
 class CollisionIndex:
-    """Sorted projections of a block. At radius r a vector within r of the query falls into a window of width 2r around the
-    query's projection with probability 0.68 each; share of all windows makes it a candidate, which is verified."""
+    """Sorted projections of a block. At radius r a vector within r of the query falls into a window of width 2r around the query's
+    projection with probability 0.68 each, one within r / margin more often; share of all windows makes it a candidate, which is verified."""
 
-    def __init__(self, data: np.ndarray, projections: int, share: float, growth: float, seed: int) -> None:
-        self.data, self.growth = data, growth
+    def __init__(self, data: np.ndarray, projections: int, share: float, growth: float, seed: int, margin: float = MARGIN) -> None:
+        self.data, self.growth, self.margin = data, growth, margin
         n, dim = data.shape
         self.axes = np.random.default_rng(seed).normal(size=(dim, projections))
         self.need = int(np.ceil(share * projections))
@@ -33,16 +35,17 @@ class CollisionIndex:
         self.shift = np.concatenate([[0.0], np.cumsum(self.high - self.low + 1)])[:-1] - self.low
         self.sorted = (at + self.shift).T.ravel()
         self.ids = order.astype(np.uint16 if n <= 1 << 16 else np.int64).T.ravel()
-        self.spread = data[:: max(1, n // 256)]
+        self.spread = np.arange(0, n, max(1, n // 256))
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of the verified vectors when k of them lie within the radius, or all vectors are verified.
+        """(rows, distances) of the verified vectors when k of them lie well within the radius (by the margin), or all vectors are verified.
 
         Counts go on from radius to radius: only what a window gains at its two ends is counted."""
         n = len(self.data)
         spot = query @ self.axes
         known, times = skip.copy(), np.zeros(n, np.int64)
-        near = float(np.sqrt(((self.spread - query) ** 2).sum(1)).min())  # a radius that can't be far too small
+        others = self.spread[~skip[self.spread]]  # the least distance to some other vectors: a radius that can't be far too small
+        near = float(np.sqrt(((self.data[others] - query) ** 2).sum(1)).min(initial=1.0))
         rows, dist, radius = np.zeros(0, np.int64), np.zeros(0), max(1e-9, 0.75 * near)
         lo = hi = np.searchsorted(self.sorted, np.clip(spot, self.low - 0.5, self.high + 0.5) + self.shift)
         while True:
@@ -57,7 +60,7 @@ class CollisionIndex:
                     known[new] = True
                     rows = np.concatenate([rows, new])
                     dist = np.concatenate([dist, np.sqrt(((self.data[new] - query) ** 2).sum(1))])
-            if known.all() or (dist <= radius).sum() >= k:
+            if known.all() or (dist * self.margin <= radius).sum() >= k:
                 return rows, dist
             radius *= self.growth
 

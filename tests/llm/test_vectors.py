@@ -187,6 +187,29 @@ def test_recall_and_verified_share_of_the_table():
     assert hits >= 9 * 20 and verified < 0.3 * 20 * len(x)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_over_many_queries(sf):
+    """The registered queries, and 200 rows as queries: at least nine in ten of the ten nearest are found in both."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")
+    ids, x = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), np.float64)
+    options = {k: p.default for k, p in inspect.signature(nearest_neighbours).parameters.items() if k in ("projections", "share", "growth", "seed")}
+    index = CollisionIndex(x, **options)
+
+    def recall(rows):
+        hits = 0
+        for q in rows:
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            _, dist = index.search(x[q], 10, np.arange(len(x)) == q)
+            hits += (np.sort(dist)[:10] <= np.sort(d)[9]).sum()
+        return hits / 10 / len(rows)
+
+    assert recall(np.flatnonzero(ids % 100 == 0)) >= 0.9
+    assert recall(range(0, len(x), max(1, len(x) // 200))) >= 0.95
+
+
 def test_counts_go_on_from_radius_to_radius():
     """Windows that grow in steps count each vector once for each array, as one window of the last radius does."""
     r = np.random.default_rng(2)
@@ -196,12 +219,13 @@ def test_counts_go_on_from_radius_to_radius():
         index = CollisionIndex(x, 32, 0.65, growth, 11)
         for q in (0, 45, 299):
             rows, dist = index.search(x[q], 5, np.arange(300) == q)
-            radius = 0.75 * np.sqrt(((index.spread - x[q]) ** 2).sum(1)).min() or 1e-9
+            others = index.spread[index.spread != q]
+            radius = 0.75 * np.sqrt(((x[others] - x[q]) ** 2).sum(1)).min()
             radius = max(radius, 1e-9)
             while True:
                 times = (np.abs((x - x[q]) @ index.axes) <= radius + 1e-9).sum(1)
                 inside = {int(k) for k in np.flatnonzero(times >= index.need)} - {q}
-                if len(inside) == 299 or sum(np.sqrt(((x[k] - x[q]) ** 2).sum()) <= radius for k in inside) >= 5:
+                if len(inside) == 299 or sum(index.margin * np.sqrt(((x[k] - x[q]) ** 2).sum()) <= radius for k in inside) >= 5:
                     break
                 radius *= growth
             assert set(rows.tolist()) == inside
