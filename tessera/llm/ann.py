@@ -45,7 +45,7 @@ class CollisionIndex:
         spot = query @ self.axes
         known, times = skip.copy(), np.zeros(n, np.int64)
         others = self.spread[~skip[self.spread]]  # the least distance to some other vectors: a radius that can't be far too small
-        near = float(np.sqrt(((self.data[others] - query) ** 2).sum(1)).min(initial=1.0))
+        near = float(np.sqrt(((self.data[others] - query) ** 2).sum(1)).min()) if len(others) else 1.0
         rows, dist, radius = np.zeros(0, np.int64), np.zeros(0), max(1e-9, 0.75 * near)
         lo = hi = np.searchsorted(self.sorted, np.clip(spot, self.low - 0.5, self.high + 0.5) + self.shift)
         while True:
