@@ -15,7 +15,7 @@ from .vectors import matrix, usable
 #: Vectors of a data block, and queries that meet it in a task: an index is built once for so many queries.
 BLOCK, QUERIES = 8192, 16_384
 #: The search ends when its radius is so many times the distance of the k-th vector found.
-MARGIN = 1.04
+MARGIN = 1.02
 
 
 class CollisionIndex:
