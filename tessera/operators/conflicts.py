@@ -3,35 +3,74 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import amount_text, comparable, lower_bound, normalize, upper_bound
 from ..schema import Graph
+from ..sources.store import materialize
 from .rows import joined, project
 from .traverse import roles
 
-SIDE = ["id", "entity", "kind", "unit_key", "value_operator", "value_number", "value_unit", "condition_key"]
+#: What bounds must have in common.
+KEY = ["entity", "kind", "unit_key"]
+#: Bounds of a key that meet in a task on either side; keys of more are split into so many ranges of values and into parts.
+BLOCK, RANGES = 4096, 32
 
 
-def find_conflicts(graph: Graph, ids: DataFrame | None = None) -> DataFrame:
+def bounds(graph: Graph) -> DataFrame:
+    """A row for each side of a bound and entity in it: upper ones (edge is where they end) and lower ones (where they start). An exact value is both."""
+    r = graph.restriction.where(comparable(F.col("value_operator"), F.col("value_number")))
+    r = r.withColumns({"unit_key": normalize(F.coalesce("value_unit", F.lit(""))), "condition_key": normalize(F.coalesce("value_condition", F.lit("")))})
+    r = roles(r, "kind", "unit_key", "value_operator", "value_number", "value_unit", "condition_key", "subject_normalized", "object_normalized")
+    upper = F.when(F.col("value_operator").isin("<=", "<", "="), F.struct(F.lit(True).alias("upper"), upper_bound(F.col("value_operator"), F.col("value_number")).alias("edge")))
+    lower = F.when(F.col("value_operator").isin(">=", ">", "="), F.struct(F.lit(False).alias("upper"), lower_bound(F.col("value_operator"), F.col("value_number")).alias("edge")))
+    return r.withColumn("_b", F.explode(F.array_compact(F.array(upper, lower)))).select("*", "_b.upper", "_b.edge").drop("_b")
+
+
+def ranged(sides: DataFrame, key: list[str], block: int) -> DataFrame:
+    """sides with the range of its edge (0 to RANGES - 1, in the order of values) and the number of parts that a range of its key falls into.
+    Keys of up to block bounds have one range. Cuts are quantiles of the others, found by mergeable summaries."""
+    heavy = sides.groupBy(*key).count().where(F.col("count") > block)
+    cuts = sides.join(heavy, key).groupBy(*key).agg(F.percentile_approx("edge", [k / RANGES for k in range(1, RANGES)]).alias("cuts"), F.first("count").alias("n"))
+    cuts = materialize(cuts.select(*key, F.array_distinct("cuts").alias("cuts"), F.ceil(F.col("n") / (RANGES * block)).cast("int").alias("parts")), "cuts")
+    below = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("edge"))), F.lit(0))
+    split = sides.join(cuts, key, "left").withColumns({"range": below, "last": F.coalesce(F.size("cuts"), F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})
+    return split.drop("cuts")
+
+
+def find_conflicts(graph: Graph, ids: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(lo, hi, reason, severity) of every conflicting pair, or of those with a restriction of ids.
 
     Two ranges are disjoint only if one ends below where the other starts, so restrictions with an upper bound meet those with a
-    lower bound on entity, kind and unit; pairs of like bounds are never made. A pair with two common entities counts once.
+    lower bound on entity, kind and unit; pairs of like bounds are never made. A pair with two common entities counts once. Of a key
+    with many bounds an upper one meets only ranges of values that are not below its own, and both sides are dealt into parts, so that
+    no task holds more than about block bounds of either.
     """
-    r = graph.restriction.where(comparable(F.col("value_operator"), F.col("value_number")))
-    r = r.withColumns({"unit_key": normalize(F.coalesce("value_unit", F.lit(""))), "condition_key": normalize(F.coalesce("value_condition", F.lit("")))})
-    r = roles(r, "kind", "unit_key", "value_operator", "value_number", "value_unit", "condition_key")
-    uppers = r.where(F.col("value_operator").isin("<=", "<", "=")).withColumn("top", upper_bound(F.col("value_operator"), F.col("value_number")))
-    lowers = r.where(F.col("value_operator").isin(">=", ">", "=")).withColumn("bottom", lower_bound(F.col("value_operator"), F.col("value_number")))
-    u, v = uppers.alias("u"), lowers.alias("v")
-    on = (F.col("u.entity") == F.col("v.entity")) & (F.col("u.kind") == F.col("v.kind")) & (F.col("u.unit_key") == F.col("v.unit_key")) & (F.col("u.top") < F.col("v.bottom"))
+    sides = bounds(graph)
     if ids is not None:
-        chosen = F.broadcast(ids.select("id").distinct()) if _is_small(ids) else ids.select("id").distinct()
-        mine_u, mine_v = uppers.join(chosen, "id", "left_semi").alias("u"), lowers.join(chosen, "id", "left_semi").alias("v")
-        pairs = _pairs(mine_u.join(v, on)).unionByName(_pairs(u.join(mine_v, on)))
+        mine = sides.join(ids.select("id").distinct(), "id", "left_semi")
+        sides = sides.join(mine.select(*KEY).distinct(), KEY, "left_semi")
+    sides = ranged(sides, KEY, block)
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    mesh = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts") * F.greatest(F.col("last"), F.lit(1))).cast("int")
+    uppers = sides.where("upper").withColumns({"s": mesh, "range": every(F.col("range"), F.col("last"))}).withColumn("t", every(F.lit(0), F.col("parts") - 1))
+    lowers = sides.where("not upper").withColumn("t", part).withColumn("s", every(F.lit(0), F.col("parts") * F.greatest(F.col("last"), F.lit(1)) - 1))
+    on = [*KEY, "range", "s", "t"]
+
+    def met(u: DataFrame, v: DataFrame) -> DataFrame:
+        u, v = u.alias("u"), v.alias("v")
+        same = F.lit(True)
+        for c in on:
+            same = same & (F.col(f"u.{c}") == F.col(f"v.{c}"))
+        return _pairs(u.join(v, same & (F.col("u.edge") < F.col("v.edge"))))
+
+    if ids is None:
+        pairs = met(uppers, lowers)
     else:
-        pairs = _pairs(u.join(v, on))
+        chosen = ids.select("id").distinct()
+        pairs = met(uppers.join(chosen, "id", "left_semi"), lowers).unionByName(met(uppers, lowers.join(chosen, "id", "left_semi")))
     return pairs.dropDuplicates(["lo", "hi"]).select(
         "lo", "hi",
         F.concat(F.col("kind"), F.lit(": "), F.when(F.col("upper") == F.col("lo"), F.col("upper_text")).otherwise(F.col("lower_text")), F.lit(" vs "), F.when(F.col("upper") == F.col("lo"), F.col("lower_text")).otherwise(F.col("upper_text"))).alias("reason"),
@@ -39,8 +78,33 @@ def find_conflicts(graph: Graph, ids: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _is_small(ids: DataFrame) -> bool:
-    return ids.limit(100_001).count() <= 100_000
+def _met_counts(sides: DataFrame, key: list[str], block: int) -> DataFrame:
+    """(id, n): for each bound how many of its key lie wholly on its other side, without a pair: running sums over distinct values within a
+    range, and sums of the ranges before it."""
+    rows = ranged(sides, key, block)
+    place = [*key, "range"]
+    values = rows.groupBy(*place, "edge").agg(F.count_if("upper").alias("u"), F.count_if(~F.col("upper")).alias("l"))
+    values = materialize(values, "edges")
+    whole = values.groupBy(*place).agg(F.sum("u").alias("u_all"), F.sum("l").alias("l_all"))
+    before = W.partitionBy(*key).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    whole = whole.select(*place, F.coalesce(F.sum("u_all").over(before), F.lit(0)).alias("u_before"), F.coalesce(F.sum("l_all").over(before), F.lit(0)).alias("l_before"), F.sum("l_all").over(W.partitionBy(*key)).alias("l_key"))
+    within = W.partitionBy(*place).orderBy("edge")
+    at = values.join(whole, place).select(
+        *place, "edge", (F.col("l_key") - F.col("l_before") - F.sum("l").over(within.rowsBetween(W.unboundedPreceding, 0))).alias("lowers_above"),
+        (F.col("u_before") + F.coalesce(F.sum("u").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("uppers_below"),
+    )
+    return rows.join(at, [*place, "edge"]).select("id", F.when(F.col("upper"), F.col("lowers_above")).otherwise(F.col("uppers_below")).alias("n"))
+
+
+def conflict_counts(graph: Graph, block: int = BLOCK) -> DataFrame:
+    """(id, conflicts): how many restrictions each conflicts with, for those with any. Pairs are counted at each common entity, and those with
+    two of them once less."""
+    sides = bounds(graph)
+    both = sides.where("subject_normalized <> object_normalized and entity = subject_normalized")
+    both = both.withColumns({"entity": F.least("subject_normalized", "object_normalized"), "second": F.greatest("subject_normalized", "object_normalized")})
+    twice = _met_counts(both, [*KEY, "second"], block).withColumn("n", -F.col("n"))
+    counted = _met_counts(sides, KEY, block).unionByName(twice).groupBy("id").agg(F.sum("n").alias("conflicts"))
+    return counted.where("conflicts > 0")
 
 
 def _pairs(joined_sides: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import normalize
 from ..schema import Graph
 
 
 @dataclass(frozen=True)
 class Filters:
-    """Conditions on a restriction; an absent one adds no predicate. subject and object are label keys or aliases."""
+    """Conditions on a restriction; an absent one adds no predicate. subject and object are labels, read as keys or aliases as the vocabulary
+    writes them; an empty one is absent."""
 
     kind: str | None = None
     doc_id: str | None = None
@@ -44,7 +46,8 @@ def matching(rows: DataFrame, f: Filters) -> DataFrame:
     none = F.array().cast("array<string>")
 
     def label(key: str, aliases: str, value: str) -> Column:
-        return (F.col(key) == value) | F.array_contains(F.coalesce(F.col(aliases), none), value)
+        known = normalize(F.lit(value))
+        return (F.col(key) == known) | F.array_contains(F.coalesce(F.col(aliases), none), known)
 
     tests = {
         "kind": lambda v: F.col("_kind") == v,
@@ -59,7 +62,8 @@ def matching(rows: DataFrame, f: Filters) -> DataFrame:
         "object": lambda v: label("object_normalized", "_o_aliases", v),
     }
     for name, test in tests.items():
-        if (value := getattr(f, name)) is not None:
+        value = getattr(f, name)
+        if value is not None and not (name in ("subject", "object") and value == ""):
             rows = rows.where(test(value))
     return rows
 

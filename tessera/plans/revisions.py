@@ -61,8 +61,8 @@ def review(plans: DataFrame, restrictions: DataFrame, restriction: str, action:
 
 
 def items(plans: DataFrame) -> DataFrame:
-    """Review items: the plan's JSON parts as text, params and source also as maps."""
-    as_map = lambda c: F.from_json(c, "map<string,string>").alias(c.removesuffix("_json"))
-    return plans.select("restriction_id", "revision", "current", "template", "template_version", "planner_status", "review_status", "author", "reason", "created_at", as_map("params_json"), as_map("source_json"), F.coalesce("requirements_json", F.lit("null")).alias("requirements_json"))
+    """Review items: params and source as variants, which keep what is nested ({} where there are none), requirements as text."""
+    parsed = lambda c: F.try_parse_json(F.coalesce(c, F.lit("{}"))).alias(c.removesuffix("_json"))
+    return plans.select("restriction_id", "revision", "current", "template", "template_version", "planner_status", "review_status", "author", "reason", "created_at", parsed("params_json"), parsed("source_json"), F.coalesce("requirements_json", F.lit("null")).alias("requirements_json"))
 
 

@@ -220,6 +220,11 @@ def conflicts_of_documents(spark: SparkSession, sf: str) -> DataFrame:
     return conflicts.find_conflicts(g, g.restriction.where(F.col("doc_id").isin("1", "2", "3", "4", "5")).select("id"))
 
 
+@query("conflict_counts", f"{CONFLICT_SQL} SELECT id, count(*) AS conflicts FROM (SELECT lo AS id FROM pair UNION ALL SELECT hi FROM pair) GROUP BY id")
+def conflict_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return conflicts.conflict_counts(derived.order_graph(spark, sf))
+
+
 INSIDE_SQL = "(SELECT r.id FROM restriction r JOIN document d ON r.doc_id = d.doc_id WHERE user_id = '1' AND scenario_id = 's1')"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalize, restriction_id, value_text
 from ..plans.planner import plan_columns
 from ..schema import Graph, conform
+from .store import materialize
 
 KIND_OF_FLAG = {"A": "минимальное_расстояние", "N": "минимальная_доля_площади", "R": "запрет_размещения"}
 
@@ -98,8 +99,20 @@ def raw_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_published: dict[tuple[str, str], Graph] = {}
+
+
 def order_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The whole derived graph; each read prunes it to the tables and columns that it needs."""
+    """The whole derived graph, written once for an application and a folder of tables: what asks for it reads a stored graph."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _published:
+        made = derive_graph(spark, sf_dir)
+        _published[at] = Graph(**{name: materialize(df, name) for name, df in made.tables().items()})
+    return _published[at]
+
+
+def derive_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph as expressions over the order tables."""
     from ..operators.lifecycle import route_references
 
     edges, pending = route_references(raw_references(spark, sf_dir))
