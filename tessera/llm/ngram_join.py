@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Equal sets are one node. Round one compares neighbours by size in each prefix shingle's group, which joins most of a large
     group of near copies by a pair or two each; round two the pairs of groups of two that round one left out and the nearest
     pairs between different components, and round three all pairs left between different components, so that components are
-    those of the full join. A row without words has 0 shingles and its own doc_id; a row with a null
+    those of the full join. No round verifies a pair that an earlier one did. A row without words has 0 shingles and its own doc_id; a row with a null
     doc_id links with nothing and has a null component; rows with one doc_id but different texts are nodes each.
     text_hash (64 bits) tells texts under one doc_id apart. kept: the row stands for its component, as the one of the least (doc_id,
     text_hash), or links with nothing; repeated rows are kept or not alike.
@@ -414,17 +414,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     prefix = stage(prefixes(docs, small(nodes, n_nodes), frequencies(described), percent), "prefixes")
     chain = chained(prefix, percent)
     first = first_partners(chain)
-    roots = stage(components(verified(plausible(first, sketches, percent), docs, nodes, percent)), "roots")
+    tried = plausible(first, sketches, percent)
+    roots = stage(components(verified(tried, docs, nodes, percent)), "roots")
     entries = chain.where("h is not null").drop("b")
     for nearest in (True, False):
-        rest = crossing(entries, roots, sketches, percent, nearest)
+        met = crossing(entries, roots, sketches, percent, nearest)
         if nearest:
-            rest = stage(rest.unionByName(plausible(left_out(chain, first, roots), sketches, percent)).distinct(), "second")
-        if rest.isEmpty():
+            met = stage(met.unionByName(plausible(left_out(chain, first, roots), sketches, percent)).distinct(), "second")
+        if met.isEmpty():
             break
+        # A pair that failed before meets again; a node whose nearest one it was goes on to the last round.
+        rest = stage(met.join(tried, ["a", "b"], "left_anti"), "rest")
         # Components so far go on as stars, which end in a round; only what is new has to be joined.
         links = roots.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(verified(rest, docs, nodes, percent))
         roots = stage(components(links), "roots")
+        tried = tried.unionByName(rest)
     named = nodes.join(roots, "node", "left").select("sig", "doc_id", "th", F.coalesce("component_id", "node").alias("root"))
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("least"))
     of = stage(named.join(least, "root").select("sig", "least"), "components")

@@ -57,6 +57,26 @@ def test_partners_that_compete_in_groups_of_two(spark):
     assert got == brute(dict(rows).items())
 
 
+def test_no_pair_is_verified_twice(spark, prose, monkeypatch):
+    """Over all rounds, with pairs that pass the sketches and fail, which stay in different components."""
+    seen = []
+
+    def watch(pairs, *rest):
+        seen.append([tuple(r) for r in pairs.select("a", "b").collect()])
+        return verified(pairs, *rest)
+
+    verified = J.verified
+    monkeypatch.setattr(J, "verified", watch)
+    monkeypatch.setattr(J, "sketch_distance", lambda s, x, y: np.zeros(len(x), np.int64))
+    base = [f"w{k}" for k in range(80)]
+    apart = [(1000 + k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(5, 80, 5)]  # 66 of 86 shingles in common, all pairs fail
+    rows = [(k, t) for k, t, _ in prose] + apart
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    pairs = [p for part in seen for p in part]
+    assert len(seen) == 3 and len(pairs) == len(set(pairs)) > 100
+
+
 def test_a_frequent_shingle_is_sent_by_few_rows(spark, monkeypatch):
     """What meets by the hash of a shingle that all documents have grows with tasks, not with documents."""
     monkeypatch.setattr(J, "LOCAL", 8)
