@@ -78,6 +78,19 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def planted_vectors(vectors: DataFrame) -> DataFrame:
+    """Three rows for each vector: itself, and two with noise in opposite directions, which link with it (cosine about 0.98) and hardly
+    ever with each other (about 0.91), so that components need more than direct links."""
+    noise = lambda side: F.transform("embedding", lambda x, i: x.cast("double") * (1 + side * 0.3 * F.sin((F.col("vec_id") + 7 * i).cast("double"))))
+    copies = F.array(*(F.struct((3 * F.col("vec_id") + k).alias("vec_id"), noise(side).alias("embedding")) for k, side in enumerate((0, 1, -1))))
+    return vectors.select("label", F.explode(copies).alias("v")).select("v.vec_id", "v.embedding", "label")
+
+
+def planted_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 over vectors with planted copies: the test tables' own hold no link."""
+    return near_duplicate_vectors(planted_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -119,6 +132,7 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_find_pii": op8_find_pii,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "planted_embedding_dedup": planted_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_source_divergence": op12_source_divergence,
@@ -135,6 +149,20 @@ RULE_SQL = [
     ("capitals", "n_capitals / word_chars", 0.1, False), ("shouts", "n_shouts / n_words", 0.1, False), ("word_length", "word_chars / n_words", 2.0, True),
 ]
 
+#: Links of equal label, and the components that they make.
+VECTOR_LINKS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.93),
+r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE a = e.vec_id)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id) c ON c.vec_id = e.vec_id"""
+
 ORACLE_SQL = {
     "op1_mix_sources": r"""
 WITH d AS (
@@ -270,16 +298,11 @@ r AS (
   FROM f GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM t LEFT JOIN r USING (doc_id)""",
-    "op9_embedding_dedup": """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
-l AS (
-  SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.label = y.label AND x.vec_id <> y.vec_id
-  WHERE list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.93),
-r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached)
-SELECT e.vec_id, (SELECT count(*) FROM l WHERE a = e.vec_id)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
-FROM embeddings e JOIN (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id) c ON c.vec_id = e.vec_id""",
+    "op9_embedding_dedup": VECTOR_LINKS_SQL,
+    "planted_embedding_dedup": """
+WITH RECURSIVE embeddings_planted AS (
+  SELECT 3 * vec_id + k AS vec_id, label,
+         list_transform(embedding::DOUBLE[], lambda x, i: x * (1 + [0, 1, -1][k + 1] * 0.3::DOUBLE * sin((vec_id + 7 * (i - 1))::DOUBLE))) AS embedding
+  FROM embeddings, (VALUES (0), (1), (2)) t(k)),"""
+    + VECTOR_LINKS_SQL.replace("WITH RECURSIVE", "").replace("FROM embeddings", "FROM embeddings_planted"),
 }
