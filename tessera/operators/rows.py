@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize
 from ..schema import Graph
+from ..sources.store import FEW, counted
 
 
 @dataclass(frozen=True)
@@ -29,20 +31,67 @@ class Filters:
 
 
 def joined(graph: Graph) -> DataFrame:
-    """Restrictions with clause, document, both entities and kind. A restriction that lacks one of them is no row."""
-    r = graph.restriction.drop("version_id").withColumnsRenamed({"doc_id": "_r_doc", "char_start": "own_start", "char_end": "own_end", "subject_normalized": "_subject", "object_normalized": "_object"})
+    """Restrictions with clause, document, both entities and kind. A restriction that lacks one of them is no row. Clauses meet their
+    documents first, so that what a filter leaves of these is all that restrictions are joined with."""
+    r = graph.restriction.drop("version_id").withColumnsRenamed({"doc_id": "_r_doc", "char_start": "own_start", "char_end": "own_end"})
     c = graph.clause.select(F.col("node_id").alias("clause_node_id"), "numbering", "breadcrumb", "tags", "char_start", "char_end", F.col("doc_id").alias("_doc"), F.col("version").alias("_c_version"), F.col("version_id").alias("_c_version_id"))
     d = graph.document.select(F.col("doc_id").alias("_doc"), F.col("doc_id"), "name", "version", "version_id", "doc_type", "corpus", "lang", "user_id", "scenario_id")
-    s = graph.entity.select(F.col("normalized").alias("subject_normalized"), F.col("aliases").alias("_s_aliases"))
-    o = graph.entity.select(F.col("normalized").alias("object_normalized"), F.col("aliases").alias("_o_aliases"))
     k = graph.kind.select(F.col("name").alias("_kind"))
-    rows = r.join(c, "clause_node_id").join(d, "_doc")
-    rows = rows.join(s, F.col("_subject") == F.col("subject_normalized")).join(o, F.col("_object") == F.col("object_normalized"))
-    return rows.join(k, F.col("kind") == F.col("_kind"))
+    return with_entities(r, graph).join(c.join(d, "_doc"), "clause_node_id").join(k, F.col("kind") == F.col("_kind"))
+
+
+def with_entities(r: DataFrame, graph: Graph, few: int = FEW) -> DataFrame:
+    """Restrictions of which both entities exist. Nearly all do, so keys are looked up instead of rows: the distinct ones that have no
+    entity are broadcast. Only if those are many, or keys of the vocabulary repeat, both entities are joined to the rows."""
+    roles = ("subject_normalized", "object_normalized")
+    have = graph.entity.groupBy(F.col("normalized").alias("_key")).agg(F.count("*").alias("n"))
+    asked = r.select(F.explode(F.array(*roles)).alias("_key")).distinct()
+    odd = asked.join(have, "_key", "left").where("n is null or n > 1").select("_key", F.coalesce("n", F.lit(0)).alias("n"))
+    odd, n = counted(odd, "odd", few)
+    if n == 0:
+        return r
+    if n > few or not odd.where("n > 1").isEmpty():
+        for c in roles:
+            r = r.join(graph.entity.select(F.col("normalized").alias("_key")), F.col(c) == F.col("_key")).drop("_key")
+        return r
+    r = r.where(" and ".join(f"{c} is not null" for c in roles))
+    for c in roles:
+        r = r.join(odd, F.col(c) == F.col("_key"), "left_anti")
+    return r
+
+
+def meant(graph: Graph, f: Filters) -> Graph:
+    """The graph with the restrictions alone whose subject and object the labels of a filter mean."""
+    for c, value in (("subject_normalized", f.subject), ("object_normalized", f.object)):
+        if value is not None and value != "":
+            known = normalize(F.lit(value))
+            hit = (F.col("normalized") == known) | F.array_contains(F.coalesce("aliases", F.array().cast("array<string>")), known)
+            keys, _ = counted(graph.entity.where(hit).select(F.col("normalized").alias(c)).distinct(), "meant")
+            graph = graph.with_(restriction=graph.restriction.join(keys, c, "left_semi"))
+    return graph
+
+
+def narrowed(graph: Graph, restriction: DataFrame) -> Graph:
+    """The graph around some of its restrictions, which are written once. If they are few, what they need of each table is found by a
+    broadcast of their keys, and no table is shuffled."""
+    some, n = counted(restriction, "some")
+    if n > FEW:
+        return graph.with_(restriction=some)
+    keys = lambda *columns: F.broadcast(reduce(DataFrame.union, (some.select(F.col(c).alias("_key")) for c in columns)).distinct())
+    of = lambda df, column, key: df.join(key, F.col(column) == F.col("_key"), "left_semi")
+    clause, _ = counted(of(graph.clause, "node_id", keys("clause_node_id")), "clauses")
+    document = of(graph.document, "doc_id", F.broadcast(clause.select(F.col("doc_id").alias("_key")).distinct()))
+    entity = of(graph.entity, "normalized", keys("subject_normalized", "object_normalized"))
+    return graph.with_(restriction=some, clause=clause, document=document, entity=entity, check_plan=of(graph.check_plan, "restriction_id", keys("id")))
+
+
+def found(graph: Graph, f: Filters) -> DataFrame:
+    """Joined rows under all given filters."""
+    return matching(joined(meant(graph, f)), replace(f, subject=None, object=None))
 
 
 def matching(rows: DataFrame, f: Filters) -> DataFrame:
-    """rows under all given filters."""
+    """rows under all given filters; for labels they hold the entities' aliases."""
     none = F.array().cast("array<string>")
 
     def label(key: str, aliases: str, value: str) -> Column:
@@ -97,15 +146,18 @@ def in_reading_order(rows: DataFrame) -> DataFrame:
 
 def search_filter(graph: Graph, filters: Filters = Filters(), limit: int | None = None) -> DataFrame:
     """Restrictions under the filters, by document name, numbering and id."""
-    rows = project(matching(joined(graph), filters), graph)
+    rows = project(found(graph, filters), graph)
     return rows if limit is None else in_reading_order(rows).limit(limit)
 
 
 def get_by_ids(graph: Graph, ids: list[str] | DataFrame) -> DataFrame:
     """Rows of the given ids, a list or a DataFrame (id)."""
-    rows = joined(graph)
-    rows = rows.join(ids.select("id").distinct(), "id", "left_semi") if isinstance(ids, DataFrame) else rows.where(F.col("id").isin(ids))
-    return project(rows, graph)
+    if isinstance(ids, DataFrame):
+        some = graph.restriction.join(counted(ids.select("id").distinct(), "ids")[0], "id", "left_semi")
+    else:
+        some = graph.restriction.where(F.col("id").isin(ids))
+    graph = narrowed(graph, some)
+    return project(joined(graph), graph)
 
 
 def nested(rows: DataFrame) -> DataFrame:

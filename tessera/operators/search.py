@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import checked_limit, normalize
 from ..functions.vectors import cosine, nearest, to_query, unit_interval
 from ..schema import Graph
-from .rows import Filters, in_reading_order, joined, matching, project
+from ..sources.store import counted
+from .rows import Filters, found, in_reading_order, meant, narrowed, project
 
 #: What a fuzzy match of an entity or a kind must reach.
 ENTITY_THRESHOLD, KIND_THRESHOLD = 0.90, 0.88
@@ -39,11 +40,12 @@ def search_vector(graph: Graph, vector: list[float], filters: Filters = Filters(
     limit rows may come; with prefilter the nearest of those under the filters."""
     checked_limit(limit)
     if prefilter:
-        rows = matching(joined(graph), filters)
+        rows = found(graph, filters)
         rows = rows.withColumn("_score", cosine(F.col("embedding"), to_query(vector))).where("_score is not null")
     else:
         top = top_vectors(graph.restriction, vector, fetch_size(limit), "id").withColumnRenamed("score", "_score")
-        rows = matching(joined(graph.with_(restriction=F.broadcast(top))), filters)  # fetch_size rows
+        graph = narrowed(graph, top)
+        rows = found(graph, filters)
     return project(rows.orderBy(F.desc("_score"), "id").limit(limit), graph, F.col("_score")).orderBy(F.desc("score"), "id")
 
 
@@ -65,12 +67,13 @@ def targets(graph: Graph, label: str, vector: list[float] | None = None, thresho
 def applicable(graph: Graph, label: str, filters: Filters = Filters(), vector: list[float] | None = None, threshold: float = ENTITY_THRESHOLD, limit: int | None = 20, strict_object: bool = False) -> DataFrame:
     """Restrictions that apply to an object, by itself or by a near entity. strict_object also demands the label to be the object's
     key or alias, which removes what only a near entity brought."""
-    wanted = targets(graph, label, vector, threshold)
-    meant = F.broadcast(wanted.withColumnRenamed("normalized", "object_normalized"))  # the label's own key and five near ones at most
-    rows = matching(joined(graph.with_(restriction=graph.restriction.join(meant, "object_normalized", "left_semi"))), filters)
+    wanted, _ = counted(targets(graph, label, vector, threshold).withColumnRenamed("normalized", "object_normalized"), "targets")
+    graph = graph.with_(restriction=graph.restriction.join(wanted, "object_normalized", "left_semi"))
     if strict_object:
         key = graph.entity.sparkSession.range(1).select(normalize(F.lit(label)).alias("k")).first()["k"]
-        rows = matching(rows, Filters(object=key))
+        graph = meant(graph, Filters(object=key))
+    graph = narrowed(graph, graph.restriction)
+    rows = found(graph, filters)
     rows = project(rows, graph)
     return rows if limit is None else in_reading_order(rows).limit(limit)
 

@@ -31,6 +31,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a join may broadcast; of more it shuffles.
+FEW = 1_000_000
+
+
+def counted(df: DataFrame, name: str, few: int = FEW) -> tuple[DataFrame, int]:
+    """df written as a table and its number of rows; up to few of them are broadcast where they are joined, whatever the other side."""
+    df = materialize(df, name)
+    n = df.count()
+    return (F.broadcast(df) if n <= few else df), n
+
+
 #: Rows of a bucket of a table, up to twice as many.
 BUCKET_ROWS = 200_000
 
