@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import amount_text, comparable, lower_bound, normalize, upper_bound
 from ..schema import Graph
-from ..sources.store import materialize
-from .rows import joined, project
-from .traverse import roles
+from ..sources.store import counted, materialize
+from .rows import get_by_ids
+from .traverse import other_entity, roles
 
 #: What bounds must have in common.
 KEY = ["entity", "kind", "unit_key"]
@@ -22,12 +24,18 @@ def bounds(graph: Graph) -> DataFrame:
     """A row for each side of a bound and entity in it: upper ones (edge is where they end) and lower ones (where they start). An exact value is both."""
     r = graph.restriction.where(comparable(F.col("value_operator"), F.col("value_number")))
     r = r.withColumns({"unit_key": normalize(F.coalesce("value_unit", F.lit(""))), "condition_key": normalize(F.coalesce("value_condition", F.lit("")))})
-    r = roles(r, "kind", "unit_key", "value_operator", "value_number", "value_unit", "condition_key", "subject_normalized", "object_normalized")
+    r = roles(r, "kind", "unit_key", "value_operator", "value_number", "value_unit", "condition_key", other_entity())
     upper = F.when(F.col("value_operator").isin("<=", "<", "="), F.struct(F.lit(True).alias("upper"), upper_bound(F.col("value_operator"), F.col("value_number")).alias("edge")))
     lower = F.when(F.col("value_operator").isin(">=", ">", "="), F.struct(F.lit(False).alias("upper"), lower_bound(F.col("value_operator"), F.col("value_number")).alias("edge")))
     return r.withColumn("_b", F.explode(F.array_compact(F.array(upper, lower)))).select("*", "_b.upper", "_b.edge").drop("_b")
 
 
+def split_hot(sides: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """sides of entities with up to block bounds, whose keys a task can hold, and of those with more, None if there are none."""
+    hot, n = counted(sides.groupBy("entity").count().where(F.col("count") > block).select("entity"), "hot")
+    return (sides, None) if n == 0 else (sides.join(hot, "entity", "left_anti"), sides.join(hot, "entity", "left_semi"))
+
+
 def ranged(sides: DataFrame, key: list[str], block: int) -> DataFrame:
     """sides with the range of its edge (0 to RANGES - 1, in the order of values) and the number of parts that a range of its key falls into.
     Keys of up to block bounds have one range. Cuts are quantiles of the others, found by mergeable summaries."""
@@ -49,35 +57,53 @@ def find_conflicts(graph: Graph, ids: DataFrame | None = None, block: int = BLOC
     """
     sides = bounds(graph)
     if ids is not None:
-        mine = sides.join(ids.select("id").distinct(), "id", "left_semi")
-        sides = sides.join(mine.select(*KEY).distinct(), KEY, "left_semi")
-    sides = ranged(sides, KEY, block)
-    every = lambda low, high: F.explode(F.sequence(low, high))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    mesh = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts") * F.greatest(F.col("last"), F.lit(1))).cast("int")
-    uppers = sides.where("upper").withColumns({"s": mesh, "range": every(F.col("range"), F.col("last"))}).withColumn("t", every(F.lit(0), F.col("parts") - 1))
-    lowers = sides.where("not upper").withColumn("t", part).withColumn("s", every(F.lit(0), F.col("parts") * F.greatest(F.col("last"), F.lit(1)) - 1))
-    on = [*KEY, "range", "s", "t"]
-
-    def met(u: DataFrame, v: DataFrame) -> DataFrame:
-        u, v = u.alias("u"), v.alias("v")
-        same = F.lit(True)
-        for c in on:
-            same = same & (F.col(f"u.{c}") == F.col(f"v.{c}"))
-        return _pairs(u.join(v, same & (F.col("u.edge") < F.col("v.edge"))))
-
-    if ids is None:
-        pairs = met(uppers, lowers)
-    else:
-        chosen = ids.select("id").distinct()
-        pairs = met(uppers.join(chosen, "id", "left_semi"), lowers).unionByName(met(uppers, lowers.join(chosen, "id", "left_semi")))
-    return pairs.dropDuplicates(["lo", "hi"]).select(
+        mine, _ = counted(graph.restriction.join(counted(ids.select("id").distinct(), "ids")[0], "id", "left_semi"), "mine")
+        entities, _ = counted(roles(mine).select("entity").distinct(), "entities")
+        sides = sides.join(entities, "entity", "left_semi")
+    chosen = None if ids is None else counted(ids.select("id").distinct(), "ids")[0]
+    light, hot = split_hot(sides, block)
+    pairs = _met(light.where("upper"), light.where("not upper"), KEY, chosen)
+    if hot is not None:
+        hot = ranged(hot, KEY, block)
+        every = lambda low, high: F.explode(F.sequence(low, high))
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        mesh = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts") * F.greatest(F.col("last"), F.lit(1))).cast("int")
+        uppers = hot.where("upper").withColumns({"s": mesh, "range": every(F.col("range"), F.col("last"))}).withColumn("t", every(F.lit(0), F.col("parts") - 1))
+        lowers = hot.where("not upper").withColumn("t", part).withColumn("s", every(F.lit(0), F.col("parts") * F.greatest(F.col("last"), F.lit(1)) - 1))
+        pairs = pairs.unionByName(_met(uppers, lowers, [*KEY, "range", "s", "t"], chosen))
+    return pairs.select(
         "lo", "hi",
         F.concat(F.col("kind"), F.lit(": "), F.when(F.col("upper") == F.col("lo"), F.col("upper_text")).otherwise(F.col("lower_text")), F.lit(" vs "), F.when(F.col("upper") == F.col("lo"), F.col("lower_text")).otherwise(F.col("upper_text"))).alias("reason"),
         F.when(F.col("same"), "certain").otherwise("possible").alias("severity"),
     )
 
 
+def _met(uppers: DataFrame, lowers: DataFrame, on: list[str], chosen: DataFrame | None) -> DataFrame:
+    """Pairs of upper and lower bounds, all or those with a restriction of chosen (id), each once: one with two common entities is made at
+    the smaller one, so that pairs need not be compared with each other."""
+    if chosen is not None:
+        first = _met(uppers.join(chosen, "id", "left_semi"), lowers, on, None)
+        return first.unionByName(_met(uppers.join(chosen, "id", "left_anti"), lowers.join(chosen, "id", "left_semi"), on, None))
+    u, v = uppers.alias("u"), lowers.alias("v")
+    same = reduce(lambda x, y: x & y, (F.col(f"u.{c}") == F.col(f"v.{c}") for c in on))
+    again = F.coalesce((F.col("u.other") == F.col("v.other")) & (F.col("u.other") < F.col("u.entity")), F.lit(False))
+    return _pairs(u.join(v, same & (F.col("u.edge") < F.col("v.edge")) & ~again))
+
+
+def _light_counts(sides: DataFrame) -> DataFrame:
+    """(id, n) of keys that a task holds: bounds are shuffled once, by key, and running sums in the order of edges give how many lie wholly
+    on the other side, and how many of these share the second entity too, which counts at the smaller one only."""
+    # Of equal edges lower bounds come first: they meet neither the upper ones beside them nor are met by them.
+    def beyond(key: list[str]):
+        w = W.partitionBy(*key).orderBy("edge", "upper")
+        lowers = F.sum((~F.col("upper")).cast("long")).over(W.partitionBy(*key)) - F.sum((~F.col("upper")).cast("long")).over(w)
+        return F.when(F.col("upper"), lowers).otherwise(F.sum(F.col("upper").cast("long")).over(w))
+
+    rows = sides.where("kind is not null").select("id", *KEY, "upper", "edge", F.when(F.col("entity") < F.col("other"), F.col("other")).alias("second"))
+    rows = rows.withColumn("n", beyond(KEY)).withColumn("n", F.col("n") - F.when(F.col("second").isNull(), F.lit(0)).otherwise(beyond([*KEY, "second"])))
+    return rows.where("n > 0").select("id", "n")
+
+
 def _met_counts(sides: DataFrame, key: list[str], block: int) -> DataFrame:
     """(id, n): for each bound how many of its key lie wholly on its other side, without a pair: running sums over distinct values within a
     range, and sums of the ranges before it."""
@@ -99,12 +125,13 @@ def _met_counts(sides: DataFrame, key: list[str], block: int) -> DataFrame:
 def conflict_counts(graph: Graph, block: int = BLOCK) -> DataFrame:
     """(id, conflicts): how many restrictions each conflicts with, for those with any. Pairs are counted at each common entity, and those with
     two of them once less."""
-    sides = bounds(graph)
-    both = sides.where("subject_normalized <> object_normalized and entity = subject_normalized")
-    both = both.withColumns({"entity": F.least("subject_normalized", "object_normalized"), "second": F.greatest("subject_normalized", "object_normalized")})
-    twice = _met_counts(both, [*KEY, "second"], block).withColumn("n", -F.col("n"))
-    counted = _met_counts(sides, KEY, block).unionByName(twice).groupBy("id").agg(F.sum("n").alias("conflicts"))
-    return counted.where("conflicts > 0")
+    light, hot = split_hot(bounds(graph), block)
+    counts = _light_counts(light)
+    if hot is not None:
+        both = hot.where("entity < other").withColumnRenamed("other", "second")
+        twice = _met_counts(both, [*KEY, "second"], block).withColumn("n", -F.col("n"))
+        counts = counts.unionByName(_met_counts(hot, KEY, block)).unionByName(twice)
+    return counts.groupBy("id").agg(F.sum("n").alias("conflicts")).where("conflicts > 0")
 
 
 def _pairs(joined_sides: DataFrame) -> DataFrame:
@@ -133,7 +160,7 @@ def conflict_pairs(graph: Graph, user_id: str | None = None, scenario_id: str |
 
 def hydrate(graph: Graph, pairs: DataFrame) -> DataFrame:
     """Pairs with both sides' rows as structs; a pair of which a side has no full row is left out."""
-    ids = pairs.select(F.col("lo").alias("id")).union(pairs.select("hi")).distinct()
-    rows = project(joined(graph).join(ids, "id", "left_semi"), graph)
+    pairs, _ = counted(pairs, "pairs")
+    rows = get_by_ids(graph, pairs.select(F.col("lo").alias("id")).union(pairs.select("hi")))
     side = lambda name: rows.select(F.col("id").alias(name), F.struct("*").alias(f"{name}_row"))
     return pairs.join(side("lo"), "lo").join(side("hi"), "hi")
