@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import checked_limit
 from ..sources.documents import fragments
-from ..sources.store import materialize
+from ..sources.store import counted, materialize
 
 #: What is a term: letters and digits, in lower case.
 TERM = r"[\p{L}\p{N}]+"
@@ -73,14 +73,30 @@ def search_many(index: TextIndex, queries: DataFrame, within: str, limit: int =
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= checked_limit(limit))
 
 
+def search_within(clauses: DataFrame, queries: DataFrame, within: str, limit: int = 10) -> DataFrame:
+    """search_many() without an index, for queries that each look into one value of within, such as their document. Texts are shuffled once,
+    by that value; terms, hits and ranks are made where they then lie. Only a table of terms with their frequency is written."""
+    rows = clauses.select("node_id", within, terms(F.col("text")).alias("_terms")).where("size(_terms) > 0")
+    n, mean = rows.agg(F.count("*"), F.avg(F.size("_terms"))).first()
+    frequency, _ = counted(rows.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    index = TextIndex(rows, frequency, n or 0, mean or 0.0)
+    both = clauses.select(within, F.lit(False).alias("asks"), F.col("node_id").alias("id"), "text").unionByName(queries.select(within, F.lit(True).alias("asks"), F.col("query_id").alias("id"), "text"))
+    both = both.where(f"{within} is not null").repartition(within).withColumns({"row": F.monotonically_increasing_id(), "_terms": terms(F.col("text"))})
+    each = both.select(within, "asks", "id", "row", F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
+    posted = each.groupBy(within, "asks", "id", "row", "length", "term").agg(F.count("*").alias("tf")).join(frequency, "term")
+    side = lambda asks, *columns: F.collect_list(F.when(F.col("asks") == asks, F.struct(*columns)))
+    met = posted.withColumn("w", bm25(index)).groupBy(within, "term").agg(side(True, "id").alias("q"), side(False, "id", "w").alias("p"))
+    hits = met.where("size(q) > 0 and size(p) > 0").select(within, F.explode("q").alias("q"), "p").select(within, F.col("q.id").alias("query_id"), F.explode("p").alias("p"))
+    scored = hits.groupBy(within, "query_id", F.col("p.id").alias("node_id")).agg(F.sum("p.w").alias("score"))
+    order = W.partitionBy(within, "query_id").orderBy(F.desc(F.round("score", 9)), "node_id")
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= checked_limit(limit)).drop(within)
+
+
 def backfill_references(details: DataFrame, indexed: DataFrame, hits: int = BACKFILL_HITS) -> DataFrame:
     """(src, reference fields) for fragments of library documents that have a text and name no references: what a search index
     (node_id, doc_id, text, references) knows of them. A fragment is searched by its first characters within its document, and counts as
     found if it is among the first hits itself."""
     bare = fragments(details).where("user_id is null and (fragment.references is null or size(fragment.references) = 0) and trim(fragment.text) <> ''")
     queries = bare.select(F.col("fragment.id").alias("query_id"), "doc_id", F.substring("fragment.text", 1, BACKFILL_CHARS).alias("text"))
-    index = build_index(indexed, "doc_id")
-    found = search_many(index, queries, "doc_id", hits).where("query_id = node_id").select("node_id")
+    found = search_within(indexed, queries, "doc_id", hits).where("query_id = node_id").select("node_id")
     return indexed.join(found.distinct(), "node_id", "left_semi").select(F.col("node_id").alias("src"), F.explode("references").alias("_r")).select("src", "_r.*")
-
-
