@@ -37,7 +37,10 @@ def joined(graph: Graph) -> DataFrame:
     c = graph.clause.select(F.col("node_id").alias("clause_node_id"), "numbering", "breadcrumb", "tags", "char_start", "char_end", F.col("doc_id").alias("_doc"), F.col("version").alias("_c_version"), F.col("version_id").alias("_c_version_id"))
     d = graph.document.select(F.col("doc_id").alias("_doc"), F.col("doc_id"), "name", "version", "version_id", "doc_type", "corpus", "lang", "user_id", "scenario_id")
     k = graph.kind.select(F.col("name").alias("_kind"))
-    return with_entities(r, graph).join(c.join(d, "_doc"), "clause_node_id").join(k, F.col("kind") == F.col("_kind"))
+    placed, same = c.join(d, "_doc").withColumnRenamed("clause_node_id", "_node"), F.col("clause_node_id") == F.col("_node")
+    if graph.by_document:
+        same = same & (F.col("_r_doc") == F.col("_doc"))
+    return with_entities(r, graph).join(placed, same).drop("_node").join(k, F.col("kind") == F.col("_kind"))
 
 
 def with_entities(r: DataFrame, graph: Graph, few: int = FEW) -> DataFrame:
@@ -67,7 +70,7 @@ def meant(graph: Graph, f: Filters) -> Graph:
             known = normalize(F.lit(value))
             hit = (F.col("normalized") == known) | F.array_contains(F.coalesce("aliases", F.array().cast("array<string>")), known)
             keys, _ = counted(graph.entity.where(hit).select(F.col("normalized").alias(c)).distinct(), "meant")
-            graph = graph.with_(restriction=graph.restriction.join(keys, c, "left_semi"))
+            graph = graph.with_(restriction=graph.restriction.join(keys, c, "left_semi"), by_document=graph.by_document)
     return graph
 
 
@@ -131,9 +134,12 @@ ROW = [
 
 def project(rows: DataFrame, graph: Graph, score: Column | None = None) -> DataFrame:
     """The 35 columns of a restriction row. The current plan joins last, so that it never removes a row."""
-    plans = graph.check_plan.where("current").select(F.col("restriction_id").alias("_plan"), *(F.col(a).alias(b) for a, b in PLAN_COLUMNS.items()))
+    of, same = [F.col("restriction_id").alias("_plan")], F.col("id") == F.col("_plan")
+    if graph.by_document:
+        of, same = [*of, F.col("doc_id").alias("_plan_doc")], same & (F.col("_r_doc") == F.col("_plan_doc"))
+    plans = graph.check_plan.where("current").select(*of, *(F.col(a).alias(b) for a, b in PLAN_COLUMNS.items()))
     scored = rows.withColumn("score", F.lit(None).cast("double") if score is None else score)
-    return scored.join(plans, F.col("id") == F.col("_plan"), "left").select(*ROW)
+    return scored.join(plans, same, "left").select(*ROW)
 
 
 READING_ORDER = (F.asc_nulls_last, ("name", "numbering", "id"))

@@ -34,8 +34,8 @@ def acceptable(template: Column) -> Column:
     return F.coalesce(named & texts & amount, F.lit(False))
 
 
-def plan_columns(restrictions: DataFrame) -> DataFrame:
-    """(restriction_id, schema_version, template, template_version, params_json, requirements_json, source_json, planner_status)."""
+def plan_columns(restrictions: DataFrame, *also: str) -> DataFrame:
+    """(also ..., restriction_id, schema_version, template, template_version, params_json, requirements_json, source_json, planner_status)."""
     rows = restrictions.withColumn("_rule", rule())
     rows = rows.withColumn("template", F.when(acceptable(F.col("_rule")), F.coalesce("_rule", F.lit("unsupported"))).otherwise("unsupported"))
     n = F.col("value_number")
@@ -60,7 +60,7 @@ def plan_columns(restrictions: DataFrame) -> DataFrame:
     required = required.when(made == "zonal_ratio", needs(layer("zones", obj), layer("numerator", subject))).otherwise("null")
     source = F.to_json(F.struct(F.col("id").alias("restriction_id"), F.col("extraction_text").alias("extraction_text")))
     return rows.select(
-        F.col("id").alias("restriction_id"), F.lit("1.0").alias("schema_version"), "template", F.lit(1).alias("template_version"), params.alias("params_json"),
+        *also, F.col("id").alias("restriction_id"), F.lit("1.0").alias("schema_version"), "template", F.lit(1).alias("template_version"), params.alias("params_json"),
         required.alias("requirements_json"), source.alias("source_json"), F.when(made == "unsupported", "unsupported").otherwise("auto").alias("planner_status"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -44,12 +44,15 @@ class Graph:
     pending: DataFrame
     check_plan: DataFrame
     conflict: DataFrame
+    #: A restriction's doc_id is that of its clause and, as one more column, of its plans: reads then meet on it too, so that tables which lie
+    #: by document are not shuffled again. Only who makes the tables can promise that; other tables take the promise back.
+    by_document: bool = False
 
-    def with_(self, **tables: DataFrame) -> Graph:
-        return replace(self, **tables)
+    def with_(self, by_document: bool = False, **tables: DataFrame) -> Graph:
+        return replace(self, by_document=by_document, **tables)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in SCHEMAS}
 
 
 def empty_graph(spark) -> Graph:
@@ -61,10 +64,10 @@ def table_type(table: str) -> StructType:
     return StructType.fromDDL(SCHEMAS[table])
 
 
-def conform(df: DataFrame, table: str) -> DataFrame:
-    """df with exactly a table's columns and types; absent ones are null, others go."""
+def conform(df: DataFrame, table: str, *also: str) -> DataFrame:
+    """df with exactly a table's columns and types, and also's columns; absent ones are null, others go."""
     have = set(df.columns)
-    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table_type(table)))
+    return df.select(*also, *((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in table_type(table)))
 
 
 def problems(graph: Graph, dimension: int | None = None) -> DataFrame:
