@@ -20,7 +20,10 @@ def current(plans: DataFrame) -> DataFrame:
 def append(plans: DataFrame, new: DataFrame, restrictions: DataFrame, protect_reviewed: bool = False) -> DataFrame:
     """plans with a revision of each row of new (restriction_id, plan columns, review_status, author, reason, created_at) whose restriction
     exists; with protect_reviewed none for restrictions whose current plan was reviewed. A rejected plan is not protected. Each new
-    revision is current, and of the others only the flag of those it follows changes: what plans hold is neither sorted nor grouped."""
+    revision is current, and of the others only the flag of those it follows changes: what plans hold is neither sorted nor grouped. Where
+    all three name the restriction's document, plans of many restrictions are meant, which append_by_document() takes."""
+    if all("doc_id" in df.columns for df in (plans, new, restrictions)):
+        return append_by_document(plans, new, restrictions, protect_reviewed)
     now = plans.groupBy("restriction_id").agg(F.max(F.struct("revision", "planner_status")).alias("m")).select("restriction_id", F.col("m.revision").alias("_rev"), F.col("m.planner_status").alias("_status"))
     rows = new.join(restrictions.select(F.col("id").alias("restriction_id")), "restriction_id", "left_semi").join(now, "restriction_id", "left")
     if protect_reviewed:
@@ -32,6 +35,25 @@ def append(plans: DataFrame, new: DataFrame, restrictions: DataFrame, protect_re
     return conform(old, "check_plan").unionByName(conform(rows.withColumn("current", F.lit(True)), "check_plan"))
 
 
+def append_by_document(plans: DataFrame, new: DataFrame, restrictions: DataFrame, protect_reviewed: bool = False) -> DataFrame:
+    """append() of tables that hold doc_id too, which the result keeps. Plans, new ones and restrictions are each read once and meet in
+    windows of a restriction: without a shuffle if they lie by document, and however many appends follow each other."""
+    part = lambda df, name: conform(df, "check_plan", "doc_id").withColumn("_part", F.lit(name))
+    there = part(restrictions.select(F.col("id").alias("restriction_id"), "doc_id"), "restriction")
+    rows = part(plans, "plan").unionByName(part(new, "new")).unionByName(there)
+    w = W.partitionBy("doc_id", "restriction_id")
+    last = F.max(F.when(F.col("_part") == "plan", F.struct("revision", "planner_status"))).over(w)
+    rows = rows.withColumns({"_last": last, "_there": F.max(F.col("_part") == "restriction").over(w), "_asked": F.max(F.col("_part") == "new").over(w)})
+    grows = F.col("_there") & F.col("_asked")
+    if protect_reviewed:
+        grows = grows & F.coalesce(F.col("_last.planner_status") != "reviewed", F.lit(True))
+    is_new = F.col("_part") == "new"
+    rows = rows.where((F.col("_part") == "plan") | (is_new & grows))
+    current = F.when(is_new, True).otherwise(F.col("current") & ~grows)
+    revision = F.when(is_new, F.coalesce("_last.revision", F.lit(0)) + 1).otherwise(F.col("revision"))
+    return conform(rows.withColumns({"current": current, "revision": revision}), "check_plan", "doc_id")
+
+
 def history(plans: DataFrame, restriction: str | None = None) -> DataFrame:
     """Revisions, newest first; they outlive their restriction."""
     rows = plans if restriction is None else plans.where(F.col("restriction_id") == restriction)
