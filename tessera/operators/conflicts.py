@@ -56,11 +56,11 @@ def find_conflicts(graph: Graph, ids: DataFrame | None = None, block: int = BLOC
     no task holds more than about block bounds of either.
     """
     sides = bounds(graph)
-    if ids is not None:
-        mine, _ = counted(graph.restriction.join(counted(ids.select("id").distinct(), "ids")[0], "id", "left_semi"), "mine")
+    chosen = None if ids is None else counted(ids.select("id").distinct(), "ids")[0]
+    if chosen is not None:
+        mine, _ = counted(graph.restriction.join(chosen, "id", "left_semi"), "mine")
         entities, _ = counted(roles(mine).select("entity").distinct(), "entities")
         sides = sides.join(entities, "entity", "left_semi")
-    chosen = None if ids is None else counted(ids.select("id").distinct(), "ids")[0]
     light, hot = split_hot(sides, block)
     pairs = _met(light.where("upper"), light.where("not upper"), KEY, chosen)
     if hot is not None:
@@ -142,15 +142,23 @@ def _pairs(joined_sides: DataFrame) -> DataFrame:
     )
 
 
+def in_scope(graph: Graph, user_id: str, scenario_id: str) -> DataFrame:
+    """(id) of the restrictions on clauses of a user's scenario."""
+    docs = graph.document.where((F.col("user_id") == user_id) & (F.col("scenario_id") == scenario_id)).select("doc_id")
+    clauses = graph.clause.join(docs, "doc_id", "left_semi").select(F.col("node_id").alias("clause_node_id"), F.col("doc_id").alias("_doc"))
+    same = F.col("r.clause_node_id") == F.col("c.clause_node_id")
+    if graph.by_document:
+        same = same & (F.col("r.doc_id") == F.col("_doc"))
+    return graph.restriction.alias("r").join(clauses.alias("c"), same, "left_semi").select("id")
+
+
 def conflict_pairs(graph: Graph, user_id: str | None = None, scenario_id: str | None = None, restriction: str | None = None, limit: int | None = None) -> DataFrame:
     """Stored conflict edges, by (lo, hi): those of a restriction, those with a side in a user's scenario. A user without a scenario is no scope."""
     pairs = graph.conflict
     if restriction is not None:
         pairs = pairs.where((F.col("lo") == restriction) | (F.col("hi") == restriction))
     if user_id is not None and scenario_id is not None:
-        docs = graph.document.where((F.col("user_id") == user_id) & (F.col("scenario_id") == scenario_id)).select("doc_id")
-        clauses = graph.clause.join(docs, "doc_id", "left_semi").select(F.col("node_id").alias("clause_node_id"))
-        inside = graph.restriction.join(clauses, "clause_node_id", "left_semi").select("id", F.lit(True).alias("inside"))
+        inside = in_scope(graph, user_id, scenario_id).withColumn("inside", F.lit(True))
         for side in ("lo", "hi"):
             pairs = pairs.join(inside.withColumnsRenamed({"id": side, "inside": f"_{side}"}), side, "left")
         pairs = pairs.where("_lo or _hi").drop("_lo", "_hi")
