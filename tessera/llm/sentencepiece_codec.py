@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from itertools import chain
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +13,8 @@ from .common import map_batches, slices
 
 #: Where the public vocabulary is; always a parameter.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Chunks remembered by a worker (twice as many at most, none longer than LONG); only speed depends on it.
-REMEMBERED, LONG = 100_000, 64
+#: Chunks remembered by a worker (twice as many at most, none longer than LONG), some 200 bytes each; only speed depends on it.
+REMEMBERED, LONG = 250_000, 64
 #: Characters of a text that are parted into chunks at once, and where a window may end.
 WINDOW, RUN_OF_SPACES = 1 << 16, re.compile(r"(?<! ) ")
 
@@ -44,19 +44,56 @@ class Encoder:
     """Ids of texts. A space opens every text and stands for the space mark; a literal U+2581 is no piece and goes by its bytes."""
 
     def __init__(self, vocab: dict) -> None:
-        self.trie: dict = {}
+        self.trie: dict = {}  # character: [what may follow, id, score]; the id is None where no piece ends
         for piece, entry in vocab["pieces"].items():
-            node = self.trie
+            follow, node = self.trie, [None, None, 0.0]
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = entry
+                node = follow.setdefault(c, [{}, None, 0.0])
+                follow = node[0]
+            node[1:] = entry
         self.bytes, self.longest = vocab["bytes"], max(map(len, vocab["pieces"]), default=1)
         self.unknown = min((s for _, s in vocab["pieces"].values()), default=0.0) - 10
         # Where no piece crosses, all paths converge: before a run of spaces, and around a character that no piece holds.
         self.by_space = not any(" " in p.lstrip(" ") for p in vocab["pieces"])
         self.by_line = not any("\n" in p for p in vocab["pieces"])
         self.commits = self.widest = 0  # how often ids were committed before a chunk's end, and the most backpointers held
-        self.words, self.chunks = Remembered(lambda w: self.search(" " + w)), Remembered(self.search)
+        self.pairs = {p[k : k + 2] for p in vocab["pieces"] for k in range(len(p) - 1)}
+        self.words, self.chunks = Remembered(lambda w: self.found(" " + w)), Remembered(self.found)
+
+    def found(self, chunk: str) -> bytes:
+        """A chunk's ids, as remembered: four bytes each. If no piece holds its last two characters, such as a letter and a full stop, it ends
+        in two chunks, of which others end in the first one too."""
+        if len(chunk) > LONG:
+            return array("i", self.search(chunk)).tobytes()
+        if len(chunk) > 2 and chunk[-2:] not in self.pairs:
+            return (self.words[chunk[1:-1]] if chunk[0] == " " else self.chunks[chunk[:-1]]) + self.chunks[chunk[-1]]
+        return array("i", self.whole(chunk)).tobytes()
+
+    def whole(self, text: str) -> list[int]:
+        """search() of a short text, whose scores and backpointers are all held, in lists, until its end."""
+        n, first, unknown = len(text), self.trie, self.unknown
+        best, back, ids = [-inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here, j, follow = best[i], i, first
+            for c in text[i:]:
+                if c not in follow:
+                    break
+                follow, piece, score = follow[c]
+                j += 1
+                if piece is not None and (score := here + score) >= best[j]:
+                    best[j], back[j], ids[j] = score, i, piece
+            if (j == i or first[text[i]][1] is None) and (score := here + unknown) >= best[i + 1]:
+                best[i + 1], back[i + 1], ids[i + 1] = score, i, -1
+        out: list[int] = []
+        while n:
+            i, piece = back[n], ids[n]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += (self.bytes[b] for b in reversed(text[i].encode("utf-8", "replace")))
+            n = i
+        return out[::-1]
 
     def search(self, text: str) -> tuple[int, ...]:
         """The ids of the best path. Of equal scores at a boundary the path whose last piece is shortest stays: then paths meet soon.
@@ -89,14 +126,15 @@ class Encoder:
                     base, check, commits = meet, longest, commits + 1
                 else:
                     check += max(longest, check // 2)
-            here, node, j, single = best.pop(i), self.trie, i, False
-            while j < n and (node := node.get(text[j])) is not None:
+            here, follow, j, single = best.pop(i), self.trie, i, False
+            while j < n and (node := follow.get(text[j])) is not None:
+                follow, piece, score = node
                 j += 1
-                if (entry := node.get("")) is not None:
+                if piece is not None:
                     single |= j == i + 1
-                    score = here + entry[1]
+                    score += here
                     if j not in best or score >= best[j]:
-                        best[j], back[j] = score, (i, entry[0])
+                        best[j], back[j] = score, (i, piece)
                         if j > far:
                             far = j
             if not single:
@@ -144,12 +182,12 @@ class Encoder:
             if k:
                 out.append(self.bytes[10])
             if "  " in line or line.endswith(" "):
-                out.extend(chain.from_iterable(map(self.chunks.__getitem__, re.findall(r" *[^ ]+| +$", line))))
+                out.frombytes(b"".join(map(self.chunks.__getitem__, re.findall(r" *[^ ]+| +$", line))))
             elif line:
                 first, *rest = line.split(" ")
                 if first:
-                    out.extend(self.chunks[first])
-                out.extend(chain.from_iterable(map(self.words.__getitem__, rest)))
+                    out.frombytes(self.chunks[first])
+                out.frombytes(b"".join(map(self.words.__getitem__, rest)))
 
 
 class Remembered(dict):
@@ -159,7 +197,7 @@ class Remembered(dict):
         super().__init__()
         self.f, self.old = f, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
             found = self.f(key)
@@ -179,7 +217,8 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model
     chosen = docs.select(*keep, "text")
 
     def run(batches):
-        encoder = Encoder(vocab.value)
+        # A worker lives on from task to task, and with it the broadcast value: what was remembered serves the next task.
+        encoder = vocab.value.get("encoder") or vocab.value.setdefault("encoder", Encoder(vocab.value))
         for batch in slices(batches):
             flat, ends = array("i"), array("q", [0])
             texts = batch.column(len(keep))

@@ -36,6 +36,19 @@ def test_streaming_equals_whole_search(vocab):
         assert tuple(out) == encoder.search(" " + text) == whole_viterbi(vocab, encoder, text)
 
 
+def test_short_chunks_equal_the_streaming_search(vocab):
+    """Words go by lists of all their boundaries; ties, bytes and characters that no piece holds fall as in the search."""
+    import pyarrow.parquet as pq
+
+    encoder = C.Encoder(vocab)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60]] + [t or "" for t in TEXTS]
+    chunks = {" " + w for t in texts for w in t.split(" ")} | {"", "é▁é", "😀😀", "\ud800x"}
+    before = encoder.commits
+    assert all(encoder.whole(c) == array("i", encoder.found(c)).tolist() for c in chunks if len(c) <= C.LONG) and encoder.commits == before
+    assert all(encoder.whole(c) == list(encoder.search(c)) for c in chunks)
+    assert any(len(c) > 2 and c[-2:] not in encoder.pairs for c in chunks)
+
+
 def test_ids_are_committed_on_ordinary_texts(vocab):
     """All paths meet within words too, so most ids are final long before a text ends."""
     import pyarrow.parquet as pq
