@@ -110,19 +110,19 @@ def walk(graph: Graph, seeds: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
-def graph_around(graph: Graph, root: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+def graph_around(graph: Graph, root: str, depth: int = 1, slim: Graph | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around a restriction: full rows of what is reached, and undirected edges (a, b, relation), each once, of all that
-    lies less deep than depth. Pairs are made for the edges alone."""
-    slim = published(graph)
+    lies less deep than depth. Pairs are made for the edges alone. slim is the published() graph where there is one already."""
+    slim = slim or published(graph)
     reached = walk(slim, slim.restriction.where(F.col("id") == root).select("id"), depth)
     nodes = get_by_ids(graph, reached)
     edges = neighbors(slim, reached.where(F.col("hop") < clamp_depth(depth)))
     return nodes, edges.select(F.least("src", "neighbor_id").alias("a"), F.greatest("src", "neighbor_id").alias("b"), "relation").distinct()
 
 
-def expand(graph: Graph, ids: DataFrame, depth: int = 1) -> DataFrame:
+def expand(graph: Graph, ids: DataFrame, depth: int = 1, slim: Graph | None = None) -> DataFrame:
     """(id, relation, hop) of what a walk from ids reaches besides them: the relation of the shallowest hop, shares_entity first."""
-    return walk(published(graph), ids, depth).where("hop > 0").select("id", "relation", "hop")
+    return walk(slim or published(graph), ids, depth).where("hop > 0").select("id", "relation", "hop")
 
 
 def get_detail(graph: Graph, restriction: str) -> DataFrame:
