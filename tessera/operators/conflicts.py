@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,19 +20,35 @@ KEY = ["entity", "kind", "unit_key"]
 BLOCK, RANGES = 4096, 32
 
 
+def plain_key(text: Column) -> Column:
+    """normalize() of a unit or condition. One word of letters, digits and percent signs is its key in lower case, without the expressions that
+    spaces and punctuation need."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
+    return F.when((low == "") | (low.rlike(r"^[\p{L}\p{N}%]+$") & ~low.contains("ё")), low).otherwise(normalize(text))
+
+
 def bounds(graph: Graph) -> DataFrame:
-    """A row for each side of a bound and entity in it: upper ones (edge is where they end) and lower ones (where they start). An exact value is both."""
+    """A row for each side of a bound and entity in it: upper ones (edge is where they end) and lower ones (where they start). An exact value is
+    both. Either side is made of its own restrictions, so that a read of one derives no others."""
     r = graph.restriction.where(comparable(F.col("value_operator"), F.col("value_number")))
-    r = r.withColumns({"unit_key": normalize(F.coalesce("value_unit", F.lit(""))), "condition_key": normalize(F.coalesce("value_condition", F.lit("")))})
-    r = roles(r, "kind", "unit_key", "value_operator", "value_number", "value_unit", "condition_key", other_entity())
-    upper = F.when(F.col("value_operator").isin("<=", "<", "="), F.struct(F.lit(True).alias("upper"), upper_bound(F.col("value_operator"), F.col("value_number")).alias("edge")))
-    lower = F.when(F.col("value_operator").isin(">=", ">", "="), F.struct(F.lit(False).alias("upper"), lower_bound(F.col("value_operator"), F.col("value_number")).alias("edge")))
-    return r.withColumn("_b", F.explode(F.array_compact(F.array(upper, lower)))).select("*", "_b.upper", "_b.edge").drop("_b")
+
+    def side(upper: bool, operators: tuple[str, ...], edge: Column) -> DataFrame:
+        some = r.where(F.col("value_operator").isin(*operators)).withColumns({"unit_key": plain_key(F.col("value_unit")), "condition_key": plain_key(F.col("value_condition"))})
+        some = roles(some, "kind", "unit_key", "value_operator", "value_number", "value_unit", "condition_key", other_entity())
+        return some.select("*", F.lit(upper).alias("upper"), edge.alias("edge"))
+
+    operator, number = F.col("value_operator"), F.col("value_number")
+    return side(True, ("<=", "<", "="), upper_bound(operator, number)).unionByName(side(False, (">=", ">", "="), lower_bound(operator, number)))
 
 
-def split_hot(sides: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
-    """sides of entities with up to block bounds, whose keys a task can hold, and of those with more, None if there are none."""
-    hot, n = counted(sides.groupBy("entity").count().where(F.col("count") > block).select("entity"), "hot")
+def split_hot(graph: Graph, sides: DataFrame, block: int, entities: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """sides of entities with up to block bounds, whose keys a task can hold, and of those with more, None if there are none. Bounds are
+    counted by restrictions, before any id or key is made of them; entities: only these can have sides."""
+    r = roles(graph.restriction.where(comparable(F.col("value_operator"), F.col("value_number"))), "value_operator")
+    r = r if entities is None else r.join(entities, "entity", "left_semi")
+    many = r.groupBy("entity").agg(F.sum(F.when(F.col("value_operator") == "=", 2).otherwise(1)).alias("n")).where(F.col("n") > block)
+    hot, n = counted(many.select("entity"), "hot")
     return (sides, None) if n == 0 else (sides.join(hot, "entity", "left_anti"), sides.join(hot, "entity", "left_semi"))
 
 
@@ -55,13 +71,13 @@ def find_conflicts(graph: Graph, ids: DataFrame | None = None, block: int = BLOC
     with many bounds an upper one meets only ranges of values that are not below its own, and both sides are dealt into parts, so that
     no task holds more than about block bounds of either.
     """
-    sides = bounds(graph)
+    sides, entities = bounds(graph), None
     chosen = None if ids is None else counted(ids.select("id").distinct(), "ids")[0]
     if chosen is not None:
         mine, _ = counted(graph.restriction.join(chosen, "id", "left_semi"), "mine")
         entities, _ = counted(roles(mine).select("entity").distinct(), "entities")
         sides = sides.join(entities, "entity", "left_semi")
-    light, hot = split_hot(sides, block)
+    light, hot = split_hot(graph, sides, block, entities)
     pairs = _met(light.where("upper"), light.where("not upper"), KEY, chosen)
     if hot is not None:
         hot = ranged(hot, KEY, block)
@@ -125,7 +141,7 @@ def _met_counts(sides: DataFrame, key: list[str], block: int) -> DataFrame:
 def conflict_counts(graph: Graph, block: int = BLOCK) -> DataFrame:
     """(id, conflicts): how many restrictions each conflicts with, for those with any. Pairs are counted at each common entity, and those with
     two of them once less."""
-    light, hot = split_hot(bounds(graph), block)
+    light, hot = split_hot(graph, bounds(graph), block)
     counts = _light_counts(light)
     if hot is not None:
         both = hot.where("entity < other").withColumnRenamed("other", "second")
