@@ -29,21 +29,30 @@ def top_vectors(nodes: DataFrame, vector: list[float], k: int, key: str, score_m
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def top_shared(nodes: DataFrame, vector: list[float], k: int, key: str, column: str, vectors: DataFrame) -> DataFrame:
+    """top_vectors() of nodes that name their vector in a table (column, embedding): each vector is scored once, and nodes get its score."""
+    scores = vectors.select(column, cosine(F.col("embedding"), to_query(vector)).alias("score")).where("score is not null")
+    scores, _ = counted(scores, "scores")
+    return nodes.join(scores, column).drop(column).orderBy(F.desc("score"), key).limit(k)
+
+
 def nearest_nodes(nodes: DataFrame, vector: list[float], key: str, k: int = 1) -> DataFrame:
     """Nearest vocabulary nodes: key, name, status and score."""
     found = top_vectors(nodes, vector, k, key)
     return found.select(*dict.fromkeys([key, "name", "status", "score"]))
 
 
-def search_vector(graph: Graph, vector: list[float], filters: Filters = Filters(), limit: int = 10, prefilter: bool = False) -> DataFrame:
+def search_vector(graph: Graph, vector: list[float], filters: Filters = Filters(), limit: int = 10, prefilter: bool = False, shared: tuple[str, DataFrame] | None = None) -> DataFrame:
     """Restrictions nearest to a vector. By default the nearest are fetched first and filtered after, as an index does, so fewer than
-    limit rows may come; with prefilter the nearest of those under the filters."""
+    limit rows may come; with prefilter the nearest of those under the filters. shared: the column of restrictions that names their vector,
+    and the table of vectors, for a search that fetches first."""
     checked_limit(limit)
     if prefilter:
         rows = found(graph, filters)
         rows = rows.withColumn("_score", cosine(F.col("embedding"), to_query(vector))).where("_score is not null")
     else:
-        top = top_vectors(graph.restriction, vector, fetch_size(limit), "id").withColumnRenamed("score", "_score")
+        top = top_vectors(graph.restriction, vector, fetch_size(limit), "id") if shared is None else top_shared(graph.restriction, vector, fetch_size(limit), "id", *shared)
+        top = top.withColumnRenamed("score", "_score")
         graph = narrowed(graph, top)
         rows = found(graph, filters)
     return project(rows.orderBy(F.desc("_score"), "id").limit(limit), graph, F.col("_score")).orderBy(F.desc("score"), "id")
@@ -89,10 +98,10 @@ def search_clauses(graph: Graph, vector: list[float], vectors: DataFrame, limit:
     return found.orderBy(F.desc("score"), "node_id").limit(limit).select("node_id", "doc_id", "name", "text", "score")
 
 
-def search(graph: Graph, vector: list[float] | None, filters: Filters = Filters(), limit: int = 10, fallback: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+def search(graph: Graph, vector: list[float] | None, filters: Filters = Filters(), limit: int = 10, fallback: Callable[[], DataFrame] | None = None, shared: tuple[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(hits, fallback hits): by vector or, without one, a filtered listing. The fallback, such as a text search over clauses, is called only
     when a vector search finds nothing."""
-    hits = search_filter_or_vector(graph, vector, filters, limit)
+    hits = search_filter_or_vector(graph, vector, filters, limit, shared)
     return hits, (fallback() if vector is not None and fallback is not None and hits.isEmpty() else None)
 
 
@@ -102,10 +111,10 @@ def respond(rows: DataFrame, limit: int) -> DataFrame:
     return few.agg(F.count("*").alias("count"), F.collect_list(F.struct("*")).alias("items"))
 
 
-def search_filter_or_vector(graph: Graph, vector: list[float] | None, filters: Filters, limit: int) -> DataFrame:
+def search_filter_or_vector(graph: Graph, vector: list[float] | None, filters: Filters, limit: int, shared: tuple[str, DataFrame] | None = None) -> DataFrame:
     from .rows import search_filter
 
-    return search_filter(graph, filters, limit) if vector is None else search_vector(graph, vector, filters, limit)
+    return search_filter(graph, filters, limit) if vector is None else search_vector(graph, vector, filters, limit, shared=shared)
 
 
 def nearest_labels(labels: DataFrame, nodes: DataFrame, key: str, k: int = 1, threshold: float | None = None) -> DataFrame:
