@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import amount_text, comparable, lower_bound, normalize, upper_bound
 from ..schema import Graph
-from ..sources.store import counted, materialize
+from ..sources.store import FEW, counted, materialize
 from .rows import get_by_ids
 from .traverse import other_entity, roles
 
@@ -63,19 +63,19 @@ def ranged(sides: DataFrame, key: list[str], block: int) -> DataFrame:
     return split.drop("cuts")
 
 
-def find_conflicts(graph: Graph, ids: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def find_conflicts(graph: Graph, ids: DataFrame | None = None, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(lo, hi, reason, severity) of every conflicting pair, or of those with a restriction of ids.
 
     Two ranges are disjoint only if one ends below where the other starts, so restrictions with an upper bound meet those with a
     lower bound on entity, kind and unit; pairs of like bounds are never made. A pair with two common entities counts once. Of a key
     with many bounds an upper one meets only ranges of values that are not below its own, and both sides are dealt into parts, so that
-    no task holds more than about block bounds of either.
+    no task holds more than about block bounds of either. Up to few ids, and entities of theirs, are broadcast.
     """
     sides, entities = bounds(graph), None
-    chosen = None if ids is None else counted(ids.select("id").distinct(), "ids")[0]
+    chosen = None if ids is None else counted(ids.select("id").distinct(), "ids", few)[0]
     if chosen is not None:
-        mine, _ = counted(graph.restriction.join(chosen, "id", "left_semi"), "mine")
-        entities, _ = counted(roles(mine).select("entity").distinct(), "entities")
+        mine = materialize(graph.restriction.join(chosen, "id", "left_semi"), "mine")
+        entities, _ = counted(roles(mine).select("entity").distinct(), "entities", few)
         sides = sides.join(entities, "entity", "left_semi")
     light, hot = split_hot(graph, sides, block, entities)
     pairs = _met(light.where("upper"), light.where("not upper"), KEY, chosen)

@@ -15,7 +15,8 @@ from ..functions.scalars import absolute, attribute_text, embedding_text, parse_
 from ..plans.planner import plan_columns, review_status
 from ..plans.revisions import append
 from ..schema import Graph
-from ..sources.store import materialize
+from ..sources import store
+from ..sources.store import few_keys, materialize
 from .conflicts import find_conflicts
 from .lifecycle import delete_restrictions, guard, ingest, sync_state, upsert_conflicts, upsert_entities, upsert_kinds, upsert_restrictions
 from .search import ENTITY_THRESHOLD, KIND_THRESHOLD
@@ -109,10 +110,11 @@ def write_restrictions(graph: Graph, found: DataFrame, models: Models, at: str,
     graph = upsert_kinds(graph, vocabulary_changes(kinds, "name", "pending"), few)
 
     def by_label(resolved: DataFrame, label: str, key: str) -> DataFrame:
-        return resolved.select(F.col("label").alias(label), F.col("key").alias(key)).distinct()
+        return few_keys(resolved.select(F.col("label").alias(label), F.col("key").alias(key)).distinct(), label)
 
-    status = graph.kind.select(F.col("name").alias("kind_key"), F.coalesce("status", F.lit("approved")).alias("kind_status"))
-    clauses = graph.clause.select("node_id", "version_id", F.col("char_start").alias("_base"))
+    status = few_keys(graph.kind.select(F.col("name").alias("kind_key"), F.coalesce("status", F.lit("approved")).alias("kind_status")), "status")
+    spoken = few_keys(found.select("node_id").distinct(), "spoken")
+    clauses = graph.clause.join(spoken, "node_id", "left_semi").select("node_id", "version_id", F.col("char_start").alias("_base"))
     rows = found.join(by_label(entities, "subject", "subject_normalized"), "subject").join(by_label(entities, "object", "object_normalized"), "object")
     rows = rows.join(by_label(kinds, "kind", "kind_key"), "kind").join(status, "kind_key", "left").join(clauses, "node_id")
     value = [F.col(f"value_{c}") for c in ("operator", "number", "unit", "condition")]
@@ -125,7 +127,7 @@ def write_restrictions(graph: Graph, found: DataFrame, models: Models, at: str,
     graph = upsert_restrictions(graph, rows, few)
     plans = plan_columns(rows).withColumn("review_status", review_status(F.col("planner_status"))).withColumn("created_at", F.lit(at).cast("timestamp"))
     graph = graph.with_(check_plan=append(graph.check_plan, plans, graph.restriction, protect_reviewed=True))
-    new = materialize(find_conflicts(graph, rows.select("id")).withColumn("detected_at", F.lit(at).cast("timestamp")), "conflicts")
+    new = few_keys(find_conflicts(graph, rows.select("id"), few=store.FEW_KEYS).withColumn("detected_at", F.lit(at).cast("timestamp")), "conflicts")
     graph = upsert_conflicts(graph, new, few)
     sides = new.select(F.explode(F.array("lo", "hi")).alias("id"), "lo", "hi")
     n_conflicts = sides.join(rows.select("id", "doc_id"), "id").groupBy("doc_id").agg(F.countDistinct("lo", "hi").alias("conflicts"))
@@ -145,21 +147,21 @@ def sync_documents(graph: Graph, details: DataFrame, models: Models, at: str, an
     outcome says why, and all others are synced.
     """
     details = materialize(details, "details")
-    states = guard(sync_state(graph, among=details), details).join(anew, "doc_id", "left_anti")
-    same = materialize(states.where("unchanged").select("doc_id"), "unchanged")
+    states = guard(sync_state(graph, among=few_keys(details.select("doc_id"), "known")), details).join(anew, "doc_id", "left_anti")
+    same = few_keys(states.where("unchanged").select("doc_id"), "unchanged")
     faulty = details.where(F.exists("fragments", lambda f: F.coalesce(f["id"], F.lit("")) == ""))
-    broken = faulty.select("doc_id", F.lit("a fragment has no id").alias("error"))
+    broken = few_keys(faulty.select("doc_id", F.lit("a fragment has no id").alias("error")), "broken")
     whole = details.join(broken, "doc_id", "left_anti")
     todo = whole.join(same, "doc_id", "left_anti")
     tried, _ = ingest(graph, todo, anew, few=True)
-    clauses = tried.clause.join(todo.select("doc_id"), "doc_id", "left_semi")
+    clauses = tried.clause.join(few_keys(todo.select("doc_id"), "todo"), "doc_id", "left_semi")
     raw = materialize(extract(clauses, models.extractor, tolerant=True), "extracted")
-    failed = materialize(broken.unionByName(raw.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))), "failed")
+    failed = few_keys(broken.unionByName(raw.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))), "failed")
     good = materialize(whole.join(failed, "doc_id", "left_anti"), "good")
     graph, counts = ingest(graph, good, anew, few=True)
     counts = materialize(counts, "counts")
     synced = good.join(same, "doc_id", "left_anti").select("doc_id")
-    graph, _ = delete_restrictions(graph, synced.join(anew, "doc_id", "left_semi"))
+    graph, _ = delete_restrictions(graph, few_keys(synced.join(anew, "doc_id", "left_semi"), "anew"))
     graph, found = write_restrictions(graph, to_restrictions(raw.where("error is null").join(failed, "doc_id", "left_anti")), models, at, few=True)
     became = same.withColumn("outcome", F.lit("unchanged")).unionByName(synced.withColumn("outcome", F.lit("synced"))).withColumn("error", F.lit(None).cast("string"))
     became = became.unionByName(failed.withColumn("outcome", F.lit("failed")))

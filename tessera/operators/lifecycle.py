@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.scalars import pending_key
 from ..schema import KEYS, Graph, conform
 from ..sources.documents import fragments, listing, references, resolve_doc_ids
-from ..sources.store import materialize
+from ..sources.store import few_keys, few_rows, materialize
 
 
 def merge(old: DataFrame, new: DataFrame, table: str, old_wins: tuple[str, ...] = (), joined_lists: tuple[str, ...] = (), few: bool = False) -> DataFrame:
     """old with new's rows: by key, a null in new keeps what old has; old_wins columns are set on creation only, joined_lists grow. Of
     several new rows of one key the greatest counts, by its columns from left to right.
 
-    few says that new is a batch beside a large table: it is written once, old's rows look it up, and only new rows that found none are
-    added, so that Spark can broadcast the batch and old is not shuffled. Without it both meet in one full join.
+    few says that new is a batch beside a large table: it is written once, and if its rows are few by count it is broadcast to old's rows, which
+    are not shuffled, and only new rows that found none are added. A larger batch, or without few, both meet in one full join.
     """
     keys = KEYS[table]
     new, old = conform(new, table), conform(old, table)
     rest = [c for c in new.columns if c not in keys]
     new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_n")) if rest else new.distinct().withColumn("_n", F.struct(F.lit(True)))
-    new = materialize(new, table) if few else new
+    if few:
+        new = materialize(new, table)
+        few = few_rows(new)
     o = old.select(*keys, F.struct(*rest).alias("_o") if rest else F.struct(F.lit(True)).alias("_o"))
 
     def pick(c: str) -> Column:
@@ -33,8 +35,8 @@ def merge(old: DataFrame, new: DataFrame, table: str, old_wins: tuple[str, ...]
         return F.coalesce(f"{first}.{c}", f"{second}.{c}").alias(c)
 
     if few:
-        found = o.join(new.select(*keys), keys, "left_semi").select(*keys)
-        both = o.join(new, keys, "left").unionByName(new.join(found, keys, "left_anti"), allowMissingColumns=True)
+        found = o.join(F.broadcast(new.select(*keys)), keys, "left_semi").select(*keys)
+        both = o.join(F.broadcast(new), keys, "left").unionByName(new.join(F.broadcast(found), keys, "left_anti"), allowMissingColumns=True)
     else:
         both = o.join(new, keys, "full_outer")
     return both.select(*(c if c in keys else pick(c) for c in old.columns))
@@ -123,9 +125,9 @@ def ingest(graph: Graph, details: DataFrame, replace: bool | DataFrame = False,
     )
     pruned = None
     if replace is not False:
-        keep = clause_rows(details).select("node_id")
-        anew = details.select("doc_id")
-        graph, pruned = prune(graph, anew if replace is True else anew.join(replace, "doc_id", "left_semi"), keep)
+        keep, anew = clause_rows(details).select("node_id"), details.select("doc_id")
+        anew = anew if replace is True else anew.join(replace, "doc_id", "left_semi")
+        graph, pruned = prune(graph, *((few_keys(anew, "anew"), few_keys(keep, "keep")) if few else (anew, keep)))
     here = parts.select("doc_id", F.col("fragment.id").alias("src"))
     resolved = F.coalesce("resolved", F.lit(False)) & F.coalesce("target_node_id", "target_doc_id").isNotNull()
     linked = own.withColumn("ok", resolved).join(here, "src").groupBy("doc_id").agg(F.count_if("ok").alias("references"), F.count_if(~F.col("ok")).alias("pending"))
@@ -156,7 +158,7 @@ def without_restrictions(graph: Graph, gone: DataFrame) -> Graph:
 def without_clauses(graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, restriction ids removed): without clauses (node_id), what was derived from them, and their edges. What goes is written as
     a table of keys, which several tables are cleared by."""
-    derived = materialize(graph.restriction.join(gone.select(F.col("node_id").alias("clause_node_id")), "clause_node_id", "left_semi").select("id"), "gone")
+    derived = few_keys(graph.restriction.join(gone.select(F.col("node_id").alias("clause_node_id")), "clause_node_id", "left_semi").select("id"), "gone")
     edges = graph.references.join(gone.select(F.col("node_id").alias("src")), "src", "left_anti")
     dead = gone.select(F.lit("clause").alias("target_type"), F.col("node_id").alias("target_key"))
     edges = edges.join(dead, ["target_type", "target_key"], "left_anti")
@@ -167,22 +169,22 @@ def without_clauses(graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
 
 def delete_restrictions(graph: Graph, docs: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, (doc_id, deleted)) without the restrictions extracted from documents (doc_id)."""
-    gone = materialize(graph.restriction.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("id", "doc_id"), "gone")
+    gone = few_keys(graph.restriction.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("id", "doc_id"), "gone")
     return without_restrictions(graph, gone), gone.groupBy("doc_id").agg(F.count("*").alias("deleted"))
 
 
 def prune(graph: Graph, docs: DataFrame, keep: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, (doc_id, pruned)) without the clauses of documents (doc_id) that are not in keep (node_id)."""
     stale = graph.clause.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").join(keep.select("node_id").distinct(), "node_id", "left_anti").select("node_id", "doc_id")
-    stale = materialize(stale, "stale")
+    stale = few_keys(stale, "stale")
     graph, _ = without_clauses(graph, stale)
     return graph, stale.groupBy("doc_id").agg(F.countDistinct("node_id").alias("pruned"))
 
 
 def delete_documents(graph: Graph, docs: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, (doc_id, clauses, restrictions)) without documents (doc_id), their clauses and what was derived. The vocabulary stays."""
-    victims = materialize(graph.document.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id"), "victims")
-    clauses = materialize(graph.clause.join(victims, "doc_id", "left_semi").select("node_id", "doc_id"), "gone")
+    victims = few_keys(graph.document.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id"), "victims")
+    clauses = few_keys(graph.clause.join(victims, "doc_id", "left_semi").select("node_id", "doc_id"), "gone")
     derived = graph.restriction.select("id", F.col("clause_node_id").alias("node_id")).join(clauses, "node_id")
     n_c, n_r = clauses.groupBy("doc_id").agg(F.count("*").alias("clauses")), derived.groupBy("doc_id").agg(F.count("*").alias("restrictions"))
     counts = victims.join(n_c, "doc_id", "left").join(n_r, "doc_id", "left").na.fill(0, ["clauses", "restrictions"])

@@ -6,6 +6,7 @@ import json
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,35 @@ def counted(df: DataFrame, name: str, few: int = FEW) -> tuple[DataFrame, int]:
     return (F.broadcast(df) if n <= few else df), n
 
 
+#: Keys, and whole rows, that changes to a graph broadcast: a hash table of either takes under 100 MB, vectors of 2,048 numbers included.
+FEW_KEYS, FEW_ROWS = 100_000, 10_000
+
+
+def few_keys(df: DataFrame, name: str) -> DataFrame:
+    """A table of keys, written once and broadcast if they are few."""
+    return counted(df, name, FEW_KEYS)[0]
+
+
+def few_rows(df: DataFrame) -> bool:
+    """Whether a written table's rows are few enough to be broadcast as they are."""
+    return df.count() <= FEW_ROWS
+
+
+@contextmanager
+def measured_broadcasts(spark: SparkSession):
+    """Joins run inside broadcast what was counted, or what a shuffle has measured. Spark else goes by the size of files, where ids in a row and
+    repeated texts and vectors take a hundredth of what they take as a hash table. The session's settings come back."""
+    by_files, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {k: spark.conf.get(k, None) for k in (by_files, measured)}
+    spark.conf.set(measured, before[measured] or spark.conf.get(by_files))
+    spark.conf.set(by_files, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: Rows of a bucket of a table, up to twice as many.
 BUCKET_ROWS = 200_000
 

@@ -16,7 +16,7 @@ from ..operators.lifecycle import delete_documents, reconcile, stored_documents
 from ..schema import Graph
 from ..sources.documents import listing
 from ..sources.event_log import append_events, log_table
-from ..sources.store import GraphStore, materialize, scratch_dir
+from ..sources.store import GraphStore, few_keys, materialize, measured_broadcasts, scratch_dir
 from .events import EVENT, accepted, read_topic, rejected
 from .state import SCOPE, fresh, keyed_state, remembered
 
@@ -82,13 +82,17 @@ class LifecycleSync:
         document's last write once more. Doing it again changes nothing: deleted documents are gone, unchanged ones are guarded
         by their hash, updated ones are written anew under the same ids. Buckets of tables that change are written, and with them what
         became of each document; one that fails stops no other."""
+        with measured_broadcasts(self.store.spark), measured_broadcasts(events.sparkSession):
+            return self._applied(events)
+
+    def _applied(self, events: DataFrame) -> Graph:
         events = materialize(events, "events")
         before = graph = self.store.load()
-        gone, wrote = materialize(deletions(events), "deletions"), materialize(writes(events), "writes")
+        gone, wrote = few_keys(deletions(events), "deletions"), few_keys(writes(events), "writes")
         graph, out = self.without(graph, gone)
         outcomes = [out]
         source = self.details()
-        docs = materialize(in_scope(source, wrote).groupBy("doc_id").agg(F.max("replace").alias("replace")), "named")
+        docs = few_keys(in_scope(source, wrote).groupBy("doc_id").agg(F.max("replace").alias("replace")), "named")
         if not docs.isEmpty():
             graph, out = sync_documents(graph, source.join(docs, "doc_id", "left_semi"), self.models, self.now(), docs.where("replace").select("doc_id"))
             outcomes.append(out)
@@ -99,7 +103,7 @@ class LifecycleSync:
     def without(self, graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
         """(graph, outcomes) without the documents of deletions; the same graph if there are none."""
         hit = F.col("gone").isNull() | (F.col("_version") == F.col("gone")) | (F.col("_version_id") == F.col("gone"))
-        return self._deleted(graph, materialize(in_scope(graph.document, gone).where(hit).select("doc_id").distinct(), "gone"))
+        return self._deleted(graph, few_keys(in_scope(graph.document, gone).where(hit).select("doc_id").distinct(), "gone"))
 
     def _deleted(self, graph: Graph, docs: DataFrame) -> tuple[Graph, DataFrame]:
         if docs.isEmpty():
@@ -113,6 +117,10 @@ class LifecycleSync:
         """Bring the store to what the source lists: documents that it lacks are added, those of another hash written anew, those no longer
         listed deleted. One that fails is counted, its error kept in the version's outcomes, and it is tried again the next time, as the
         store keeps what it had. A source that cannot be read changes nothing."""
+        with measured_broadcasts(self.store.spark):
+            return self._reconciled()
+
+    def _reconciled(self) -> Reconciled:
         try:
             source = materialize(self.details(), "source")
         except Exception as e:  # whatever a source raises
@@ -120,11 +128,11 @@ class LifecycleSync:
         before = graph = self.store.load()
         actions = materialize(reconcile(listing(source.where("user_id is null")), stored_documents(graph)), "actions")
         outcomes = []
-        wanted = actions.where("action in ('added', 'updated')")
+        wanted = few_keys(actions.where("action in ('added', 'updated')"), "wanted")
         if not wanted.isEmpty():
             graph, out = sync_documents(graph, source.join(wanted, "doc_id", "left_semi"), self.models, self.now(), wanted.where("action = 'updated'").select("doc_id"))
             outcomes.append(out)
-        graph, out = self._deleted(graph, materialize(actions.where("action = 'deleted'").select("doc_id"), "gone"))
+        graph, out = self._deleted(graph, few_keys(actions.where("action = 'deleted'").select("doc_id"), "gone"))
         outcomes = materialize(_all([*outcomes, out], source.sparkSession, OUTCOME), "outcomes")
         if graph is not before or not outcomes.isEmpty():
             self.store.publish(graph, before, outcomes)

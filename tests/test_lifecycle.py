@@ -9,8 +9,9 @@ from tessera.functions.models import hashing_embedder
 from tessera.operators.extract import Models, rule_extractor
 from tessera.operators.lifecycle import upsert_documents
 from tessera.schema import conform, empty_graph
+from tessera.sources import store as stores
 from tessera.sources.documents import DETAIL
-from tessera.sources.store import GraphStore
+from tessera.sources.store import GraphStore, measured_broadcasts
 from tessera.streaming.events import EVENT
 from tessera.streaming.sync import LifecycleSync, Reconciled, deletions, writes
 
@@ -176,3 +177,41 @@ def test_outcomes_of_an_update(spark, tmp_path):
     sync.apply(events(spark, ("deleted", "X", None, True)))
     out = sync.store.outcomes().collect()
     assert [(r["outcome"], r["clauses"], r["restrictions"]) for r in out] == [("deleted", 1, 1)]
+
+
+def broadcasts(spark) -> int:
+    """Broadcasts of all queries that the session still knows of."""
+    known = spark._jsparkSession.sharedState().statusStore()
+    runs = known.executionsList()
+    nodes = [known.planGraph(runs.apply(k).executionId()).allNodes() for k in range(runs.size())]
+    return sum(graph.apply(k).name() == "BroadcastExchange" for graph in nodes for k in range(graph.size()))
+
+
+def test_a_batch_is_broadcast_by_count_and_not_by_the_size_of_its_files(spark, tmp_path, monkeypatch):
+    """Ids, texts and vectors in a row take few bytes in files and many as hash tables: beyond the limits nothing goes through the driver."""
+    plan = lambda few: upsert_documents(grown(spark, 50), grown(spark, 9).document, few)
+    assert "BroadcastExchange" in plan(True).document._jdf.queryExecution().executedPlan().toString()
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in names]
+    for limit in ("FEW_KEYS", "FEW_ROWS"):
+        monkeypatch.setattr(stores, limit, -1)  # not even an empty table
+    monkeypatch.setattr(stores.counted, "__defaults__", (-1,))
+    spark.conf.set(names[1], "-1")  # what a shuffle measures counts for nothing either
+    try:
+        at = broadcasts(spark)
+        rows = [(d, "h1", TEXT, f"{d}1") for d in "abcd"]
+        sync = LifecycleSync(GraphStore(spark, str(tmp_path)), lambda: with_text(spark, rows), Models(hashing_embedder(), failing()), lambda: "2024-01-01 00:00:00")
+        assert sync.reconcile() == Reconciled(added=4)
+        rows[:] = [("a", "h2", TEXT, "a1"), ("b", "h1", TEXT, "b1"), ("c", "h2", TEXT + " fail", "c1")]
+        assert sync.reconcile() == Reconciled(updated=1, unchanged=1, deleted=1, failed=1)
+        assert broadcasts(spark) == at
+        graph = sync.store.load()
+        assert {r["doc_id"]: r["content_hash"] for r in graph.document.collect()} == {"a": "h2", "b": "h1", "c": "h1"} and graph.restriction.count() == 3
+        assert sorted(map(tuple, plan(True).document.collect())) == sorted(map(tuple, plan(False).document.collect()))
+    finally:
+        spark.conf.unset(names[1])
+    assert [spark.conf.get(k, None) for k in names] == before
+    with pytest.raises(ZeroDivisionError), measured_broadcasts(spark):
+        assert spark.conf.get(names[0]) == "-1" and spark.conf.get(names[1]) is not None
+        1 / 0
+    assert [spark.conf.get(k, None) for k in names] == before
