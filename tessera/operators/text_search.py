@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import checked_limit
 from ..sources.documents import fragments
-from ..sources.store import counted, materialize
+from ..sources.store import FEW, materialize
 
 #: What is a term: letters and digits, in lower case.
 TERM = r"[\p{L}\p{N}]+"
@@ -73,17 +73,36 @@ def search_many(index: TextIndex, queries: DataFrame, within: str, limit: int =
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= checked_limit(limit))
 
 
-def search_within(clauses: DataFrame, queries: DataFrame, within: str, limit: int = 10) -> DataFrame:
+#: Terms of a text that a task of search_within() holds, about: its tables of them stay in memory.
+TASK_TERMS = 1_000_000
+
+
+def search_within(clauses: DataFrame, queries: DataFrame, within: str, limit: int = 10, few: int = FEW, task_terms: int = TASK_TERMS) -> DataFrame:
     """search_many() without an index, for queries that each look into one value of within, such as their document. Texts are shuffled once,
-    by that value; terms, hits and ranks are made where they then lie. Only a table of terms with their frequency is written."""
+    by that value, to tasks of a bounded number of terms; terms, hits and ranks are made where they then lie.
+
+    Frequencies of the few most frequent terms are broadcast. A vocabulary grows with its texts, and what is beyond them is rare: each value of within gets
+    a table of its own rare terms, so that no other posting is shuffled by its term.
+    """
     rows = clauses.select("node_id", within, terms(F.col("text")).alias("_terms")).where("size(_terms) > 0")
     n, mean = rows.agg(F.count("*"), F.avg(F.size("_terms"))).first()
-    frequency, _ = counted(rows.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    distinct = rows.select(within, F.explode(F.array_distinct("_terms")).alias("term"))
+    frequency = materialize(distinct.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    cut = frequent_from(frequency, few)
+    frequent = F.broadcast(frequency.where(F.col("df") >= cut))
     index = TextIndex(rows, frequency, n or 0, mean or 0.0)
     both = clauses.select(within, F.lit(False).alias("asks"), F.col("node_id").alias("id"), "text").unionByName(queries.select(within, F.lit(True).alias("asks"), F.col("query_id").alias("id"), "text"))
-    both = both.where(f"{within} is not null").repartition(within).withColumns({"row": F.monotonically_increasing_id(), "_terms": terms(F.col("text"))})
-    each = both.select(within, "asks", "id", "row", F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
-    posted = each.groupBy(within, "asks", "id", "row", "length", "term").agg(F.count("*").alias("tf")).join(frequency, "term")
+    both = both.where(f"{within} is not null").repartition(1 + int((n or 0) * (mean or 0.0)) // task_terms, within)
+    if cut > 1:
+        rare = distinct.where(f"{within} is not null").join(frequency.where(F.col("df") >= cut).select("term").hint("broadcast"), "term", "left_anti")
+        rare = rare.join(frequency.where(F.col("df") < cut), "term").groupBy(within).agg(F.map_from_entries(F.collect_set(F.struct("term", "df"))).alias("_rare"))
+        both = both.join(rare.hint("shuffle_hash"), within, "left")
+    else:
+        both = both.withColumn("_rare", F.lit(None).cast("map<string,bigint>"))
+    both = both.withColumns({"row": F.monotonically_increasing_id(), "_terms": terms(F.col("text"))})
+    each = both.select(within, "asks", "id", "row", F.size("_terms").alias("length"), "_rare", F.explode("_terms").alias("term"))
+    posted = each.groupBy(within, "asks", "id", "row", "length", "term").agg(F.count("*").alias("tf"), F.first(F.try_element_at("_rare", "term")).alias("_df"))
+    posted = posted.join(frequent, "term", "left").withColumn("df", F.coalesce("df", "_df")).where("df is not null")
     side = lambda asks, *columns: F.collect_list(F.when(F.col("asks") == asks, F.struct(*columns)))
     met = posted.withColumn("w", bm25(index)).groupBy(within, "term").agg(side(True, "id").alias("q"), side(False, "id", "w").alias("p"))
     hits = met.where("size(q) > 0 and size(p) > 0").select(within, F.explode("q").alias("q"), "p").select(within, F.col("q.id").alias("query_id"), F.explode("p").alias("p"))
@@ -92,6 +111,14 @@ def search_within(clauses: DataFrame, queries: DataFrame, within: str, limit: in
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= checked_limit(limit)).drop(within)
 
 
+def frequent_from(frequency: DataFrame, few: int) -> int:
+    """The least df from which on there are at most few terms; 1 if there are no more in all."""
+    counts = frequency.groupBy("df").count()  # as many rows as there are different frequencies
+    down = counts.withColumn("above", F.sum("count").over(W.orderBy(F.desc("df"))))
+    beyond = down.agg(F.max(F.when(F.col("above") > few, F.col("df")))).first()[0]
+    return 1 if beyond is None else beyond + 1
+
+
 def backfill_references(details: DataFrame, indexed: DataFrame, hits: int = BACKFILL_HITS) -> DataFrame:
     """(src, reference fields) for fragments of library documents that have a text and name no references: what a search index
     (node_id, doc_id, text, references) knows of them. A fragment is searched by its first characters within its document, and counts as

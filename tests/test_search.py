@@ -47,6 +47,23 @@ def test_text_search_equals_plain_bm25(spark):
     assert text_search.search_text(none, "школа").count() == 0
 
 
+@pytest.mark.parametrize(("few", "tasks"), [(1_000_000, 1_000_000), (4, 40), (0, 1)])
+def test_searches_within_documents_of_many_rare_terms(spark, few, tasks):
+    """Frequencies beyond the most frequent ones come to a document as a table of its own; no posting is shuffled by its term."""
+    r = random.Random(6)
+    words = ["школа", "зона", "парк", "дом", "e"] + [f"r{k}" for k in range(60)]
+    clauses = [(f"c{k:02}", f"d{k % 7}", " ".join(r.choices(words, weights=[20] * 5 + [1] * 60, k=r.randrange(0, 12)))) for k in range(70)] + [("none", None, "школа r1")]
+    rows = spark.createDataFrame(clauses, "node_id string, doc_id string, text string")
+    asked = [(f"q{k}", f"d{k}", f"зона r{k} r{k + 9} парк unknown") for k in range(7)] + [("q", "d1", "unknown"), ("p", None, "e"), ("o", "other", "e")]
+    found = text_search.search_within(rows, spark.createDataFrame(asked, "query_id string, doc_id string, text string"), "doc_id", 3, few, tasks)
+    got = {(x["query_id"], x["place"]): (x["node_id"], round(x["score"], 8)) for x in found.collect()}
+    own, want = {k: d for k, d, _ in clauses}, {}
+    for q, doc, text in asked:
+        best = [(k, s) for k, s in bm25([(k, t) for k, _, t in clauses], text, 100) if doc and own[k] == doc][:3]
+        want |= {(q, i): (k, pytest.approx(s, abs=1e-7)) for i, (k, s) in enumerate(best, 1)}
+    assert got == want
+
+
 def test_limits_and_counted_answers(spark):
     for limit in (0, 501, -1):
         for call in (lambda n: search.fetch_size(n), lambda n: search.respond(spark.range(3), n), lambda n: search.search_vector(empty_graph(spark), [1.0], limit=n)):
