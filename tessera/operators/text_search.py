@@ -73,6 +73,26 @@ def search_many(index: TextIndex, queries: DataFrame, within: str, limit: int =
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= checked_limit(limit))
 
 
+def search_once(clauses: DataFrame, query: str, limit: int = 10, among: Column | None = None) -> DataFrame:
+    """search_text() without an index, for one search: texts are read where they lie, once for the query's terms' frequencies and once for
+    scores. A clause with a hit leaves its task as one number, and nothing is written. among: a condition on clauses; frequencies are of all."""
+    spark = clauses.sparkSession
+    asked = spark.range(1).select(F.array_distinct(terms(F.lit(query))).alias("t")).first()["t"]  # one row of text
+    asked = F.array(*map(F.lit, asked)).cast("array<string>")
+    rows = clauses.withColumn("_terms", terms(F.col("text"))).where("size(_terms) > 0").withColumn("length", F.size("_terms"))
+    every = F.array(F.lit(None).cast("string"))  # stands for all clauses
+    said = rows.select("length", F.explode(F.concat(F.array_intersect("_terms", asked), every)).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
+    said = said.collect()  # a row a term of the query
+    n, total = next(((r["df"], r["total"]) for r in said if r["term"] is None), (0, 0))
+    known = spark.createDataFrame([(r["term"], r["df"]) for r in said if r["term"] is not None], "term string, df long")
+    rows = rows if among is None else rows.where(among)
+    tf = lambda t: F.size(F.filter("_terms", lambda x: x == t))
+    each = F.transform(F.array_intersect("_terms", asked), lambda t: F.struct(t.alias("term"), tf(t).alias("tf")))
+    hits = rows.select("node_id", "length", F.explode(each).alias("h")).select("node_id", "length", "h.*").join(F.broadcast(known), "term")
+    scored = hits.groupBy("node_id").agg(F.sum(bm25(TextIndex(rows, known, n, total / n if n else 0.0))).alias("score"))
+    return scored.orderBy(F.desc(F.round("score", 9)), "node_id").limit(checked_limit(limit))
+
+
 #: Terms of a text that a task of search_within() holds, about: its tables of them stay in memory.
 TASK_TERMS = 1_000_000
 

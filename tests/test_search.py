@@ -47,6 +47,21 @@ def test_text_search_equals_plain_bm25(spark):
     assert text_search.search_text(none, "школа").count() == 0
 
 
+def test_one_search_writes_no_index(spark, monkeypatch):
+    """The index of all texts is ten times what one search reads of it: nothing is written for one."""
+    r = random.Random(3)
+    words = ["Школа", "зона", "парк", "a1", "дом", "ÜBER", "e"]
+    clauses = [(f"c{k}", f"n{k % 2}", " ".join(r.choices(words, k=r.randrange(0, 30)))) for k in range(80)] + [("null", "n0", None), ("empty", "n1", ""), ("marks", "n1", "?!")]
+    rows = spark.createDataFrame(clauses, "node_id string, name string, text string")
+    monkeypatch.setattr(text_search, "materialize", lambda *_: 1 / 0)
+    for query in ("школа a1 школа", "über", "nothing here", "", "?"):
+        want = bm25([(k, t) for k, _, t in clauses], query, 100)
+        for among, names in ((None, ("n0", "n1")), (F.col("name") == "n1", ("n1",))):
+            got = [(x["node_id"], round(x["score"], 9)) for x in text_search.search_once(rows, query, 100, among).collect()]
+            assert got == [(k, pytest.approx(s, abs=1e-8)) for k, s in want if dict((c, n) for c, n, _ in clauses)[k] in names]
+    assert text_search.search_once(rows.limit(0), "школа").count() == 0
+
+
 @pytest.mark.parametrize(("few", "tasks"), [(1_000_000, 1_000_000), (4, 40), (0, 1)])
 def test_searches_within_documents_of_many_rare_terms(spark, few, tasks):
     """Frequencies beyond the most frequent ones come to a document as a table of its own; no posting is shuffled by its term."""
