@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,6 +72,49 @@ def nearest(probes: DataFrame, base: DataFrame, k: int = 1, least: float | None
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
+#: Rows that are held against others at a time.
+STEP = 512
+
+
+def by_length(column: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of the vectors that are there: their places in the column, and them as rows of a matrix."""
+    column = column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column])
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    at = {int(n): np.flatnonzero(lengths == n) for n in np.unique(lengths) if n}
+    return {n: (rows, _matrix(column.take(pa.array(rows)))) for n, rows in at.items()}
+
+
+def _near(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (x @ y.T) / norms >= least
+
+
+def near_to(column: pa.ChunkedArray | pa.Array, known: dict[int, tuple[np.ndarray, np.ndarray]], least: float) -> np.ndarray:
+    """Which vectors of a column have a cosine of least or more with one that is known (by_length())."""
+    out = np.zeros(len(column), bool)
+    for n, (rows, x) in by_length(column).items():
+        for i in range(0, len(rows) if n in known else 0, STEP):
+            out[rows[i : i + STEP]] = _near(x[i : i + STEP], known[n][1], least).any(1)
+    return out
+
+
+def leading(column: pa.ChunkedArray, least: float) -> np.ndarray:
+    """Which vectors of a column, read in order, have a cosine of least or more with no earlier one of these. One that is not there has none."""
+    out = np.ones(len(column), bool)
+    for rows, x in by_length(column).values():
+        lead: list[int] = []
+        for i in range(0, len(rows), STEP):
+            some = x[i : i + STEP]
+            near, covered = _near(some, some, least), _near(some, x[lead], least).any(1)
+            for k in range(len(some)):
+                if not covered[k]:
+                    lead.append(i + k)
+                    covered[k + 1 :] |= near[k, k + 1 :]
+        out[rows] = np.isin(np.arange(len(rows)), lead)
+    return out
+
+
 def near_pairs(rows: DataFrame, least: float) -> DataFrame:
     """(a, b, score), a < b, of all rows (key, vector) with a cosine of least or more; by blocks, as nearest()."""
     r = rows.where("key is not null and vector is not null").withColumn("dim", F.size("vector"))

@@ -8,12 +8,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_contract import PARAMS, plan
 
 from tessera.functions.models import EMBEDDERS, build, hashing_embedder, prefixed
-from tessera.operators import conflicts, rows, search, text_search, traverse
+from tessera.operators import conflicts, rows, search, text_search, traverse, vocabulary
 from tessera.operators.vocabulary import SEED_KINDS, seed_kinds
 from tessera.plans.contract import canonical_json, model_plans
 from tessera.plans.revisions import items, review
@@ -79,6 +80,21 @@ def test_searches_within_documents_of_many_rare_terms(spark, few, tasks):
     assert got == want
 
 
+@pytest.mark.parametrize(("first", "most"), [(2048, 16_384), (3, 8)])
+def test_leaders_of_vectors_read_in_order(spark, monkeypatch, first, most):
+    """Near pairs grow as the square of the labels: none is written, whatever the batches."""
+    r = random.Random(2)
+    rows = [(f"n{k:02}", (k * 7) % 60, [r.gauss(0, 1) for _ in range(3 if k % 5 else 2)]) for k in range(60)] + [("zero", 3, [0.0] * 3), ("again", 4, [0.0] * 3), ("none", 5, None), ("tie", 9, [1.0, 2.0, 3.0]), ("tia", 9, [1.0, 2.0, 3.1])]
+    want = []
+    for norm, _, v in sorted(rows, key=lambda x: (x[1], x[0])):
+        if not any(u and v and len(u) == len(v) and any(u) and any(v) and np.dot(u, v) / np.sqrt(np.dot(u, u) * np.dot(v, v)) >= 0.8 for _, u in want):
+            want.append((norm, v))
+    monkeypatch.setattr(vocabulary, "near_pairs", lambda *_: 1 / 0)
+    labels = spark.createDataFrame(rows, "norm string, seq int, vector array<double>")
+    assert sorted(x["norm"] for x in vocabulary.leading_vectors(labels, 0.8, first, most).collect()) == sorted(k for k, _ in want)
+    assert vocabulary.leading_vectors(labels.limit(0), 0.8).count() == 0
+
+
 def test_limits_and_counted_answers(spark):
     for limit in (0, 501, -1):
         for call in (lambda n: search.fetch_size(n), lambda n: search.respond(spark.range(3), n), lambda n: search.search_vector(empty_graph(spark), [1.0], limit=n)):
