@@ -127,6 +127,7 @@ def ingest(graph: Graph, details: DataFrame, replace: bool | DataFrame = False,
     if replace is not False:
         keep, anew = clause_rows(details).select("node_id"), details.select("doc_id")
         anew = anew if replace is True else anew.join(replace, "doc_id", "left_semi")
+        graph = graph if few else graph.with_(clause=materialize(graph.clause, "clause"))  # what goes and what stays are both read from it
         graph, pruned = prune(graph, *((few_keys(anew, "anew"), few_keys(keep, "keep")) if few else (anew, keep)))
     here = parts.select("doc_id", F.col("fragment.id").alias("src"))
     resolved = F.coalesce("resolved", F.lit(False)) & F.coalesce("target_node_id", "target_doc_id").isNotNull()
@@ -175,8 +176,8 @@ def delete_restrictions(graph: Graph, docs: DataFrame) -> tuple[Graph, DataFrame
 
 def prune(graph: Graph, docs: DataFrame, keep: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, (doc_id, pruned)) without the clauses of documents (doc_id) that are not in keep (node_id)."""
-    stale = graph.clause.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").join(keep.select("node_id").distinct(), "node_id", "left_anti").select("node_id", "doc_id")
-    stale = few_keys(stale, "stale")
+    stale = graph.clause.select("node_id", "doc_id").join(keep.select("node_id").distinct(), "node_id", "left_anti")
+    stale = few_keys(stale.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("node_id", "doc_id"), "stale")
     graph, _ = without_clauses(graph, stale)
     return graph, stale.groupBy("doc_id").agg(F.countDistinct("node_id").alias("pruned"))
 
