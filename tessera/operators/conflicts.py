@@ -53,13 +53,17 @@ def split_hot(graph: Graph, sides: DataFrame, block: int, entities: DataFrame |
 
 
 def ranged(sides: DataFrame, key: list[str], block: int) -> DataFrame:
-    """sides with the range of its edge (0 to RANGES - 1, in the order of values) and the number of parts that a range of its key falls into.
-    Keys of up to block bounds have one range. Cuts are quantiles of the others, found by mergeable summaries."""
-    heavy = sides.groupBy(*key).count().where(F.col("count") > block)
-    cuts = sides.join(heavy, key).groupBy(*key).agg(F.percentile_approx("edge", [k / RANGES for k in range(1, RANGES)]).alias("cuts"), F.first("count").alias("n"))
-    cuts = materialize(cuts.select(*key, F.array_distinct("cuts").alias("cuts"), F.ceil(F.col("n") / (RANGES * block)).cast("int").alias("parts")), "cuts")
+    """sides with the range of its edge (0 to RANGES - 1, in the order of values), the number of parts that a range's lower bounds fall into and
+    of those that the upper ones of its key do, and whether it has both. Keys of up to block bounds have one range. Cuts are quantiles of the
+    others, found by mergeable summaries."""
+    heavy = sides.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("upper").alias("n_upper")).where(F.col("n") > block)
+    cuts = sides.join(heavy, key).groupBy(*key).agg(F.percentile_approx("edge", [k / RANGES for k in range(1, RANGES)]).alias("cuts"), F.first("n").alias("n"), F.first("n_upper").alias("n_upper"))
+    split = lambda n, size: F.greatest(F.ceil(n / size).cast("int"), F.lit(1))
+    lower, upper = F.col("n") - F.col("n_upper"), F.col("n_upper")
+    cuts = cuts.select(*key, F.array_distinct("cuts").alias("cuts"), split(lower, RANGES * block).alias("parts"), split(upper, block).alias("meshes"), ((upper > 0) & (lower > 0)).alias("both"))
+    cuts = materialize(cuts, "cuts")
     below = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("edge"))), F.lit(0))
-    split = sides.join(cuts, key, "left").withColumns({"range": below, "last": F.coalesce(F.size("cuts"), F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})
+    split = sides.join(cuts, key, "left").withColumns({"range": below, "last": F.coalesce(F.size("cuts"), F.lit(0)), "parts": F.coalesce("parts", F.lit(1)), "meshes": F.coalesce("meshes", F.lit(1)), "both": F.coalesce("both", F.lit(True))})
     return split.drop("cuts")
 
 
@@ -69,7 +73,7 @@ def find_conflicts(graph: Graph, ids: DataFrame | None = None, block: int = BLOC
     Two ranges are disjoint only if one ends below where the other starts, so restrictions with an upper bound meet those with a
     lower bound on entity, kind and unit; pairs of like bounds are never made. A pair with two common entities counts once. Of a key
     with many bounds an upper one meets only ranges of values that are not below its own, and both sides are dealt into parts, so that
-    no task holds more than about block bounds of either. Up to few ids, and entities of theirs, are broadcast.
+    no task holds more than about block bounds of either; a side is repeated by the number of the other, and not at all where there is no other. Up to few ids, and entities of theirs, are broadcast.
     """
     sides, entities = bounds(graph), None
     chosen = None if ids is None else counted(ids.select("id").distinct(), "ids", few)[0]
@@ -80,12 +84,12 @@ def find_conflicts(graph: Graph, ids: DataFrame | None = None, block: int = BLOC
     light, hot = split_hot(graph, sides, block, entities)
     pairs = _met(light.where("upper"), light.where("not upper"), KEY, chosen)
     if hot is not None:
-        hot = ranged(hot, KEY, block)
+        hot = ranged(hot, KEY, block).where("both")
         every = lambda low, high: F.explode(F.sequence(low, high))
         part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        mesh = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts") * F.greatest(F.col("last"), F.lit(1))).cast("int")
+        mesh = F.pmod(F.xxhash64("id", F.lit(1)), F.col("meshes")).cast("int")
         uppers = hot.where("upper").withColumns({"s": mesh, "range": every(F.col("range"), F.col("last"))}).withColumn("t", every(F.lit(0), F.col("parts") - 1))
-        lowers = hot.where("not upper").withColumn("t", part).withColumn("s", every(F.lit(0), F.col("parts") * F.greatest(F.col("last"), F.lit(1)) - 1))
+        lowers = hot.where("not upper").withColumn("t", part).withColumn("s", every(F.lit(0), F.col("meshes") - 1))
         pairs = pairs.unionByName(_met(uppers, lowers, [*KEY, "range", "s", "t"], chosen))
     return pairs.select(
         "lo", "hi",

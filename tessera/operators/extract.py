@@ -18,7 +18,7 @@ from ..schema import Graph
 from ..sources import store
 from ..sources.store import few_keys, materialize
 from .conflicts import find_conflicts
-from .lifecycle import delete_restrictions, guard, ingest, sync_state, upsert_conflicts, upsert_entities, upsert_kinds, upsert_restrictions
+from .lifecycle import clauses_after, delete_restrictions, guard, ingest, sync_state, upsert_conflicts, upsert_entities, upsert_kinds, upsert_restrictions
 from .search import ENTITY_THRESHOLD, KIND_THRESHOLD
 from .vocabulary import resolve_entities, resolve_kinds, vocabulary_changes
 
@@ -153,8 +153,7 @@ def sync_documents(graph: Graph, details: DataFrame, models: Models, at: str, an
     broken = few_keys(faulty.select("doc_id", F.lit("a fragment has no id").alias("error")), "broken")
     whole = details.join(broken, "doc_id", "left_anti")
     todo = whole.join(same, "doc_id", "left_anti")
-    tried, _ = ingest(graph, todo, anew, few=True)
-    clauses = tried.clause.join(few_keys(todo.select("doc_id"), "todo"), "doc_id", "left_semi")
+    clauses = clauses_after(graph, todo, anew).join(few_keys(todo.select("doc_id"), "todo"), "doc_id", "left_semi")
     raw = materialize(extract(clauses, models.extractor, tolerant=True), "extracted")
     failed = few_keys(broken.unionByName(raw.where("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))), "failed")
     good = materialize(whole.join(failed, "doc_id", "left_anti"), "good")

@@ -16,12 +16,14 @@ def merge(old: DataFrame, new: DataFrame, table: str, old_wins: tuple[str, ...]
     several new rows of one key the greatest counts, by its columns from left to right.
 
     few says that new is a batch beside a large table: it is written once, and if its rows are few by count it is broadcast to old's rows, which
-    are not shuffled, and only new rows that found none are added. A larger batch, or without few, both meet in one full join.
+    are not shuffled, and only new rows that found none are added. A larger batch, or without few, both meet in one full join, what a larger
+    batch gives being written once, as several steps read it.
     """
     keys = KEYS[table]
     new, old = conform(new, table), conform(old, table)
     rest = [c for c in new.columns if c not in keys]
     new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_n")) if rest else new.distinct().withColumn("_n", F.struct(F.lit(True)))
+    batch = few
     if few:
         new = materialize(new, table)
         few = few_rows(new)
@@ -39,7 +41,8 @@ def merge(old: DataFrame, new: DataFrame, table: str, old_wins: tuple[str, ...]
         both = o.join(F.broadcast(new), keys, "left").unionByName(new.join(F.broadcast(found), keys, "left_anti"), allowMissingColumns=True)
     else:
         both = o.join(new, keys, "full_outer")
-    return both.select(*(c if c in keys else pick(c) for c in old.columns))
+    both = both.select(*(c if c in keys else pick(c) for c in old.columns))
+    return materialize(both, table) if batch and not few else both
 
 
 def upsert_documents(graph: Graph, rows: DataFrame, few: bool = False) -> Graph:
@@ -104,6 +107,25 @@ def clause_rows(details: DataFrame) -> DataFrame:
     return fragments(details).select(F.col(f"{f}.id").alias("node_id"), "doc_id", "name", "version", "version_id", *own)
 
 
+def stale_clauses(clause: DataFrame, docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """(node_id, doc_id) of clauses of documents (doc_id) that are not in keep (node_id), written once."""
+    stale = clause.select("node_id", "doc_id").join(keep.select("node_id").distinct(), "node_id", "left_anti")
+    return few_keys(stale.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("node_id", "doc_id"), "stale")
+
+
+def _replaced(details: DataFrame, replace: bool | DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id) that lose what they no longer say, and the clauses (node_id) that they say."""
+    keep, anew = clause_rows(details).select("node_id"), details.select("doc_id")
+    anew = anew if replace is True else anew.join(replace, "doc_id", "left_semi")
+    return (few_keys(anew, "anew"), few_keys(keep, "keep")) if few else (anew, keep)
+
+
+def clauses_after(graph: Graph, details: DataFrame, replace: bool | DataFrame) -> DataFrame:
+    """The own clauses of a batch of documents as ingest() would leave them; nothing else of it is worked out."""
+    own = upsert_clauses(graph, clause_rows(details), few=True).clause
+    return own.join(stale_clauses(own, *_replaced(details, replace, True)).select("node_id"), "node_id", "left_anti")
+
+
 def ingest(graph: Graph, details: DataFrame, replace: bool | DataFrame = False, backfill: DataFrame | None = None, few: bool = False) -> tuple[Graph, DataFrame]:
     """(graph, counts) with the structure of documents: themselves, clauses, parents and references; replace (for all of them, or for
     those of a table (doc_id)) also removes clauses that a document no longer has. backfill: references (src, ...) for clauses of library documents that name none themselves. Each table is
@@ -125,10 +147,8 @@ def ingest(graph: Graph, details: DataFrame, replace: bool | DataFrame = False,
     )
     pruned = None
     if replace is not False:
-        keep, anew = clause_rows(details).select("node_id"), details.select("doc_id")
-        anew = anew if replace is True else anew.join(replace, "doc_id", "left_semi")
         graph = graph if few else graph.with_(clause=materialize(graph.clause, "clause"))  # what goes and what stays are both read from it
-        graph, pruned = prune(graph, *((few_keys(anew, "anew"), few_keys(keep, "keep")) if few else (anew, keep)))
+        graph, pruned = prune(graph, *_replaced(details, replace, few))
     here = parts.select("doc_id", F.col("fragment.id").alias("src"))
     resolved = F.coalesce("resolved", F.lit(False)) & F.coalesce("target_node_id", "target_doc_id").isNotNull()
     linked = own.withColumn("ok", resolved).join(here, "src").groupBy("doc_id").agg(F.count_if("ok").alias("references"), F.count_if(~F.col("ok")).alias("pending"))
@@ -176,8 +196,7 @@ def delete_restrictions(graph: Graph, docs: DataFrame) -> tuple[Graph, DataFrame
 
 def prune(graph: Graph, docs: DataFrame, keep: DataFrame) -> tuple[Graph, DataFrame]:
     """(graph, (doc_id, pruned)) without the clauses of documents (doc_id) that are not in keep (node_id)."""
-    stale = graph.clause.select("node_id", "doc_id").join(keep.select("node_id").distinct(), "node_id", "left_anti")
-    stale = few_keys(stale.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("node_id", "doc_id"), "stale")
+    stale = stale_clauses(graph.clause, docs, keep)
     graph, _ = without_clauses(graph, stale)
     return graph, stale.groupBy("doc_id").agg(F.countDistinct("node_id").alias("pruned"))
 

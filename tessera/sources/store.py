@@ -153,8 +153,9 @@ class GraphStore:
                 parts[b]["folder"] = folder
         return {"buckets": n, "parts": parts}
 
-    def publish(self, graph: Graph, base: Graph | None = None, outcomes: DataFrame | None = None) -> int:
-        """Make graph the next version; tables that are still those of base, the graph that load() gave, aren't looked at. The mark is made
+    def publish(self, graph: Graph, base: Graph | None = None, outcomes: DataFrame | None = None, once: bool = False) -> int:
+        """Make graph the next version; tables that are still those of base, the graph that load() gave, aren't looked at. once says that a large
+        batch changed the others, each of which is derived once, to a table of its own that digests and buckets are then read from. The mark is made
         last and never changed: a writer that fails before it leaves the current version as it was, and of two writers of one version the
         later raises an error and has changed nothing."""
         v, mark = self.version() + 1, self.mark()
@@ -162,7 +163,10 @@ class GraphStore:
         new = {}
         for name, df in graph.tables().items():
             same = base is not None and name in tables and df is base.tables()[name]
-            new[name] = tables[name] if same else self._written(conform(df, name), name, tables.get(name))
+            if not same:
+                df = conform(df, name)
+                df = materialize(df, name) if once else df
+            new[name] = tables[name] if same else self._written(df, name, tables.get(name))
         said = {"tables": new}
         if outcomes is not None:
             said["outcomes"] = f"outcomes/{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ from ..operators.lifecycle import delete_documents, reconcile, stored_documents
 from ..schema import Graph
 from ..sources.documents import listing
 from ..sources.event_log import append_events, log_table
-from ..sources.store import GraphStore, few_keys, materialize, measured_broadcasts, scratch_dir
+from ..sources.store import GraphStore, few_keys, few_rows, materialize, measured_broadcasts, scratch_dir
 from .events import EVENT, accepted, read_topic, rejected
 from .state import SCOPE, fresh, keyed_state, remembered
 
@@ -97,7 +97,7 @@ class LifecycleSync:
             graph, out = sync_documents(graph, source.join(docs, "doc_id", "left_semi"), self.models, self.now(), docs.where("replace").select("doc_id"))
             outcomes.append(out)
         graph, out = self.without(graph, gone.where("after"))
-        self.store.publish(graph, before, _all([*outcomes, out], events.sparkSession, OUTCOME))
+        self.store.publish(graph, before, _all([*outcomes, out], events.sparkSession, OUTCOME), once=not few_rows(docs))
         return self.store.load()
 
     def without(self, graph: Graph, gone: DataFrame) -> tuple[Graph, DataFrame]:
@@ -135,7 +135,7 @@ class LifecycleSync:
         graph, out = self._deleted(graph, few_keys(actions.where("action = 'deleted'").select("doc_id"), "gone"))
         outcomes = materialize(_all([*outcomes, out], source.sparkSession, OUTCOME), "outcomes")
         if graph is not before or not outcomes.isEmpty():
-            self.store.publish(graph, before, outcomes)
+            self.store.publish(graph, before, outcomes, once=not few_rows(outcomes))
         failed = outcomes.where("outcome = 'failed'").select("doc_id", F.lit(True).alias("failed"))
         done = actions.join(failed, "doc_id", "left").select(F.when(F.col("failed"), "failed").otherwise(F.col("action")).alias("action"))
         return Reconciled(**{r["action"]: r["count"] for r in done.groupBy("action").count().collect()})

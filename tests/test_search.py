@@ -149,6 +149,14 @@ def test_a_hundred_thousand_bounds_of_one_entity(spark):
     assert conflicts.find_conflicts(g).count() == n - 1
 
 
+def test_bounds_without_another_side_are_not_repeated(spark):
+    """A key of lower bounds alone has no pair: it is dealt into no parts, which would be as the square of its bounds; one upper bound repeats none."""
+    rows = [("lower", k % 97, False) for k in range(900)] + [("both", k % 97, k == 5) for k in range(900)]
+    sides = spark.createDataFrame([(f"r{i}", e, "k", "m", float(v), u) for i, (e, v, u) in enumerate(rows)], "id string, entity string, kind string, unit_key string, edge double, upper boolean")
+    got = conflicts.ranged(sides, conflicts.KEY, 8).groupBy("entity").agg(F.max("both").alias("both"), F.max("meshes").alias("meshes"), F.max("parts").alias("parts")).collect()
+    assert sorted(map(tuple, got)) == [("both", True, 1, 4), ("lower", False, 1, 4)]
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_pairs_of_a_hot_entity(spark, block):
     r = random.Random(4)
